@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,3 +163,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
         .select("_order.*")
     )
     return df.join(keep, list(order), "left_semi")
+
+
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """Columns of several one-row frames as one row, without joining them."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_frames)
+    return stacked.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in stacked.columns])
