@@ -248,11 +248,3 @@ def match_context(title: Column | str, body: Column | str, term: Column) -> Colu
         return F.when(hit > 0, F.substring(field, start + 1, hit - 1 + 300 - start))
 
     return F.coalesce(window(col(title)), window(col(body)), F.lit(EMPTY))
-
-
-def source_label(type_: str = "type") -> Column:
-    """Book title, else show, else song, else type."""
-    book = F.concat(F.lit("book: "), F.coalesce(blank_to_null("book_title"), blank_to_null("title"), F.lit("?")))
-    return F.when(F.col(type_) == "book_chunk", book).otherwise(
-        F.coalesce(blank_to_null("show_identifier"), blank_to_null("song_name"), F.col(type_))
-    )

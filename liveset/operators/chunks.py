@@ -43,8 +43,7 @@ def split_text(df: DataFrame, text: str, limit: int) -> DataFrame:
         ).otherwise(acc)
 
     start = F.struct(F.col("_t").alias("rest"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(steps, start, step, lambda acc: F.filter(
-        F.concat(acc["parts"], F.array(acc["rest"])), lambda p: F.lit(True)))
+    done = F.aggregate(steps, start, step, lambda acc: F.concat(acc["parts"], F.array(acc["rest"])))
     keep = [c for c in df.columns if c != text]
     last = F.size("_p") - 1
     return (
