@@ -125,7 +125,7 @@ def parse_date_phrase(question: Column | str, today: Column) -> Column:
 def resolve_today(question: Column | str, today: Column) -> Column:
     """Replace the word ``today`` with the long date of ``today``."""
     pieces = F.split(col(question), r"(?iU)\btoday\b", -1)
-    return F.array_join(pieces, F.date_format(today, "MMMM dd, yyyy"))
+    return F.call_function("array_join", pieces, F.date_format(today, "MMMM dd, yyyy"))
 
 
 def title_show_date(title: Column | str) -> Column:
