@@ -42,8 +42,8 @@ def corpus(t):
     return U.assemble_corpus(
         U.comment_rows(t.conversations.select(key("conv_id").alias(SHOW), F.col("role").alias("reviewer"), F.col("text").alias("comment_text"),
                                               F.col("turn").cast("int").alias("rating"), F.lit("2024-01-01").alias("created"))),
-        U.setlist_song_rows(lines.select(SHOW, F.col("p_name").alias("song_name"), "l_linenumber", "l_partkey", "l_suppkey", F.lit("1977-05-08").alias("date"),
-                                         F.lit(None).cast("string").alias("duration")), ["l_linenumber", "l_partkey", "l_suppkey"]),
+        U.setlist_song_rows(lines.select(SHOW, F.col("p_name").alias("song_name"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.lit("1977-05-08").alias("date"),
+                                         F.lit(None).cast("string").alias("duration")), ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]),
         U.guest_rows(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(key("o_orderkey").alias(SHOW), F.col("c_name").alias("guest_artist"))),
         U.transition_rows(lines.filter("l_returnflag = 'R'").select(SHOW, F.col("p_name").alias("transition_from"), F.col("p_brand").alias("transition_to"))),
         U.transcript_rows(t.documents.filter("lang = 'en'").select(F.col("source").alias("title"), key("doc_id", "u").alias("url"), F.col("text").alias("transcript"))),
