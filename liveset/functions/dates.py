@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from liveset import fixed
-from liveset.functions.text import blank_to_null, col, strip
+from liveset.functions.text import blank_to_null, col, digits, let, words
 
-YMD = r"(\d{4})-(\d{1,2})-(\d{1,2})"
+def _ymd(c: Column, pattern: str) -> Column:
+    """Year, month and day of the first match of a dashed date; short years pivot."""
 
+    def read(found: Column) -> Column:
+        parts = F.split(F.regexp_replace(found, "[^0-9-]", ""), "-")
+        year = F.get(parts, F.lit(0)).try_cast("int")
+        return F.when(found != "", F.struct(
+            F.when(year >= 100, year).when(year > fixed.CENTURY_PIVOT, 1900 + year).otherwise(2000 + year).alias("year"),
+            F.get(parts, F.lit(1)).try_cast("int").alias("month"), F.get(parts, F.lit(2)).try_cast("int").alias("day")))
 
-def _ymd(c: Column, pattern: str) -> Column:
-    year = F.regexp_extract(c, pattern, 1).cast("int")
-    return F.when(
-        c.rlike(pattern),
-        F.struct(
-            F.when(year >= 100, year)
-            .when(year > fixed.CENTURY_PIVOT, 1900 + year)
-            .otherwise(2000 + year).alias("year"),
-            F.regexp_extract(c, pattern, 2).cast("int").alias("month"),
-            F.regexp_extract(c, pattern, 3).cast("int").alias("day"),
-        ),
-    )
+    return let(F.regexp_extract(c, pattern, 0), read)
 
 
 def show_date(show_id: Column | str, type_: Column | str | None = None,
@@ -33,10 +27,10 @@ def show_date(show_id: Column | str, type_: Column | str | None = None,
 
     Two-digit years pivot at 30. Rows typed ``setlist_song`` fall back to ``created``.
     """
-    parts = _ymd(col(show_id), r"(?:gd)?(\d{2,4})-(\d{2})-(\d{2})")
+    parts = _ymd(col(show_id), r"\d{2,4}-\d{2}-\d{2}")
     if type_ is None or created is None:
         return parts
-    fallback = F.when(col(type_) == "setlist_song", _ymd(col(created), r"^(\d{4})-(\d{2})-(\d{2})"))
+    fallback = F.when(col(type_) == "setlist_song", _ymd(col(created), r"^\d{4}-\d{2}-\d{2}"))
     return F.coalesce(parts, fallback)
 
 
@@ -70,13 +64,14 @@ def _month(word: Column) -> Column:
 
 def number_word(c: Column | str) -> Column:
     """Day number of a word or a tens-and-ones pair, else null."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(col(c)), "-", " "), r"(?U)\s+"), lambda w: w != "")
     table = _lookup(fixed.NUMBER_WORDS)
-    first = F.try_element_at(table, F.get(parts, F.lit(0)))
-    second = F.try_element_at(table, F.get(parts, F.lit(1)))
-    return F.when(F.size(parts) == 1, first).when(
-        (F.size(parts) > 1) & (first >= 20) & (second <= 9), first + second
-    )
+
+    def read(parts: Column) -> Column:
+        first = F.try_element_at(table, F.get(parts, F.lit(0)))
+        second = F.try_element_at(table, F.get(parts, F.lit(1)))
+        return F.when(F.size(parts) == 1, first).when((first >= 20) & (second <= 9), first + second)
+
+    return let(words(F.replace(F.lower(col(c)), F.lit("-"), F.lit(" "))), read)
 
 
 def _parts(month: Column, day: Column, year: Column | None = None) -> Column:
@@ -88,38 +83,39 @@ def parse_date_phrase(question: Column | str, today: Column) -> Column:
     """First date a question names, as ``struct(year, month, day)``; year may be null.
 
     Forms are tried in order and only the first hit of each is looked at: today,
-    Y-M-D, M/D, M-D, month name with number, month name with number word.
+    Y-M-D, M/D, M-D, month name with number, month name with number word. The text of a
+    hit is found once per form and taken apart on its own.
     """
-    q = col(question)
-    low = F.lower(q)
-    now = _parts(F.month(today), F.dayofmonth(today), F.year(today))
-    full = _parts(*[F.regexp_extract(q, YMD, i).cast("int") for i in (2, 3, 1)])
-
-    def short(pattern: str) -> Column:
-        month = F.regexp_extract(q, pattern, 1).try_cast("int")
-        day = F.regexp_extract(q, pattern, 2).try_cast("int")
-        return F.when(month.between(1, 12) & day.between(1, 31), _parts(month, day))
-
-    def year_of(text: Column, pattern: str) -> Column:
-        return F.regexp_extract(text, pattern, 3).try_cast("int")
-
-    numeric = r"(?U)\b([A-Za-z]{3,9})\s+(\d{1,2})(?:st|nd|rd|th)?(?:\s*,?\s*(\d{4}))?\b"
-    month_n = _month(F.regexp_extract(low, numeric, 1))
-    day_n = F.regexp_extract(low, numeric, 2).try_cast("int")
-
     names = "|".join(sorted(fixed.MONTHS, key=len, reverse=True))
-    worded = rf"(?U)\b({names})\s+([a-z]+(?:[\s-][a-z]+)?)(?:\s*,?\s*(\d{{4}}))?\b"
-    month_w = _month(F.regexp_extract(low, worded, 1))
-    day_w = number_word(F.regexp_extract(low, worded, 2))
-
-    return F.coalesce(
-        F.when(low.rlike(r"(?U)\btoday\b"), now),
-        F.when(q.rlike(YMD), full),
-        short(r"(?<![\d/])(\d{1,2})/(\d{1,2})(?![\d/])"),
-        short(r"(?<![\d-])(\d{1,2})-(\d{1,2})(?![\d-])"),
-        F.when(month_n.isNotNull() & day_n.between(1, 31), _parts(month_n, day_n, year_of(low, numeric))),
-        F.when(month_w.isNotNull() & day_w.between(1, 31), _parts(month_w, day_w, year_of(low, worded))),
-    )
+    numeric = r"(?U)\b[A-Za-z]{3,9}\s+\d{1,2}(?:st|nd|rd|th)?(?:\s*,?\s*\d{4})?\b"
+    worded = rf"(?U)\b(?:{names})\s+[a-z]+(?:[\s-][a-z]+)?(?:\s*,?\s*\d{{4}})?\b"
+
+    def short(found: Column, mark: str) -> Column:
+        month, day = digits(F.substring_index(found, mark, 1)), digits(F.substring_index(found, mark, -1))
+        return F.when((found != "") & month.between(1, 12) & day.between(1, 31), _parts(month, day))
+
+    def full(found: Column) -> Column:
+        parts = F.split(found, "-")
+        return F.when(found != "", _parts(*[F.get(parts, F.lit(i)).try_cast("int") for i in (1, 2, 0)]))
+
+    def named(found: Column, day_pattern: str, read) -> Column:
+        year = digits(F.regexp_extract(found, r"(\d{4})$", 1))
+        both = F.when(found != "", F.struct(_month(found).alias("m"), read(F.regexp_extract(found, day_pattern, 1)).alias("d")))
+        return let(both, lambda b: F.when(b["m"].isNotNull() & b["d"].between(1, 31), _parts(b["m"], b["d"], year)))
+
+    def forms(q: Column) -> Column:
+        low = F.lower(q)
+        now = _parts(F.month(today), F.dayofmonth(today), F.year(today))
+        return F.coalesce(
+            F.when(low.rlike(r"(?U)\btoday\b"), now),
+            let(F.regexp_extract(q, r"\d{4}-\d{1,2}-\d{1,2}", 0), full),
+            let(F.regexp_extract(q, r"(?<![\d/])\d{1,2}/\d{1,2}(?![\d/])", 0), lambda m: short(m, "/")),
+            let(F.regexp_extract(q, r"(?<![\d-])\d{1,2}-\d{1,2}(?![\d-])", 0), lambda m: short(m, "-")),
+            let(F.regexp_extract(low, numeric, 0), lambda m: named(m, r"(?U)^[a-z]+\s+(\d{1,2})", digits)),
+            let(F.regexp_extract(low, worded, 0), lambda m: named(m, r"(?U)^[a-z]+\s+([a-z]+(?:[\s-][a-z]+)?)", number_word)),
+        )
+
+    return let(col(question), forms)
 
 
 def resolve_today(question: Column | str, today: Column) -> Column:

@@ -20,29 +20,49 @@ from pyspark.sql.types import StringType
 from liveset import fixed
 
 EMPTY = ""
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it.
+
+    Catalyst inlines aliases and does not share work inside conditions, so a costly text
+    expression in many branches would otherwise run once per branch.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", EMPTY)
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def collapse(c: Column | str) -> Column:
-    """Runs of whitespace become one space; ends are trimmed."""
-    return strip(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    """Runs of whitespace become one space; ends are trimmed. Single spaces are left
+    alone by the pattern, which spares most of the matches in ordinary prose."""
+    return strip(F.regexp_replace(col(c), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def words(c: Column | str) -> Column:
-    return F.filter(F.split(col(c), r"(?U)\s+"), lambda w: w != EMPTY)
+    return let(collapse(c), lambda text: F.when(text == EMPTY, F.array().cast("array<string>")).otherwise(F.split(text, " ")))
 
 
 def blank_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(EMPTY))
 
 
+def digits(c: Column, type_: str = "int") -> Column:
+    """Number of an extracted run of digits. An empty one skips the cast, because a failing
+    ``try_cast`` costs an exception per row."""
+    return blank_to_null(c).try_cast(type_)
+
+
 def first_filled(*cols: Column | str) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols], F.lit(EMPTY))
 
@@ -56,7 +76,7 @@ def alternation(words_: Sequence[str]) -> str:
 
 
 def contains_any(c: Column | str, phrases: Sequence[str]) -> Column:
-    return reduce(or_, [F.contains(col(c), F.lit(p)) for p in phrases])
+    return let(col(c), lambda text: reduce(or_, [F.contains(text, F.lit(p)) for p in phrases]))
 
 
 # -- markup -------------------------------------------------------------------
@@ -179,44 +199,33 @@ def disc_track(name: Column | str) -> Column:
     """``struct(disc, track)`` from a file name: ``d2t03``, ``s1t01``, ``t05`` or (1, 9999)."""
     name = col(name)
 
-    def numbered(pattern: str) -> Column:
-        return F.when(
-            name.rlike(pattern),
-            F.struct(
-                F.regexp_extract(name, pattern, 1).cast("int").alias("disc"),
-                F.regexp_extract(name, pattern, 2).cast("int").alias("track"),
-            ),
-        )
-
-    alone = F.when(
-        name.rlike(r"t(\d+)"),
-        F.struct(F.lit(1).alias("disc"), F.regexp_extract(name, r"t(\d+)", 1).cast("int").alias("track")),
-    )
-    return F.coalesce(
-        numbered(r"d(\d+)t(\d+)"), numbered(r"s(\d+)t(\d+)"), alone,
-        F.struct(F.lit(1).alias("disc"), F.lit(9999).alias("track")),
-    )
+    def place(code: Column) -> Column:
+        numbers = F.split(F.substring(code, F.lit(2), F.length(code)), "t")
+        pair = F.struct(F.get(numbers, F.lit(0)).try_cast("int").alias("disc"), F.get(numbers, F.lit(1)).try_cast("int").alias("track"))
+        alone = F.struct(F.lit(1).alias("disc"), F.substring(code, F.lit(2), F.length(code)).try_cast("int").alias("track"))
+        unknown = F.struct(F.lit(1).alias("disc"), F.lit(9999).alias("track"))
+        return F.when(code == EMPTY, unknown).when(code.startswith("t"), alone).otherwise(pair)
+
+    found = [blank_to_null(F.regexp_extract(name, p, 0)) for p in (r"d\d+t\d+", r"s\d+t\d+", r"t\d+")]
+    return let(F.coalesce(*found, F.lit(EMPTY)), place)
 
 
 def track_number(name: Column | str) -> Column:
     """Track number alone: ``t03`` or leading digits, else 9999."""
     name = col(name)
     return F.coalesce(
-        F.try_to_number(blank_to_null(F.regexp_extract(name, r"t(\d+)", 1)), F.lit("999999999")).cast("int"),
-        F.try_to_number(blank_to_null(F.regexp_extract(name, r"^(\d+)", 1)), F.lit("999999999")).cast("int"),
-        F.lit(9999),
-    )
+        digits(F.regexp_extract(name, r"t(\d+)", 1)), digits(F.regexp_extract(name, r"^(\d+)", 1)), F.lit(9999))
 
 
 # -- durations ----------------------------------------------------------------
 def duration_seconds(c: Column | str, strict: bool = False) -> Column:
     """Seconds of ``m:ss`` or a number. Not strict: ``1:02:03`` reads as its prefix."""
     c = col(c)
-    clock = r"^(\d+):(\d{1,2})" + ("$" if strict else "")
-    minutes = F.regexp_extract(c, clock, 1).try_cast("double")
-    seconds = F.regexp_extract(c, clock, 2).try_cast("double")
-    number = F.when(strip(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), strip(c).try_cast("double"))
-    return F.coalesce(minutes * 60 + seconds, number)
+    clock = r"^\d+:\d{1,2}" + ("$" if strict else "")
+    parsed = let(F.regexp_extract(c, clock, 0), lambda m: F.when(
+        m != EMPTY, F.substring_index(m, ":", 1).try_cast("double") * 60 + F.substring_index(m, ":", -1).try_cast("double")))
+    number = F.when(c.rlike(r"(?U)^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), strip(c).try_cast("double"))
+    return F.coalesce(parsed, number)
 
 
 def duration_display(seconds: Column | str) -> Column:

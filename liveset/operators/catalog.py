@@ -110,7 +110,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, cutoff: float = fixed.FUZZY_C
         pieces.join(grams, ["piece", "place"])
         .filter(2 * F.least(F.length("left_key"), F.length("right_key")) >= cutoff * total - 1e-9)
         .select("left_key", "right_key").distinct()
-        .withColumn("ratio", matching_ratio("right_key", "left_key"))
+        .withColumn("ratio", matching_ratio("right_key", "left_key", cutoff))
         .filter(F.col("ratio") >= cutoff)
         .groupBy("left_key").agg(F.max(F.struct("ratio", "right_key")).alias("b"))
         .select("left_key", "b.right_key", "b.ratio")

@@ -12,7 +12,7 @@ from liveset.functions.dates import show_date_key
 from liveset.functions.text import (
     blank_to_null, clean_track_title, disc_track, duration_display, duration_seconds, is_non_song, strip, track_number,
 )
-from liveset.scale import row_ordinal
+from liveset.scale import HOT_ROWS, hot_buckets, row_ordinal
 
 SHOW = "show_identifier"
 
@@ -57,6 +57,7 @@ def track_best(files: DataFrame, **kw) -> DataFrame:
     The first file by name wins unless another is strictly longer; unknown durations
     lose. Input columns: show_identifier, name, length.
     """
+    kw.setdefault("hot", hot_buckets(files, [SHOW], kw.get("hot_rows", HOT_ROWS)))
     place = disc_track("name")
     seconds = duration_seconds("length")
     best = (
@@ -215,6 +216,8 @@ def song_durations(shows: DataFrame, files: DataFrame, songs: DataFrame, song: s
 
     Tried in turn: file title, external listing, position.
     """
+    # One look at the sizes of shows serves every numbering below.
+    kw.setdefault("hot", sorted({*hot_buckets(files, [SHOW]), *hot_buckets(songs, [SHOW])}))
     best = track_best(files, **kw)
     steps = [by_file_title(files, song)]
     if listing is not None:

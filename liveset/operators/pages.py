@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liveset import fixed
-from liveset.functions.text import blank_to_null, col, collapse, drop_tags, has_text, song_key, strip, unescape, words
+from liveset.functions.text import blank_to_null, col, collapse, digits, drop_tags, has_text, song_key, strip, unescape, words
 from liveset.functions.urls import canonical_url, is_internal, resolve_url, url_part
 from liveset.scale import first_per_key
 
@@ -77,7 +77,7 @@ def extract_track_table(pages: DataFrame, decode=unescape) -> DataFrame:
     return (
         pages.select("url", F.posexplode(rows).alias("row_no", "row"))
         .withColumn("cells", cells).filter(F.size("cells") == 2)
-        .withColumn("track_number", F.get("cells", F.lit(0)).try_cast("int"))
+        .withColumn("track_number", digits(F.regexp_extract(F.get("cells", F.lit(0)), r"^[+]?\d+$", 0)))
         .filter(F.col("track_number") >= 1)
         .withColumn("title", strip(title))
         .groupBy("url", "track_number")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from liveset import fixed
 from liveset.functions.text import (
-    alternation, break_lines, clean_html_line, collapse, contains_any, strip, unescape,
+    alternation, break_lines, clean_html_line, collapse, contains_any, let, strip, unescape,
 )
 from liveset.scale import previous_value, running_sum
 
@@ -40,44 +40,40 @@ def _set_name(line: Column) -> Column:
     return F.when(marker == "", "Encore").when(digit != "", F.concat(F.lit("Set "), digit)).otherwise(marker)
 
 
-def _between_markers(lines: Column, is_marker, name) -> Column:
-    """``array<struct(set_order, set_name, body)>``; lines before the first marker drop out."""
-    last = F.size(lines)
-    marks = F.filter(
-        F.transform(lines, lambda x, i: F.when(is_marker(x), i)), lambda i: i.isNotNull()
-    )
-    return F.transform(
-        marks,
+def _marks(lines: str, is_marker) -> Column:
+    """Places of the marker lines."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(is_marker(x), i)), lambda i: i.isNotNull())
+
+
+def _found_sets(items: DataFrame, description: str) -> DataFrame:
+    """One row per set with its lines; lines before the first marker drop out."""
+    between = F.transform(
+        "_marks",
         lambda at, k: F.struct(
             k.alias("set_order"),
-            name(F.get(lines, at)).alias("set_name"),
-            F.slice(lines, at + 2, F.coalesce(F.get(marks, k + 1), last) - at - 1).alias("body"),
+            _set_name(F.get("_lines", at)).alias("set_name"),
+            F.slice("_lines", at + 2, F.coalesce(F.get("_marks", k + 1), F.size("_lines")) - at - 1).alias("body"),
         ),
     )
+    return (
+        items.select(SHOW, _lines(F.col(description)).alias("_lines"))
+        .withColumn("_marks", _marks("_lines", lambda x: x.rlike(_SET) | x.rlike(_ENCORE)))
+        .select(SHOW, F.explode(between).alias("s")).select(SHOW, "s.*")
+    )
 
 
 def set_lines(items: DataFrame, description: str = "description") -> DataFrame:
     """One row per text line of a set; set markers and credit lines are gone."""
-    sets = _between_markers(
-        F.col("_lines"), lambda x: x.rlike(_SET) | x.rlike(_ENCORE), _set_name
-    )
     return (
-        items.select(SHOW, _lines(F.col(description)).alias("_lines"))
-        .select(SHOW, F.explode(sets).alias("s"))
-        .select(SHOW, "s.set_order", "s.set_name", F.posexplode("s.body").alias("line_no", "line"))
+        _found_sets(items, description)
+        .select(SHOW, "set_order", "set_name", F.posexplode("body").alias("line_no", "line"))
         .filter(~F.col("line").rlike(rf"(?iU)^(?:{fixed.CREDIT_LINE_START})"))
     )
 
 
 def sets(items: DataFrame, description: str = "description") -> DataFrame:
     """Every set of a show in order, sets without songs included."""
-    found = _between_markers(
-        F.col("_lines"), lambda x: x.rlike(_SET) | x.rlike(_ENCORE), _set_name
-    )
-    return (
-        items.select(SHOW, _lines(F.col(description)).alias("_lines"))
-        .select(SHOW, F.explode(found).alias("s")).select(SHOW, "s.set_order", "s.set_name")
-    )
+    return _found_sets(items, description).drop("body")
 
 
 def set_entries(items: DataFrame, description: str = "description") -> DataFrame:
@@ -88,22 +84,23 @@ def set_entries(items: DataFrame, description: str = "description") -> DataFrame
         .withColumn("raw", strip("raw"))
         .filter((F.col("raw") != "") & ~F.col("raw").rlike(_ANY_MARKER))
     )
-    arrow = F.when(F.contains("raw", F.lit("->")), "->").when(F.contains("raw", F.lit(">")), ">")
-    parts = F.when(arrow == "->", F.split("raw", "->")).when(arrow == ">", F.split("raw", ">"))
-    head = F.when(arrow.isNull(), collapse("raw")).otherwise(strip(F.get(parts, F.lit(0))))
-    marks = F.regexp_extract_all("head", F.lit(r"(?U)[*^\d]+(?=\s|$)"), F.lit(0))
-    return (
-        entries.withColumn("transition", arrow.isNotNull())
-        .withColumn("head", head)
-        .withColumn("next", F.when(F.col("transition"), strip(F.get(parts, F.lit(1)))))
-        .withColumn("notations", marks)
-        .withColumn(
-            "song_name",
-            F.when(F.size("notations") > 0, strip(F.regexp_replace("head", r"(?U)[*^\d\s]+$", "")))
-            .otherwise(F.col("head")),
+
+    def take_apart(raw: Column) -> Column:
+        arrow = F.when(F.contains(raw, F.lit("->")), "->").when(F.contains(raw, F.lit(">")), ">")
+        parts = F.when(arrow == "->", F.split(raw, "->")).when(arrow == ">", F.split(raw, ">"))
+        return F.struct(
+            arrow.isNotNull().alias("transition"),
+            F.when(arrow.isNull(), collapse(raw)).otherwise(strip(F.get(parts, F.lit(0)))).alias("head"),
+            F.when(arrow.isNotNull(), strip(F.get(parts, F.lit(1)))).alias("next"),
         )
-        .drop("raw")
-    )
+
+    def note(e: Column) -> Column:
+        marks = F.regexp_extract_all(e["head"], F.lit(r"(?U)[*^\d]+(?=\s|$)"), F.lit(0))
+        return let(marks, lambda m: F.struct(
+            e["transition"].alias("transition"), e["head"].alias("head"), e["next"].alias("next"), m.alias("notations"),
+            F.when(F.size(m) > 0, strip(F.regexp_replace(e["head"], r"(?U)[*^\d\s]+$", ""))).otherwise(e["head"]).alias("song_name")))
+
+    return entries.withColumn("e", let(take_apart(F.col("raw")), note)).select(SHOW, *POSITION, "set_name", "e.*")
 
 
 def show_songs(entries: DataFrame) -> DataFrame:
@@ -179,7 +176,7 @@ def normalize_legacy(setlists: DataFrame, entries: str = "entries",
     bare = rf"(?iUd)^{fixed.LEGACY_MARKER}"
     lines = F.transform(F.filter(F.col(entries), lambda e: e.isNotNull()), _arrow)
 
-    marks = F.filter(F.transform(F.col("_lines"), lambda x, i: F.when(x.rlike(bare), i)), lambda i: i.isNotNull())
+    marks = _marks("_lines", lambda x: x.rlike(bare))
     first = F.coalesce(F.get("_marks", F.lit(0)), F.size("_lines"))
     lead = F.when(
         first > 0,

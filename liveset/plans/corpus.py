@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from liveset import fixed
 from liveset.functions.text import blank_to_null, has_text, strip
 from liveset.operators.chunks import chunk_words
-from liveset.scale import first_per_key
+from liveset.scale import first_row_per_key
 
 SHOW = "show_identifier"
 COLUMNS = {
@@ -45,7 +45,7 @@ def setlist_song_rows(songs: DataFrame, order: list[str], artist: str = fixed.AR
     """Distinct songs of a show, first mention first. Set songs come before flat ones by
     their ``order`` columns. Optional columns: date, duration."""
     named = songs.withColumn("song_name", strip("song_name")).filter(F.col("song_name") != "")
-    unique = first_per_key(named, [SHOW, "song_name"], [SHOW, *order])
+    unique = first_row_per_key(named, [SHOW, "song_name"], order)
     name = F.col("song_name")
     return _row(unique, "setlist_song", text=F.concat(name, F.lit(f" - {artist} setlist")),
                 comment_text=F.concat(F.lit("[Setlist] "), name, F.lit(" performed at "), SHOW),

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from liveset.scale import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +35,9 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+FACTS = {"lineitem", "orders", "documents", "pages", "conversations", "events"}
+
+
 class Tables:
     """Tables of a data folder by attribute: ``t.orders``."""
 
@@ -40,7 +45,8 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return spread(df) if table in FACTS else df
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

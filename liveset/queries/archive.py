@@ -161,10 +161,12 @@ SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y4, CAST(year(o_orderda
        strftime(o_orderdate, '%B %d, %Y') AS shown FROM orders""")
 def show_dates(t):
     """Dates of show keys with four- and two-digit years, and their long form."""
-    four = show_date(F.concat(F.lit("gd"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".sbd")))
-    two = show_date(F.concat(F.lit("gd"), F.date_format("o_orderdate", "yy-MM-dd"), F.lit(".aud")))
-    return t.orders.select("o_orderkey", four["year"].alias("y4"), two["year"].alias("y2"), four["month"].alias("m"),
-                           four["day"].alias("d"), long_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("shown"))
+    read = t.orders.select(
+        "o_orderkey", show_date(F.concat(F.lit("gd"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".sbd"))).alias("a"),
+        show_date(F.concat(F.lit("gd"), F.date_format("o_orderdate", "yy-MM-dd"), F.lit(".aud"))).alias("b"),
+        long_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("shown"))
+    return read.select("o_orderkey", F.col("a.year").alias("y4"), F.col("b.year").alias("y2"), F.col("a.month").alias("m"),
+                       F.col("a.day").alias("d"), "shown")
 
 
 @query(f"""

@@ -197,10 +197,12 @@ SELECT o_orderkey, CAST(NULL AS INTEGER) AS y1, CAST(month(o_orderdate) AS INTEG
 def date_phrases(t):
     """Dates read from phrases, and the word today written out."""
     day = F.to_date("o_orderdate")
-    short = parse_date_phrase(F.date_format(day, "'shows on' MMMM d"), day)
-    full = parse_date_phrase(F.date_format(day, "'on' MMM d, yyyy"), day)
-    return t.orders.select("o_orderkey", short["year"].alias("y1"), short["month"].alias("m1"), short["day"].alias("d1"), full["year"].alias("y2"),
-                           resolve_today(F.lit("what happened on Today?"), day).alias("resolved"))
+    read = t.orders.select(
+        "o_orderkey", parse_date_phrase(F.date_format(day, "'shows on' MMMM d"), day).alias("a"),
+        parse_date_phrase(F.date_format(day, "'on' MMM d, yyyy"), day).alias("b"),
+        resolve_today(F.lit("what happened on Today?"), day).alias("resolved"))
+    return read.select("o_orderkey", F.col("a.year").alias("y1"), F.col("a.month").alias("m1"), F.col("a.day").alias("d1"),
+                       F.col("b.year").alias("y2"), "resolved")
 
 
 # -- combined -----------------------------------------------------------------

@@ -61,7 +61,14 @@ def key_bucket(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS))
 
 
-def hot_buckets(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int]:
+def spread(df: DataFrame) -> DataFrame:
+    """Even out an input that has fewer splits than there are cores; others pass as they
+    are. For work that is heavy per row, such as reading texts and pages."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parallelism) if df.rdd.getNumPartitions() < parallelism else df
+
+
+def hot_buckets(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
     """Hash buckets whose rows would overload one task.
 
     One pass over the key columns, combined before the shuffle to at most
@@ -77,12 +84,15 @@ def hot_buckets(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int]:
     return [r["bucket"] for r in heavy if r["n"] > 8 * mean]
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int):
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, hot: list[int] | None):
     """``df`` with ``_chunk``: 0 for ordinary keys, an ordered range number for hot ones.
 
-    Returns ``None`` when no key is hot and a plain window is the better plan.
+    Returns ``None`` when no key is hot and a plain window is the better plan. ``hot`` are
+    buckets already found on a frame that has at least the rows of ``df`` per key, such as
+    the table ``df`` was made from; that frame is the cheaper one to count.
     """
-    hot = hot_buckets(df, keys, hot_rows)
+    if hot is None:
+        hot = hot_buckets(df, keys, hot_rows)
     if not hot:
         return None
     spark = df.sparkSession
@@ -98,11 +108,11 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
-                out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+                out: str, hot_rows: int = HOT_ROWS, hot: list[int] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per key; ``order`` must be unique in a key."""
     keys, order = list(keys), list(order)
     value = F.col(value) if isinstance(value, str) else value
-    parts = _chunked(df, keys, order, hot_rows)
+    parts = _chunked(df, keys, order, hot_rows, hot)
     frame = (W.unboundedPreceding, W.currentRow)
     if parts is None:
         return df.withColumn(out, F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))
@@ -123,16 +133,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, hot: list[int] | None = None) -> DataFrame:
     """1-based ordinal per key."""
-    return running_sum(df, keys, order, F.lit(1).cast("long"), out, hot_rows)
+    return running_sum(df, keys, order, F.lit(1).cast("long"), out, hot_rows, hot)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                   out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+                   out: str, hot_rows: int = HOT_ROWS, hot: list[int] | None = None) -> DataFrame:
     """``value`` of the preceding row of the key; null on its first row."""
     keys, order = list(keys), list(order)
-    parts = _chunked(df, keys, order, hot_rows)
+    parts = _chunked(df, keys, order, hot_rows, hot)
     if parts is None:
         return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
     within = W.partitionBy(*keys, CHUNK).orderBy(*order)
@@ -151,20 +161,25 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first row of every key; ``order`` must identify a row.
+    """Keep the first row of every key, for long keys; ``order`` must identify a row.
 
     The key travels as a digest and each mapper sends one candidate per key, so neither
     long texts nor a group of copies that makes up much of the table is gathered.
     """
     digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
-    keep = (
-        df.select(digest.alias("_key"), F.struct(*order).alias("_order"))
-        .groupBy("_key").agg(F.min("_order").alias("_order"))
-        .select("_order.*")
-    )
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    keep = df.select(digest.alias("_key"), at.alias("_order")).groupBy("_key").agg(F.min("_order").alias("_order"))
+    keep = keep.select(F.col("_order").alias(order[0])) if len(order) == 1 else keep.select("_order.*")
     return df.join(keep, list(order), "left_semi")
 
 
+def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The same for short rows: one shuffle of one candidate per key and mapper."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*keys, "_row.*").select(*df.columns)
+
+
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     """Columns of several one-row frames as one row, without joining them."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_frames)
