@@ -13,6 +13,7 @@ from liveset.functions.text import (
     cap, clean_song_title, col, collapse, is_song_length, is_song_noise, song_key, strip, unescape, words,
 )
 from liveset.operators.merge import top_per_key
+from liveset.scale import checkpoint
 
 NAME, MENTIONS = "name", "setlist_mentions"
 
@@ -53,12 +54,16 @@ def match_canonical(songs: DataFrame, index: DataFrame, name: str = NAME, cutoff
     """Slug of every song name: exact key first, close key otherwise; null where neither fits.
 
     ``index``: song_key, slug. Keys are matched once per distinct key, then joined back.
+    Names are few next to their mentions, so they are materialised once: three uses below
+    would otherwise count the mentions three times.
     """
-    keyed = with_match_key(songs, name, decode)
+    keyed = checkpoint(with_match_key(songs, name, decode))
     keys = keyed.select("match_key").distinct()
     exact = keys.join(index.select(F.col("song_key").alias("match_key"), "slug"), "match_key").withColumn(
         "match", F.lit("exact"))
     rest = keys.join(index.select(F.col("song_key").alias("match_key")), "match_key", "left_anti")
+    if rest.isEmpty():
+        return keyed.join(exact, "match_key", "left")
     close = fuzzy_match(rest.select(F.col("match_key").alias("left_key")),
                         index.select(F.col("song_key").alias("right_key"), "slug"), cutoff)
     close = close.select(F.col("left_key").alias("match_key"), "slug", F.lit("fuzzy").alias("match"))

@@ -12,7 +12,7 @@ from liveset.functions.dates import show_date_key
 from liveset.functions.text import (
     blank_to_null, clean_track_title, disc_track, duration_display, duration_seconds, is_non_song, strip, track_number,
 )
-from liveset.scale import HOT_ROWS, hot_buckets, row_ordinal
+from liveset.scale import HOT_ROWS, checkpoint, hot_buckets, row_ordinal
 
 SHOW = "show_identifier"
 
@@ -218,7 +218,7 @@ def song_durations(shows: DataFrame, files: DataFrame, songs: DataFrame, song: s
     """
     # One look at the sizes of shows serves every numbering below.
     kw.setdefault("hot", sorted({*hot_buckets(files, [SHOW]), *hot_buckets(songs, [SHOW])}))
-    best = track_best(files, **kw)
+    best = checkpoint(track_best(files, **kw))  # one row a track; used by several steps
     steps = [by_file_title(files, song)]
     if listing is not None:
         steps.append(match_track_table(listing, best, song, **kw))

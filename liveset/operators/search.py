@@ -12,7 +12,7 @@ from liveset.functions.dates import parse_date_phrase, show_date
 from liveset.functions.text import cap, loose_key, match_context, words
 from liveset.operators.merge import top_per_key
 from liveset.operators.vectors import knn, knn_filtered
-from liveset.scale import collect_bounded, row_ordinal
+from liveset.scale import checkpoint, collect_bounded, row_ordinal
 
 MAX_LITERAL_TERMS = 500
 GRAM = 8
@@ -205,7 +205,8 @@ def combine_hits(*parts: tuple[str, DataFrame], **kw) -> DataFrame:
         for i, (kind, hits) in enumerate(parts)])
     once = stacked.groupBy("question_id", "row_id").agg(
         F.min(F.struct("_part", "_place", "score", "score_kind")).alias("h")).select("question_id", "row_id", "h.*")
-    ranked = row_ordinal(once, ["question_id"], ["_part", "_place", "row_id"], "rank", **kw)
+    # Sizes are looked at before ranking; the searches must not run twice for that.
+    ranked = row_ordinal(checkpoint(once), ["question_id"], ["_part", "_place", "row_id"], "rank", **kw)
     return ranked.select("question_id", "row_id", "score", "score_kind", "rank")
 
 

@@ -11,7 +11,7 @@ from liveset.operators import merge as M
 from liveset.operators import metrics
 from liveset.operators import setlists as S
 from liveset.queries import query
-from liveset.scale import scratch_path
+from liveset.scale import hot_buckets, scratch_path
 from liveset.sources.sinks import publish, read_current
 from liveset.streaming import ingest as I
 
@@ -25,6 +25,11 @@ def _show_key(t):
         "gd%s.sbd.%d", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderkey").alias(SHOW))
 
 
+def _hot(t, key: str = "l_orderkey", name: str = SHOW):
+    """Overfull shows, counted once on the key column of the base table."""
+    return hot_buckets(t.lineitem.select(F.col(key).alias(name)), [name])
+
+
 SHOW_SQL = "'gd' || strftime(o_orderdate, '%Y-%m-%d') || '.sbd.' || o_orderkey"
 
 
@@ -38,9 +43,10 @@ SELECT l_orderkey, {LINE_SQL},
 def set_numbers(t):
     """Set number of each line: running count of the lines that start a set."""
     rows = t.lineitem.select("l_orderkey", *LINE, "l_returnflag")
-    flagged = S.previous_value(rows, ["l_orderkey"], LINE, "l_returnflag", "before")
+    hot = _hot(t)
+    flagged = S.previous_value(rows, ["l_orderkey"], LINE, "l_returnflag", "before", hot=hot)
     starts = F.coalesce(F.col("l_returnflag") != F.col("before"), F.lit(True))
-    return S.set_numbers(flagged, ["l_orderkey"], LINE, starts).select("l_orderkey", *LINE, "set_no")
+    return S.set_numbers(flagged, ["l_orderkey"], LINE, starts, hot=hot).select("l_orderkey", *LINE, "set_no")
 
 
 @query(f"""
@@ -53,7 +59,7 @@ def transitions(t):
     """Segue pairs: a song after a segue mark with its predecessor."""
     songs = t.lineitem.select("l_orderkey", *LINE, "l_returnflag").join(
         t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    pairs = S.transitions_in_order(songs, ["l_orderkey"], LINE, "p_name", F.col("l_returnflag") == "R")
+    pairs = S.transitions_in_order(songs, ["l_orderkey"], LINE, "p_name", F.col("l_returnflag") == "R", hot=_hot(t))
     return pairs.select("l_orderkey", *LINE, "transition_from", "transition_to")
 
 
@@ -240,7 +246,7 @@ FROM s JOIN tr USING (k, n) GROUP BY 1, 2""")
 def positional_match(t):
     """The k-th song of a show to its k-th track."""
     songs, tracks = _songs_and_tracks(t)
-    return D.match_tracks_by_position(songs, tracks, LINE, LINE, out=["length"]).select(SHOW, "song_name", "length")
+    return D.match_tracks_by_position(songs, tracks, LINE, LINE, out=["length"], hot=_hot(t)).select(SHOW, "song_name", "length")
 
 
 @query("""
@@ -256,13 +262,14 @@ def song_durations(t):
     """Duration of one song in every show: file title first, position last."""
     named = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").withColumn(
         SHOW, F.col("l_orderkey"))
-    files = D.row_ordinal(named, [SHOW], LINE, "file_no").select(
+    hot = _hot(t)
+    files = D.row_ordinal(named, [SHOW], LINE, "file_no", hot=hot).select(
         SHOW, "file_no", F.format_string("d1t%02d", F.col("file_no")).alias("name"),
         F.when(F.col("l_returnflag") == "R", F.concat("p_name", F.lit(" >"))).otherwise("").alias("title"),
         F.when(F.col("l_linestatus") == "O", F.format_string("%d:%02d", F.col("l_quantity").cast("int"), "l_linenumber")).alias("length"))
     songs = named.select(SHOW, F.col("l_linenumber").alias("line_no"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("item_no"),
                          F.col("p_name").alias("song_name"))
-    found = D.song_durations(named.select(SHOW), files, songs, "red widget")
+    found = D.song_durations(named.select(SHOW), files, songs, "red widget", hot=hot)
     return found.select(SHOW, "duration_seconds", "source")
 
 
@@ -278,12 +285,13 @@ def duration_by_position(t):
     """Duration of one song by its place in the set order."""
     named = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").withColumn(
         SHOW, F.col("l_orderkey"))
-    numbered = D.row_ordinal(named, [SHOW], LINE, "file_no")
+    hot = _hot(t)
+    numbered = D.row_ordinal(named, [SHOW], LINE, "file_no", hot=hot)
     files = numbered.select(SHOW, F.format_string("d1t%02d", F.col("file_no")).alias("name"),
                             F.when(F.col("l_linestatus") == "O", F.format_string(
                                 "%d:%02d", F.col("l_quantity").cast("int"), "l_linenumber")).alias("length"))
     songs = named.select(SHOW, *LINE, F.col("p_name").alias("song_name"))
-    return D.by_position(songs, D.track_best(files), "red widget", LINE).select(SHOW, "duration_seconds", "source")
+    return D.by_position(songs, D.checkpoint(D.track_best(files, hot=hot)), "red widget", LINE, hot=hot).select(SHOW, "duration_seconds", "source")
 
 
 @query("""
@@ -299,7 +307,8 @@ def track_table_match(t):
     listing = t.lineitem.select(F.col("l_orderkey").alias(SHOW), F.col("l_linenumber").alias("track_number"),
                                 F.col("l_linenumber").alias("listing_no"),
                                 F.when(F.col("l_returnflag") == "R", "Long Song").otherwise("Other").alias("title")).distinct()
-    matched = D.match_track_table(listing, D.track_best(files), "long song")
+    hot = _hot(t)
+    matched = D.match_track_table(listing, D.checkpoint(D.track_best(files, hot=hot)), "long song", hot=hot)
     return matched.filter("source = 'deadtracks_direct'").select(SHOW, "duration_seconds", "source")
 
 
