@@ -15,6 +15,7 @@ from liveset.operators.vectors import knn, knn_filtered
 from liveset.scale import checkpoint, collect_bounded, row_ordinal
 
 MAX_LITERAL_TERMS = 500
+MAX_BROADCAST_TERMS = 500_000
 GRAM = 8
 LYRIC_TYPES = ("lyric", "interpretation")
 DATE_SCORE = 1.0
@@ -81,6 +82,8 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
     asked = asked.withColumn("_n", F.least(F.length("_term"), F.lit(GRAM))).withColumn(
         "_gram", F.substring("_term", F.lit(1), F.col("_n")))
     sizes = asked.select("_n").distinct()
+    if asked.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
+        asked = F.broadcast(asked)  # runs are then probed as they are made, not shuffled
     runs = F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1), lambda i: F.substring("_low", i, F.col("_n"))))
     filed = (
@@ -154,7 +157,9 @@ def search_lyrics(corpus: DataFrame, questions: DataFrame, k: int = 15, types: S
     """
     rows = corpus.filter(F.col("type").isin(*types))
     named = rows.filter(F.coalesce("song_name", F.lit("")) != "").select("row_id", "song_name")
-    scored = lyric_scores(named, questions, question=question).join(named, "song_name").select(
+    # All rows of a name score alike and ties go by row id, so k rows a name are enough.
+    first = top_per_key(named, ["song_name"], ["row_id"], k, "_place").drop("_place")
+    scored = lyric_scores(named, questions, question=question).join(first, "song_name").select(
         "question_id", "row_id", F.lit(0).alias("stage"), (-F.col("score")).alias("order"))
     scored = top_per_key(scored, ["question_id"], ["order", "row_id"], k, "_place").drop("_place")
     if "embedding" in questions.columns:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from liveset.operators.merge import top_per_key
 from liveset.scale import collect_bounded
@@ -42,19 +43,20 @@ class HashingEncoder:
 
 def embed(df: DataFrame, encoder: Callable[[Sequence[str]], np.ndarray] | None = None, text: str = "text",
           out: str = "embedding", batch: int = 64) -> DataFrame:
-    """Add vectors of ``text``. The encoder gets ``batch`` texts at a time inside the tasks."""
+    """Add vectors of ``text``. Only the texts travel to Python, where the encoder gets
+    ``batch`` of them at a time; it is shipped once and lives as long as its task."""
     encoder = encoder or HashingEncoder()
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts = pdf[text].fillna("").tolist()
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in columns:
+            texts = column.fillna("").tolist()
             vectors: list = []
             for i in range(0, len(texts), batch):
                 vectors.extend(np.asarray(encoder(texts[i:i + batch]), dtype="float32"))
-            yield pdf.assign(**{out: vectors})
+            yield pd.Series(vectors, dtype="object")
 
-    return df.mapInPandas(run, schema)
+    vector = F.pandas_udf(run, T.ArrayType(T.FloatType()), PandasUDFType.SCALAR_ITER)
+    return df.withColumn(out, vector(text))
 
 
 def refresh_vectors(corpus: DataFrame, vectors: DataFrame, encoder=None, key: str = "row_id") -> DataFrame:

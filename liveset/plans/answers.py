@@ -63,7 +63,11 @@ def answer_batch(corpus: DataFrame, questions: DataFrame, question: str = "quest
 
 
 def with_rows(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    return hits.join(corpus, "row_id")
+    """Hits with their rows. Identical rows share an id and one of them is shown."""
+    wanted = corpus.join(hits.select("row_id"), "row_id", "left_semi")
+    rest = [c for c in corpus.columns if c != "row_id"]
+    rows = wanted.groupBy("row_id").agg(F.any_value(F.struct(*rest)).alias("r")).select("row_id", "r.*")
+    return hits.join(rows, "row_id")
 
 
 def top_with_venues(durations: DataFrame, k: int, undated: str | Column = "") -> DataFrame:

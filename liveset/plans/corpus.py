@@ -23,11 +23,15 @@ COLUMNS = {
 
 
 def _row(df: DataFrame, type_: str, **cols: Column) -> DataFrame:
-    """``df`` as corpus rows of one type; ``row_id`` is a hash of what the row says."""
+    """``df`` as corpus rows of one type.
+
+    ``row_id`` is a digest of what the row says: the same in every run and on every
+    partitioning, and wide enough for trillions of rows. Identical rows share it.
+    """
     named = {"type": F.lit(type_), **cols}
     out = df.select(*[
         (named[c] if c in named else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
-    return out.select(F.xxhash64(*COLUMNS).alias("row_id"), *COLUMNS)
+    return out.select(F.md5(F.to_json(F.struct(*COLUMNS))).alias("row_id"), *COLUMNS)
 
 
 def _text(c: str) -> Column:

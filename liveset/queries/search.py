@@ -165,7 +165,7 @@ def lyric_scores(t):
 @query(f"""
 WITH {SCORES}, r AS (SELECT question_id, p_partkey AS row_id, score FROM s JOIN part ON p_name = song_name WHERE score > 0 AND p_size <> 7),
 k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, row_id) AS rank FROM r)
-SELECT question_id, row_id, round(1 - (rank - 1) * 0.001, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 15""")
+SELECT question_id, row_id, round(CAST(1 - (rank - 1) * 0.001 AS DOUBLE), 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 15""")
 def lyric_search(t):
     """The best lyric and note rows per question by song name."""
     rows = t.part.select(F.col("p_partkey").alias("row_id"), F.when(F.col("p_size") != 7, "lyric").otherwise("comment").alias("type"), F.col("p_name").alias("song_name"))
