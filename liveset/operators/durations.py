@@ -58,13 +58,9 @@ def track_best(files: DataFrame, **kw) -> DataFrame:
     lose. Input columns: show_identifier, name, length.
     """
     kw.setdefault("hot", hot_buckets(files, [SHOW], kw.get("hot_rows", HOT_ROWS)))
-    place = disc_track("name")
-    seconds = duration_seconds("length")
     best = (
-        files.select(
-            SHOW, place["disc"].alias("disc"), place["track"].alias("track_in_disc"), "name",
-            "length", seconds.alias("duration_seconds"),
-        )
+        files.select(SHOW, disc_track("name").alias("p"), "name", "length", duration_seconds("length").alias("duration_seconds"))
+        .select(SHOW, F.col("p.disc").alias("disc"), F.col("p.track").alias("track_in_disc"), "name", "length", "duration_seconds")
         .groupBy(SHOW, "disc", "track_in_disc")
         .agg(
             F.min_by(

@@ -44,9 +44,11 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def raw(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+
     def __getattr__(self, table: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
-        return spread(df) if table in FACTS else df
+        return spread(self.raw(table)) if table in FACTS else self.raw(table)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -12,6 +12,8 @@ from liveset.operators import metrics
 from liveset.operators import setlists as S
 from liveset.queries import query
 from liveset.scale import hot_buckets, scratch_path
+from liveset.sources.readers import read_items
+from liveset.sources.sinks import append_transcripts as append_rows
 from liveset.sources.sinks import publish, read_current
 from liveset.streaming import ingest as I
 
@@ -27,7 +29,7 @@ def _show_key(t):
 
 def _hot(t, key: str = "l_orderkey", name: str = SHOW):
     """Overfull shows, counted once on the key column of the base table."""
-    return hot_buckets(t.lineitem.select(F.col(key).alias(name)), [name])
+    return hot_buckets(t.raw("lineitem").select(F.col(key).alias(name)), [name])
 
 
 SHOW_SQL = "'gd' || strftime(o_orderdate, '%Y-%m-%d') || '.sbd.' || o_orderkey"
@@ -127,6 +129,15 @@ def legacy_setlist_songs(t):
     return S.normalize_legacy(lists)["songs"]
 
 
+@query("""
+SELECT p_partkey AS show_identifier, 1 AS set_order, 0 AS line_no, 1 AS item_no, p_name AS transition_from, 'Dark Star' AS transition_to FROM part
+UNION ALL SELECT p_partkey, 1, 0, 2, 'Dark Star', 'Sugar Magnolia' FROM part""")
+def legacy_setlist_transitions(t):
+    """Segues of legacy lists: each song after an arrow with its predecessor."""
+    entries = F.array("p_type", F.concat(F.lit("Set II "), "p_name", F.lit(" &gt; dark star sugar magnolia")), F.lit("Encore"))
+    return S.normalize_legacy(t.part.select(F.col("p_partkey").alias(SHOW), entries.alias("entries")))["transitions"]
+
+
 @query(r"""
 WITH flat AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)
 SELECT doc_id AS show_identifier, CAST(i AS INTEGER) AS item_no, 0 AS part_no, trim(string_split(f, ',')[i + 1]) AS song_name
@@ -188,6 +199,20 @@ def duration_readings(t):
                              duration_seconds("l_returnflag").alias("unread"), duration_display("l_extendedprice").alias("shown"))
 
 
+@query("""
+SELECT p_partkey AS show_identifier, 0 AS file_no, p_name || '.flac' AS name, p_name AS title, '5:00' AS length, 'FLAC' AS format FROM part
+UNION ALL SELECT p_partkey, 2, p_name || '.mp3', '', '301.5', 'VBR MP3' FROM part""")
+def audio_files(t):
+    """Audio files of items; other formats and text files drop out."""
+    def file(name, title, length, format_):
+        return F.struct(name.alias("name"), title.alias("title"), F.lit(length).alias("length"), F.lit(format_).alias("format"))
+
+    named = lambda end: F.concat("p_name", F.lit(end))
+    files = F.array(file(named(".flac"), F.col("p_name"), "5:00", "FLAC"), file(named(".txt"), F.lit("x"), "1", "FLAC"),
+                    file(named(".mp3"), F.lit(None).cast("string"), "301.5", "VBR MP3"), file(named(".gif"), F.lit("x"), "1", "GIF"))
+    return D.audio_files(t.part.select(F.col("p_partkey").alias(SHOW), files.alias("files")))
+
+
 def _line_files(t):
     """Audio files of a show: one per line, disc by line number, track by supplier."""
     name = F.format_string("gd%dd%dt%02d.%s", "l_orderkey", "l_linenumber", F.pmod("l_suppkey", F.lit(7)).cast("int"), "l_returnflag")
@@ -564,6 +589,31 @@ def published_documents(t):
     return read_current(t.spark, path).select("doc_id", "source", "lang", "n_chars")
 
 
+@query("""
+SELECT 'd' || doc_id AS show_identifier, source AS reviewer, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS comment_text, CAST(n_chars AS INTEGER) AS rating, lang AS venue
+FROM documents""")
+def landed_items(t):
+    """Item documents landed as JSON, read by schema, their reviews and venues conformed."""
+    none = F.lit(None).cast("string")
+    docs = t.documents.select(
+        F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("identifier"), none.alias("venue"), F.col("lang").alias("location")).alias("metadata"),
+        F.array(F.struct(F.col("source").alias("username"), F.col("text").alias("reviewbody"), F.col("n_chars").alias("stars"))).alias("reviews"))
+    path = scratch_path(t.spark, "items")
+    docs.write.json(path)
+    items = read_items(t.spark, path, multi_line=False)
+    return M.normalize_reviews(items).select(SHOW, "reviewer", "comment_text", "rating").join(M.extended_metadata(items).select(SHOW, "venue"), SHOW)
+
+
+@query("""
+WITH a AS (SELECT text AS url, doc_id, 0 AS run FROM documents WHERE lang = 'en' UNION ALL SELECT text, doc_id, 1 FROM documents)
+SELECT url, min(run) AS run FROM a GROUP BY url""")
+def append_transcripts(t):
+    """Transcripts appended twice over: one row per link, the stored one first."""
+    rows = t.documents.select(F.col("text").alias("url"), "lang", F.lit(1).alias("run"))
+    stored = rows.filter("lang = 'en'").withColumn("run", F.lit(0))
+    return append_rows(stored, rows).select("url", "run")
+
+
 # -- metrics ------------------------------------------------------------------
 @query("""
 SELECT (SELECT count(*) FROM conversations) AS comments_total, (SELECT count(DISTINCT conv_id) FROM conversations) AS shows_with_comments,

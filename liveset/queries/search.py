@@ -221,6 +221,17 @@ def hybrid_search(t):
     return _shown(Q.hybrid_search(rows, asked, 12, F.to_date(TODAY)))
 
 
+@query(f"""
+WITH {CENTRES}, r AS (SELECT question_id, row_id, label, row_number() OVER (PARTITION BY question_id ORDER BY score, row_id) AS rank FROM d QUALIFY rank <= 30),
+e AS (SELECT question_id, row_id, row_number() OVER (PARTITION BY question_id ORDER BY score, row_id) AS rank FROM d WHERE label IN (1, 2, 5) QUALIFY rank <= 15)
+SELECT question_id, row_id FROM r WHERE (question_id, row_id) NOT IN (SELECT (question_id, row_id) FROM e)""")
+def later_hits(t):
+    """Hits that an earlier result list does not hold yet."""
+    centres = _centres(t)
+    earlier = V.knn_filtered(_vectors(t), centres, 15, F.col("label").isin(1, 2, 5))
+    return Q.without_earlier(V.knn(_vectors(t), centres, 30), earlier).select("question_id", "row_id")
+
+
 ROUTED = ['song:"Red Widget"', 'guest:"customer#000000012"', "transition:blue -> brand#1", 'deadcast:"the"', "ep:", "plain question"]
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HASH_BUCKETS = 1 << 20
+HASH_BUCKETS = 1 << 16
 HOT_ROWS = 2_000_000
 CHUNK = "_chunk"
 

@@ -64,9 +64,10 @@ def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Landed item documents; fields that may be text or list arrive as text."""
-    return read_json(spark, path, schemas.ITEMS).drop("_place", "_file").withColumn(
+def read_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Landed item documents, one a file or one a line; fields that may be text or list
+    arrive as text."""
+    return read_json(spark, path, schemas.ITEMS, multi_line).drop("_place", "_file").withColumn(
         SHOW, F.col("metadata.identifier"))
 
 
