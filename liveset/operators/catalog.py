@@ -13,7 +13,7 @@ from liveset.functions.text import (
     cap, clean_song_title, col, collapse, is_song_length, is_song_noise, song_key, strip, unescape, words,
 )
 from liveset.operators.merge import top_per_key
-from liveset.scale import checkpoint
+from liveset.scale import checkpoint, small
 
 NAME, MENTIONS = "name", "setlist_mentions"
 
@@ -101,7 +101,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, cutoff: float = fixed.FUZZY_C
                 F.explode(F.sequence(F.greatest(F.col("from") - k, F.lit(0)), F.col("from") + k)).alias("place"))
     )
     # Piece lengths that occur for some left key, so that right keys emit no others.
-    lengths = pieces.select(F.length("piece").alias("n")).distinct()
+    lengths = F.broadcast(pieces.select(F.length("piece").alias("n")).distinct())  # one row per length
     b = F.length("right_key")
     grams = (
         right.select("right_key").distinct().filter(b > 0)
@@ -192,7 +192,7 @@ def posts_for_songs(songs: DataFrame, posts: DataFrame, post_order: Sequence[str
         title = F.replace(title, F.lit(word), F.lit(" "))
     keyed = songs.select("song_name", song_key("song_name", decode).alias("key")).filter(
         F.length("key") >= fixed.MIN_MENTION_KEY).withColumn("n_words", F.size(F.split("key", " ")))
-    sizes = keyed.select("n_words").distinct()
+    sizes = F.broadcast(keyed.select("n_words").distinct())  # one row per number of words
     runs = (
         posts.withColumn("w", words(title))
         .withColumn("n_words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))))
@@ -205,7 +205,7 @@ def posts_for_songs(songs: DataFrame, posts: DataFrame, post_order: Sequence[str
     )
     text = F.when(F.coalesce(F.col("text"), F.lit("")) != "",
                   F.concat("title", F.lit(" -- "), cap("text", fixed.POST_TEXT_CAP))).otherwise(F.col("title"))
-    hits = keyed.join(runs, ["key", "n_words"])
+    hits = runs.join(small(keyed), ["key", "n_words"])
     return top_per_key(hits, ["song_name"], post_order, k).select(
         "song_name", "rank", F.lit(fixed.SOURCE_FORUM).alias("source"), collapse(text).alias("text"), "url",
         F.col("created").alias("date"))

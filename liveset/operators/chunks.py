@@ -11,13 +11,13 @@ from liveset.functions.text import words
 
 def chunk_words(df: DataFrame, text: str, size: int = fixed.CHUNK_WORDS) -> DataFrame:
     """Consecutive chunks of ``size`` words: chunk_index, chunk, word_count."""
-    parts = F.transform(
+    parts = F.when(F.size("_w") > 0, F.transform(
         F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / size).cast("int")),
         lambda i: F.slice("_w", i * size + 1, F.lit(size)),
-    )
+    ))
     keep = [c for c in df.columns if c != text]
     return (
-        df.withColumn("_w", words(text)).filter(F.size("_w") > 0)
+        df.withColumn("_w", words(text))
         .select(*keep, F.posexplode(parts).alias("chunk_index", "_c"))
         .select(*keep, "chunk_index", F.array_join("_c", " ").alias("chunk"), F.size("_c").alias("word_count"))
     )

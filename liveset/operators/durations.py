@@ -12,7 +12,7 @@ from liveset.functions.dates import show_date_key
 from liveset.functions.text import (
     blank_to_null, clean_track_title, disc_track, duration_display, duration_seconds, is_non_song, strip, track_number,
 )
-from liveset.scale import HOT_ROWS, checkpoint, hot_buckets, row_ordinal
+from liveset.scale import HOT_ROWS, checkpoint, hot_buckets, row_ordinal, small
 
 SHOW = "show_identifier"
 
@@ -263,4 +263,4 @@ def with_venue(durations: DataFrame, venues: DataFrame, undated: str = "") -> Da
     resolved = F.coalesce(
         own, F.when(F.col("show_date").isNull(), F.lit(undated)), F.col("known_venue"), F.lit(fixed.UNKNOWN_VENUE)
     )
-    return keyed.join(venues, "show_date", "left").withColumn("venue", resolved).drop("known_venue")
+    return keyed.join(small(venues), "show_date", "left").withColumn("venue", resolved).drop("known_venue")

@@ -56,7 +56,7 @@ def flatten_replies(posts: DataFrame, children: str = "comments", max_depth: int
             if depth == max_depth:
                 return here
             replies = F.from_json(node["data"]["replies"], LISTING)["data"]["children"]
-            return F.concat(here, F.coalesce(walk(replies, depth + 1), F.array_except(here, here)))
+            return F.concat(here, F.coalesce(walk(replies, depth + 1), F.slice(here, 1, 0)))
 
         return F.flatten(F.transform(comments, visit))
 

@@ -12,10 +12,9 @@ from liveset.functions.dates import parse_date_phrase, show_date
 from liveset.functions.text import cap, loose_key, match_context, words
 from liveset.operators.merge import top_per_key
 from liveset.operators.vectors import knn, knn_filtered
-from liveset.scale import checkpoint, collect_bounded, row_ordinal
+from liveset.scale import checkpoint, collect_bounded, row_ordinal, small
 
 MAX_LITERAL_TERMS = 500
-MAX_BROADCAST_TERMS = 500_000
 GRAM = 8
 LYRIC_TYPES = ("lyric", "interpretation")
 DATE_SCORE = 1.0
@@ -81,9 +80,8 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
         )
     asked = asked.withColumn("_n", F.least(F.length("_term"), F.lit(GRAM))).withColumn(
         "_gram", F.substring("_term", F.lit(1), F.col("_n")))
-    sizes = asked.select("_n").distinct()
-    if asked.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
-        asked = F.broadcast(asked)  # runs are then probed as they are made, not shuffled
+    sizes = F.broadcast(asked.select("_n").distinct())  # GRAM rows at most
+    asked = small(asked)  # runs are then probed as they are made, not shuffled
     runs = F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1), lambda i: F.substring("_low", i, F.col("_n"))))
     filed = (
@@ -137,7 +135,7 @@ def _containments(longs: DataFrame, parts: DataFrame, gram: int = GRAM) -> DataF
     """Pairs where ``long`` holds ``part``, met on the first characters of the part."""
     filed = parts.distinct().withColumn("_n", F.least(F.length("part"), F.lit(gram))).withColumn(
         "_gram", F.substring("part", F.lit(1), F.col("_n")))
-    sizes = filed.select("_n").distinct()
+    sizes = F.broadcast(filed.select("_n").distinct())  # GRAM rows at most
     runs = (
         longs.distinct().withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(gram))))
         .join(sizes, "_n", "left_semi").filter(F.length("long") >= F.col("_n"))
@@ -177,13 +175,8 @@ def with_show_date(corpus: DataFrame) -> DataFrame:
 
 def search_by_date(corpus: DataFrame, questions: DataFrame, today: Column, question: str = "question") -> DataFrame:
     """Rows of shows on the date a question names; without a year, of every year."""
-    asked = (
-        questions.withColumn("_d", parse_date_phrase(question, today)).filter("_d is not null")
-        .select("question_id", F.col("_d.month").alias("month"), F.col("_d.day").alias("day"), F.col("_d.year").alias("asked_year"))
-    )
-    dated = with_show_date(corpus).filter("show_date is not null").select(
-        "row_id", F.col("show_date.month").alias("month"), F.col("show_date.day").alias("day"),
-        F.col("show_date.year").alias("year"))
+    asked = small(_dates(questions, "question_id", parse_date_phrase(question, today)).withColumnRenamed("year", "asked_year"))
+    dated = _dates(corpus, "row_id", show_date("show_identifier", "type", "created"))
     return (
         dated.join(asked, ["month", "day"])
         .filter(F.col("asked_year").isNull() | (F.col("asked_year") == F.col("year")))
@@ -191,6 +184,11 @@ def search_by_date(corpus: DataFrame, questions: DataFrame, today: Column, quest
     )
 
 
+def _dates(df: DataFrame, key: str, date: Column) -> DataFrame:
+    """Key, year, month and day of the rows that have a date."""
+    return df.select(key, F.inline(F.array_compact(F.array(date))))
+
+
 # -- combining ----------------------------------------------------------------
 def without_earlier(hits: DataFrame, earlier: DataFrame) -> DataFrame:
     return hits.join(earlier.select("question_id", "row_id"), ["question_id", "row_id"], "left_anti")

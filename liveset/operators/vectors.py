@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
-from pyspark.sql.pandas.functions import PandasUDFType
 
 from liveset.operators.merge import top_per_key
 from liveset.scale import collect_bounded
@@ -55,7 +54,7 @@ def embed(df: DataFrame, encoder: Callable[[Sequence[str]], np.ndarray] | None =
                 vectors.extend(np.asarray(encoder(texts[i:i + batch]), dtype="float32"))
             yield pd.Series(vectors, dtype="object")
 
-    vector = F.pandas_udf(run, T.ArrayType(T.FloatType()), PandasUDFType.SCALAR_ITER)
+    vector = F.pandas_udf(run, T.ArrayType(T.FloatType()))
     return df.withColumn(out, vector(text))
 
 

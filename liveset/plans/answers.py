@@ -39,7 +39,7 @@ def duration_route(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame
         "row_id", F.lit(0.0).alias("score"), F.col("duration_seconds"))
     ranked = top_per_key(top.withColumn("route", F.lit("ep")), ["route"], [F.desc("duration_seconds"), "row_id"], k)
     return questions.filter(F.col("route") == "ep").select("question_id", "route").join(
-        ranked.select("route", "row_id", "score", "rank"), "route").drop("route")
+        F.broadcast(ranked.select("route", "row_id", "score", "rank")), "route").drop("route")  # k rows
 
 
 def answer_batch(corpus: DataFrame, questions: DataFrame, question: str = "question", limits: dict | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from liveset.queries import query
 from liveset.queries.texts import CORPUS_SQL, corpus
 
 SHOW = "show_identifier"
-TODAY = F.lit("2024-09-25")
+TODAY = "2024-09-25"
 
 # Questions are the mean vectors of the labels: one per label over the whole table.
 CENTRES = """
@@ -188,7 +188,7 @@ def _dated(t):
 @query(f"WITH {DATED} SELECT question_id, row_id, CAST(1.0 AS DOUBLE) AS score FROM hit")
 def date_search(t):
     """Rows of shows on the dates that questions name."""
-    return Q.search_by_date(_dated(t), _phrases(t, DATE_QUESTIONS), F.to_date(TODAY))
+    return Q.search_by_date(_dated(t), _phrases(t, DATE_QUESTIONS), F.to_date(F.lit(TODAY)))
 
 
 @query("""
@@ -218,7 +218,7 @@ def hybrid_search(t):
     shows = t.orders.select(F.col("o_orderkey").alias("row_id"), F.date_format("o_orderdate", "'gd'yyyy-MM-dd").alias(SHOW))
     rows = _vectors(t).join(shows, "row_id", "left").select("row_id", "embedding", SHOW, F.lit("comment").alias("type"), F.lit("").alias("created"))
     asked = _centres(t).withColumn("question", F.concat((F.col("question_id") + 1).cast("string"), F.lit("/2")))
-    return _shown(Q.hybrid_search(rows, asked, 12, F.to_date(TODAY)))
+    return _shown(Q.hybrid_search(rows, asked, 12, F.to_date(F.lit(TODAY))))
 
 
 @query(f"""

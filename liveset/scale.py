@@ -57,6 +57,12 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
+def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Broadcast a side of narrow rows once a count has shown it to be small; a larger one
+    is left to Spark's own choice of join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def key_bucket(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS))
 
@@ -170,7 +176,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     keep = df.select(digest.alias("_key"), at.alias("_order")).groupBy("_key").agg(F.min("_order").alias("_order"))
     keep = keep.select(F.col("_order").alias(order[0])) if len(order) == 1 else keep.select("_order.*")
-    return df.join(keep, list(order), "left_semi")
+    # Places are small: hashing them spares sorting the long rows they select.
+    return df.join(keep.hint("shuffle_hash"), list(order), "left_semi")
 
 
 def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
