@@ -1,6 +1,8 @@
 """Helpers that keep plans whole and even when keys are skewed.
 
 * ``checkpoint``      cut lineage on the shared folder, so lost executors cost nothing
+* ``spread``          even out an input with fewer splits than cores
+* ``small``           broadcast a side once its size is proven
 * ``collect_bounded`` bring a small side to the driver only after its size is proven
 * ``running_sum``, ``row_ordinal``, ``previous_value``
                       ordered per-key results; a key too big for one task is cut into
@@ -90,27 +92,34 @@ def hot_buckets(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return [r["bucket"] for r in heavy if r["n"] > 8 * mean]
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, hot: list[int] | None):
-    """``df`` with ``_chunk``: 0 for ordinary keys, an ordered range number for hot ones.
+def _split(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, hot: list[int] | None):
+    """Rows of ordinary keys, and rows of overfull ones with ``_chunk``, a range number that
+    follows ``order``; the second is ``None`` when no key is overfull.
 
-    Returns ``None`` when no key is hot and a plain window is the better plan. ``hot`` are
-    buckets already found on a frame that has at least the rows of ``df`` per key, such as
-    the table ``df`` was made from; that frame is the cheaper one to count.
+    ``hot`` are buckets already found on a frame that has at least the rows of ``df`` per
+    key, such as the table ``df`` was made from; that frame is the cheaper one to count.
     """
     if hot is None:
         hot = hot_buckets(df, keys, hot_rows)
     if not hot:
-        return None
+        return df, None
     spark = df.sparkSession
-    marks = spark.createDataFrame([(b,) for b in hot], "_bucket long")
+    marks = F.broadcast(spark.createDataFrame([(b,) for b in hot], "_bucket long"))  # an eighth of the buckets at most
     tagged = df.withColumn("_bucket", key_bucket(keys))
-    ordinary = tagged.join(marks, "_bucket", "left_anti").withColumn(CHUNK, F.lit(0))
-    ranged = tagged.join(marks, "_bucket", "left_semi").repartitionByRange(
+    ordinary = tagged.join(marks, "_bucket", "left_anti").drop("_bucket")
+    ranged = tagged.join(marks, "_bucket", "left_semi").drop("_bucket").repartitionByRange(
         int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *order
     )
     # The range number must not change between the uses below, hence the checkpoint.
-    ranged = checkpoint(ranged.withColumn(CHUNK, F.spark_partition_id() + 1))
-    return ordinary.unionByName(ranged).drop("_bucket")
+    return ordinary, checkpoint(ranged.withColumn(CHUNK, F.spark_partition_id()))
+
+
+def _attach(df: DataFrame, per_range: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join what is known per key and range; a null key is a key like any other."""
+    by = [*keys, CHUNK]
+    right = per_range.select(*[F.col(k).alias(f"_r_{k}") for k in by], *[c for c in per_range.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(right[f"_r_{k}"]) for k in by])
+    return df.join(right, same).drop(*[f"_r_{k}" for k in by])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
@@ -118,24 +127,21 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """Inclusive running sum of ``value`` per key; ``order`` must be unique in a key."""
     keys, order = list(keys), list(order)
     value = F.col(value) if isinstance(value, str) else value
-    parts = _chunked(df, keys, order, hot_rows, hot)
-    frame = (W.unboundedPreceding, W.currentRow)
-    if parts is None:
-        return df.withColumn(out, F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))
-    within = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(*frame)
+    ordinary, ranged = _split(df, keys, order, hot_rows, hot)
+    so_far = lambda *by: F.sum(value).over(
+        W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    plain = ordinary.withColumn(out, so_far(*keys))
+    if ranged is None:
+        return plain
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        parts.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_total"))
-        .withColumn("_offset", F.sum("_total").over(before))
-        .filter(F.col("_offset").isNotNull())
+        ranged.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_total"))
+        .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .drop("_total")
     )
-    return (
-        parts.withColumn(out, F.sum(value).over(within))
-        .join(offsets, [*keys, CHUNK], "left")
-        .withColumn(out, F.col(out) + F.coalesce(F.col("_offset"), F.lit(0)))
-        .select(*df.columns, out)
-    )
+    stitched = _attach(ranged.withColumn(out, so_far(*keys, CHUNK)), offsets, keys).withColumn(
+        out, F.col(out) + F.col("_offset"))
+    return plain.unionByName(stitched.select(*df.columns, out))
 
 
 def row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
@@ -148,22 +154,19 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
                    out: str, hot_rows: int = HOT_ROWS, hot: list[int] | None = None) -> DataFrame:
     """``value`` of the preceding row of the key; null on its first row."""
     keys, order = list(keys), list(order)
-    parts = _chunked(df, keys, order, hot_rows, hot)
-    if parts is None:
-        return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
-    within = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    lasts = (
-        parts.groupBy(*keys, CHUNK)
-        .agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    ordinary, ranged = _split(df, keys, order, hot_rows, hot)
+    plain = ordinary.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
+    if ranged is None:
+        return plain
+    boxed = F.struct(F.col(value).alias("v"))
+    carried = (
+        ranged.groupBy(*keys, CHUNK).agg(F.max_by(boxed, F.struct(*order)).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(W.partitionBy(*keys).orderBy(CHUNK)))
         .drop("_last")
     )
-    return (
-        parts.withColumn("_here", F.lag(F.struct(F.col(value).alias("v"))).over(within))
-        .join(lasts, [*keys, CHUNK], "left")
-        .withColumn(out, F.coalesce(F.col("_here"), F.col("_carry"))["v"])
-        .select(*df.columns, out)
-    )
+    here = ranged.withColumn("_here", F.lag(boxed).over(W.partitionBy(*keys, CHUNK).orderBy(*order)))
+    stitched = _attach(here, carried, keys).withColumn(out, F.coalesce(F.col("_here"), F.col("_carry"))["v"])
+    return plain.unionByName(stitched.select(*df.columns, out))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

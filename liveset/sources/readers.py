@@ -30,16 +30,16 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
-    """JSON by schema with the file and row place that first-wins merging needs."""
+    """JSON by schema with the file name, which orders files for first-wins merging."""
     if not _exists(spark, path):
-        return _empty(spark, schema).withColumn("_file", F.lit("")).withColumn("_place", F.lit(0).cast("long"))
+        return _empty(spark, schema).withColumn("_file", F.lit(""))
     rows = spark.read.schema(schema).json(path, multiLine=multi_line)
-    return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_place", F.monotonically_increasing_id())
+    return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank lines are skipped by the source."""
-    return read_json(spark, path, schema, multi_line=False).drop("_place", "_file")
+    return read_json(spark, path, schema, multi_line=False).drop("_file")
 
 
 def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -67,7 +67,7 @@ def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Landed item documents, one a file or one a line; fields that may be text or list
     arrive as text."""
-    return read_json(spark, path, schemas.ITEMS, multi_line).drop("_place", "_file").withColumn(
+    return read_json(spark, path, schemas.ITEMS, multi_line).drop("_file").withColumn(
         SHOW, F.col("metadata.identifier"))
 
 
@@ -122,7 +122,7 @@ def read_lyrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_durations(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, schemas.DURATIONS).drop("_place", "_file").withColumnRenamed("show_id", SHOW)
+    return read_json(spark, path, schemas.DURATIONS).drop("_file").withColumnRenamed("show_id", SHOW)
 
 
 def read_songlist(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveset.scale import first_per_key
+from liveset.scale import first_row_per_key
 
 
 def write_corpus(df: DataFrame, path: str, fmt: str = "parquet", append: bool = False) -> None:
@@ -16,8 +16,7 @@ def append_transcripts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Concatenation that a repeated run does not double: the first row per URL stays."""
     stacked = existing.withColumn("_run", F.lit(0)).unionByName(incoming.withColumn("_run", F.lit(1)), allowMissingColumns=True)
     numbered = stacked.withColumn("_digest", F.sha2(F.to_json(F.struct(*[c for c in stacked.columns if c != "_run"])), 256))
-    kept = first_per_key(numbered, ["url"], ["_run", "_digest"])
-    return kept.dropDuplicates(["url"]).drop("_run", "_digest")
+    return first_row_per_key(numbered, ["url"], ["_run", "_digest"]).drop("_run", "_digest")
 
 
 def write_vectors(df: DataFrame, path: str) -> None:

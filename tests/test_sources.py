@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liveset.operators import metrics
+from liveset.operators.format import extractive_answer
 from liveset.operators.setlists import POSITION, legacy_or_rich, normalize_legacy
 from liveset.plans import corpus as U
 from liveset.plans.answers import answer_batch, top_with_venues
@@ -161,3 +162,23 @@ def test_stream_resumes_and_replaces_by_key(spark, tmp_path):
     assert got(I.compact(spark, log["reviews"], table), SHOW) == [("s1",), ("s2",)]
     assert got(I.compact(spark, log["reviews"], table), SHOW) == [("s1",), ("s2",)]
     assert sinks.versions(spark, table) == [1, 2]
+
+
+def test_sinks(spark, tmp_path):
+    out = lambda n: str(tmp_path / n)
+    sinks.write_corpus(spark.range(2), out("c"))
+    sinks.write_corpus(spark.range(3), out("c"), append=True)
+    assert spark.read.parquet(out("c")).count() == 5
+    top = spark.createDataFrame([(2, "s2", 61.0, "t", None), (1, "s1", 456.0, "u", "title")], "rank int, show_identifier string, duration_seconds double, track_file string, source string")
+    sinks.write_report(metrics.ranking_lines(top), out("r"))
+    assert [r.value for r in spark.read.text(out("r")).collect()] == ["| 1 | s1 | 7:36 | u | title |", "| 2 | s2 | 1:01 | t |  |"]
+    lines = spark.createDataFrame([(2, "b", "edge"), (0, "0", "head"), (1, "a", "node"), (3, "", "}")], "section int, key string, value string")
+    sinks.write_graph_dot(lines, out("d"))
+    assert sorted(r.value for r in spark.read.text(out("d")).collect()) == ["edge", "head", "node", "}"]
+
+
+def test_extractive_answer(spark):
+    hits = spark.createDataFrame([(1, 1, "s", "x" * 400), (1, 2, "", "short")], "question_id int, rank int, show_identifier string, comment_text string").withColumn("type", F.lit("comment"))
+    row = extractive_answer(hits).first()
+    assert row.text.startswith("Based on 2 sources:\n\n**#1** — [s](https://archive.org/details/s)\nRating: N/A/5 | Date: N/A\n_" + "x" * 300 + "..._\n")
+    assert "**#2** — [N/A]()" in row.text
