@@ -48,6 +48,9 @@ SKIP_PHRASES = [
     "misc", "tune", "banter", "announcement", "speech",
 ]
 POSITIONAL_MIN_SECONDS = 120
+BY_TITLE = "ia_title_match"
+BY_LISTING_NUMBER, BY_LISTING_PLACE = "deadtracks_direct", "deadtracks_positional"
+BY_PLACE, BY_LONG_PLACE = "positional_fallback", "positional_filtered"
 
 # -- setlists -----------------------------------------------------------------
 SET_MARKER = r"Set\s*[0-9]|Set\s*One|Set\s*Two|Set\s*Three|Disc\s*\d|Segue\s*\d"

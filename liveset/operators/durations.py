@@ -142,7 +142,7 @@ def by_file_title(files: DataFrame, song: str) -> DataFrame:
     return (
         hit.select(SHOW, duration_seconds("f.length").alias("duration_seconds"),
                    F.col("f.length").alias("duration_display"), F.col("f.name").alias("track_file"),
-                   F.lit("ia_title_match").alias("source"))
+                   F.lit(fixed.BY_TITLE).alias("source"))
         .filter(_known("duration_seconds"))
     )
 
@@ -160,14 +160,14 @@ def match_track_table(listing: DataFrame, best: DataFrame, song: str, **kw) -> D
     direct = (
         listing.filter(wanted)
         .join(usable.withColumnRenamed("track_no", "track_number"), [SHOW, "track_number"])
-        .groupBy(SHOW).agg(F.min_by(F.struct(*found("deadtracks_direct")), "listing_no").alias("m"))
+        .groupBy(SHOW).agg(F.min_by(F.struct(*found(fixed.BY_LISTING_NUMBER)), "listing_no").alias("m"))
         .select(SHOW, "m.*", F.lit(1).alias("priority"))
     )
     numbered = row_ordinal(listing.filter(~is_non_song("title")), [SHOW], ["track_number"], "track_no", **kw)
     positional = (
         numbered.filter(wanted).select(SHOW, "track_no")
         .join(usable, [SHOW, "track_no"])
-        .groupBy(SHOW).agg(F.min_by(F.struct(*found("deadtracks_positional")), "track_no").alias("m"))
+        .groupBy(SHOW).agg(F.min_by(F.struct(*found(fixed.BY_LISTING_PLACE)), "track_no").alias("m"))
         .select(SHOW, "m.*", F.lit(2).alias("priority"))
     )
     return _by_priority(direct.unionByName(positional))
@@ -190,14 +190,14 @@ def by_position(songs: DataFrame, best: DataFrame, song: str, song_order: Sequen
         SHOW, "duration_seconds", "duration_display", F.col("file_name").alias("track_file"), F.lit(source).alias("source")]
     plain = (
         place.join(best.withColumnRenamed("track_no", "k"), [SHOW, "k"])
-        .filter(_known("duration_seconds")).select(*found("positional_fallback"), F.lit(1).alias("priority"))
+        .filter(_known("duration_seconds")).select(*found(fixed.BY_PLACE), F.lit(1).alias("priority"))
     )
     long_tracks = row_ordinal(best.filter(F.col("duration_seconds") >= fixed.POSITIONAL_MIN_SECONDS).drop("track_no"),
                               [SHOW], ["disc", "track_in_disc"], "k", **kw)
     filtered = (
         place.join(n_tracks, SHOW).filter("n_tracks > n_songs")
         .join(long_tracks, [SHOW, "k"])
-        .filter(_known("duration_seconds")).select(*found("positional_filtered"), F.lit(2).alias("priority"))
+        .filter(_known("duration_seconds")).select(*found(fixed.BY_LONG_PLACE), F.lit(2).alias("priority"))
     )
     return _by_priority(plain.unionByName(filtered))
 
@@ -231,8 +231,8 @@ def song_durations(shows: DataFrame, files: DataFrame, songs: DataFrame, song: s
 def source_breakdown(durations: DataFrame) -> DataFrame:
     """How many durations came from which kind of match."""
     kind = (
-        F.when(F.col("source") == "ia_title_match", "title")
-        .when(F.contains("source", F.lit("deadtracks")), "external")
+        F.when(F.col("source") == fixed.BY_TITLE, "title")
+        .when(F.col("source").isin(fixed.BY_LISTING_NUMBER, fixed.BY_LISTING_PLACE), "external")
         .when(F.col("source").isNotNull(), "positional")
         .otherwise("none")
     )

@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +185,26 @@ def test_extractive_answer(spark):
     row = extractive_answer(hits).first()
     assert row.text.startswith("Based on 2 sources:\n\n**#1** — [s](https://archive.org/details/s)\nRating: N/A/5 | Date: N/A\n_" + "x" * 300 + "..._\n")
     assert "**#2** — [N/A]()" in row.text
+
+
+def test_stream_takes_new_keys_only(spark, tmp_path):
+    src = put(tmp_path / "in", *[{"metadata": {"identifier": s}, "reviews": []} for s in ("a", "b", "c")])
+    known = spark.createDataFrame([("a",), ("a",)], f"{SHOW} string")
+    stream = I.new_keys_only(I.stream_json(spark, src).withColumn(SHOW, F.col("metadata.identifier")), known)
+    log = str(tmp_path / "log")
+    I.ingest_stream(stream, {"keys": log}, str(tmp_path / "ckpt"), {"keys": lambda df: df.select(SHOW)}).awaitTermination()
+    assert got(I.read_log(spark, log), SHOW) == [("b",), ("c",)]
+
+
+def test_tasks_need_no_installed_package(tmp_path):
+    """Python work must reach executors that do not have the package on their path."""
+    code = (
+        "import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert e.queries()['embedded_corpus'](s, '/root/testdata/sf0.001').count() > 0\n"
+        "assert e.entry(s).count() > 0\n"
+    ).format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
