@@ -69,6 +69,8 @@ def resolve_tags(actions: DataFrame, staging: DataFrame) -> DataFrame:
 def promote_tags(lyrics: DataFrame, promotions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lyrics with ``[tag]`` put in front, and the promotions that could not be applied.
 
+    A song carries few distinct tags, one a singer; repeats of a promotion count once.
+
     ``lyrics``: title, lyrics_text. ``promotions``: song_name, canonical_title, tag. The
     canonical title is looked up first, then the song name.
     """
@@ -83,10 +85,13 @@ def promote_tags(lyrics: DataFrame, promotions: DataFrame) -> tuple[DataFrame, D
     head = F.concat(F.lit("["), F.col("tag"), F.lit("]"))
     tagged = found.select("song_name", "title", "tag").join(lyrics.select("title", "lyrics_text"), "title").withColumn(
         "has_tag", strip(text).startswith(head))
-    new_text = tagged.filter(~F.col("has_tag")).groupBy("title").agg(F.max("tag").alias("tag"))
-    updated = lyrics.join(new_text, "title", "left").withColumn(
-        "lyrics_text", F.when(F.col("tag").isNotNull(), F.concat(head, F.lit("\n\n"), text)).otherwise(F.col("lyrics_text"))
-    ).drop("tag")
+    # Tags of one song are applied in name order, each in front of the earlier ones.
+    fresh = tagged.filter(~F.col("has_tag")).select("title", "tag").distinct()
+    heads = fresh.groupBy("title").agg(F.sort_array(F.collect_list("tag"), asc=False).alias("tags"))
+    front = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("["), t, F.lit("]\n\n"))), "")
+    updated = lyrics.join(heads, "title", "left").withColumn(
+        "lyrics_text", F.when(F.col("tags").isNotNull(), F.concat(front, text)).otherwise(F.col("lyrics_text"))
+    ).drop("tags")
     errors = (
         tagged.filter("has_tag").select("song_name", "tag", F.lit("already tagged").alias("error"))
         .unionByName(unknown.select("song_name", "tag", F.lit("song not found").alias("error")))

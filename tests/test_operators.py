@@ -316,6 +316,14 @@ def test_review(spark):
     assert dict(got(metrics.status_counts(staging.limit(0)), "status", "n")) == {"pending": 0, "approved": 0, "rejected": 0}
 
 
+def test_promote_several_tags(spark):
+    lyrics = frame(spark, [("A", "la"), ("B", "[Bob] x"), ("C", None)], "title string, lyrics_text string")
+    wanted = frame(spark, [("A", "", "Bob"), ("A", "", "Jerry"), ("x", "B", "Bob"), ("C", "gone", "Bob"), ("zz", "", "Bob")], "song_name string, canonical_title string, tag string")
+    updated, errors = R.promote_tags(lyrics, wanted)
+    assert got(updated, "title", "lyrics_text") == [("A", "[Jerry]\n\n[Bob]\n\nla"), ("B", "[Bob] x"), ("C", "[Bob]\n\n")]
+    assert got(errors, "song_name", "error") == [("x", "already tagged"), ("zz", "song not found")]
+
+
 # -- vectors and search -------------------------------------------------------
 def test_knn_paths_equal_brute_force(spark):
     rng = np.random.default_rng(5)
