@@ -88,11 +88,16 @@ class Powers:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _rise(base: int, size: int) -> np.ndarray:
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 1 << 16)
-            rise = lambda b: np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64))
-            self.up, self.down = rise(self.base), rise(self.inverse)
+            self.up, self.down = self._rise(self.base, size), self._rise(self.inverse, size)
         return self.up[:n], self.down[:n]
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveset.llm import arrowfiles, packing
-from liveset.llm.common import scratch
+from liveset.llm import arrowfiles, packing, substrings
+from liveset.llm.common import scratch, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "whole")
 
 
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the word runs that repeat elsewhere."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    digest = F.sha2(F.array_join(words_of(F.col("kept_text")), " "), 256)
+    return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 4,096 tokens."""
