@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveset.llm import arrowfiles, packing, substrings
+from liveset.llm import arrowfiles, jaccard, packing, substrings
 from liveset.llm.common import scratch, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "whole")
 
 
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates and its number of links."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8).drop("text")
+
+
 @query
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the word runs that repeat elsewhere."""
