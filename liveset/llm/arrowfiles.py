@@ -1,8 +1,8 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A shard is one Arrow IPC file whose record batches hold fixed-size lists: ``ids`` (the
-narrowest unsigned integer the vocabulary fits), ``mask`` (1 where an id is real, 0 on the
-padding that ends a shard) and ``last`` (1 where a document ends). Every batch but the
+narrowest unsigned integer the vocabulary fits), ``mask`` (true where an id is real, false on
+the padding that ends a shard) and ``last`` (true where a document ends); masks take a bit. Every batch but the
 last has ``BATCH`` sequences, so sequence ``k`` is row ``k % BATCH`` of batch
 ``k // BATCH``: a memory-mapped reader finds it without copying or scanning. A second file
 beside it lists the shard's documents with their place.
@@ -51,7 +51,7 @@ class ShardWriter:
         self.ids, self.last = np.zeros(self.room, kind.to_pandas_dtype()), np.zeros(self.room, bool)
         self.kind, self.filled, self.n_tokens, self.n_sequences = kind, 0, 0, 0
         fixed = lambda t: pa.list_(pa.field("item", t, nullable=False), length)
-        self.schema = pa.schema([("ids", fixed(kind)), ("mask", fixed(pa.uint8())), ("last", fixed(pa.uint8()))])
+        self.schema = pa.schema([("ids", fixed(kind)), ("mask", fixed(pa.bool_())), ("last", fixed(pa.bool_()))])
         self.stream = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_file(self.stream, self.schema)
         self.places_stream = self.fs.open_output_stream(self.path + ".docs")
@@ -77,9 +77,9 @@ class ShardWriter:
         rows = -(-self.filled // self.length)
         cut = rows * self.length
         self.ids[self.filled:cut], self.last[self.filled:cut] = 0, False
-        mask = (np.arange(cut) < self.filled).astype(np.uint8)
+        mask = np.arange(cut) < self.filled
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip(
-            (self.ids[:cut].copy(), mask, self.last[:cut].astype(np.uint8)), self.schema)]
+            (self.ids[:cut].copy(), mask, self.last[:cut]), self.schema)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.n_sequences += rows
         self.filled = 0
@@ -114,11 +114,12 @@ class ShardReader:
         self.batch_rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
     def column(self, name: str, batch: int) -> np.ndarray:
-        """A batch's lists as a matrix that shares the file's memory."""
+        """A batch's lists as a matrix. Ids share the file's memory; masks are stored as bits
+        and unpacked."""
         if batch != self._at:
             self._at, self._batch = batch, self.file.get_batch(batch)
         column = self._batch.column(self._batch.schema.get_field_index(name))
-        return column.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)
+        return column.flatten().to_numpy(zero_copy_only=name == "ids").reshape(-1, self.length)
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of the shard's sequence ``k``."""
@@ -208,7 +209,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         real = [shard.span(s, n, "mask") for s, n in zip(starts, sizes)]
                         yield pa.RecordBatch.from_arrays([
                             some.column("doc_id"), pa.array(starts + before), pa.array(sizes), pa.array(ids, pa.binary()),
-                            pa.array([bool(e[-1] == 1 and e.sum() == 1 and m.all()) for e, m in zip(ends, real)])],
+                            pa.array([bool(e[-1] and e.sum() == 1 and m.all()) for e, m in zip(ends, real)])],
                             names=["doc_id", "start", "n_tokens", "ids", "whole"])
 
     files = spark.createDataFrame(shards, "path string, before long")

@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveset.llm import arrowfiles, jaccard, packing, substrings
+from liveset.llm import arrowfiles, decontaminate, jaccard, packing, substrings
 from liveset.llm.common import scratch, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,7 +34,7 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@query
+@query()
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded into Arrow shards, read back document by document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,13 +43,54 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "whole")
 
 
-@query
+@query(r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(text, '([^\x20\x09-\x0D]+)') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m >= 0.8 * (x.n + y.n - m)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT a AS doc_id, count(DISTINCT y.text) AS n_links FROM e JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b
+      WHERE x.text <> y.text GROUP BY a)
+SELECT k.doc_id, class_id, count(*) OVER (PARTITION BY text) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM k JOIN d USING (doc_id) LEFT JOIN l USING (doc_id)
+""")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates and its number of links."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8).drop("text")
 
 
-@query
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '([^\x20\x09-\x0D]+)') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(text, '([^\x20\x09-\x0D]+)') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+n AS (SELECT item_id, count(*)::INT AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*)::INT AS n_shared, n_item
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+""")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the share they contain. Items of this
+    table have five words or more, so the SQL leaves shorter ones out."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '([^\x20\x09-\x0D]+)') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+r AS (SELECT h FROM v GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM v JOIN r USING (h)),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, j: NOT list_contains(gone, j)), ' '), '')) AS kept_sha256
+FROM k
+""")
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the word runs that repeat elsewhere."""
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
@@ -52,7 +98,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
-@query
+@query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 4,096 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), window=4096, end_id=2)
