@@ -178,6 +178,36 @@ def as_long(hashes: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(hashes).view(np.int64))
 
 
+# --- runs of equal group columns ------------------------------------------------------------
+
+def runs(batches, group: list[str]):
+    """Sorted batches cut so that every run of equal ``group`` values is in one table.
+    Yields the table and the runs' starts (one more than runs)."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        n = table.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in group:
+            column = table.column(c).combine_chunks()
+            if pa.types.is_integer(column.type):
+                v = column.to_numpy(zero_copy_only=False)
+            else:
+                data, offsets = flat(column)  # keys of one length
+                v = data.reshape(n, -1)
+            new[1:] |= (v[1:] != v[:-1]).reshape(n - 1, -1).any(axis=1)
+        starts = np.flatnonzero(new)
+        rest = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]).combine_chunks(), starts
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
 # --- connected components -----------------------------------------------------------------
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liveset.llm.common import Hasher, Words, as_long, components, flat, mixed, shingle_sets, slices, written
+from liveset.llm.common import Hasher, Words, as_long, components, flat, mixed, runs, shingle_sets, slices, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
@@ -87,36 +87,6 @@ def _features(batches):
                 names=["_rid", "key", "n_bytes", "sig", "bands"])
 
 
-# --- runs of equal group columns ------------------------------------------------------------
-
-def runs(batches, group: list[str]):
-    """Sorted batches cut so that every run of equal ``group`` values is in one table.
-    Yields the table and the runs' starts (one more than runs)."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        n = table.num_rows
-        if not n:
-            continue
-        new = np.zeros(n, bool)
-        new[0] = True
-        for c in group:
-            column = table.column(c).combine_chunks()
-            if pa.types.is_integer(column.type):
-                v = column.to_numpy(zero_copy_only=False)
-            else:
-                data, offsets = flat(column)  # keys of one length
-                v = data.reshape(n, -1)
-            new[1:] |= (v[1:] != v[:-1]).reshape(n - 1, -1).any(axis=1)
-        starts = np.flatnonzero(new)
-        rest = table.slice(starts[-1])
-        if len(starts) > 1:
-            yield table.slice(0, starts[-1]).combine_chunks(), starts
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks(), np.array([0, rest.num_rows])
-
-
 def matrix(column, width: int) -> np.ndarray:
     data, _ = flat(column)
     return data.reshape(-1, width)
@@ -314,6 +284,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of every class of near duplicates, with all columns: the smallest ``doc_id``,
+    null ids last, the first row of equal ids. Rows without a word in their text stay all."""
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    classes = text_classes(rows.select("_rid", "text"), threshold)
+    word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = rows.filter(word).select("_rid", "doc_id", F.unhex(F.md5("text")).alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("best"))
+    rooted = first.join(classes, first["_key"] == classes["key"], "left").select(F.coalesce("root", "_key").alias("_root"), "best")
+    kept = rooted.groupBy("_root").agg(F.min("best").alias("best")).select(F.col("best._rid").alias("_rid"))
+    marked = rows.filter(word).join(kept, "_rid", "left_semi").select(*docs.columns)
+    return marked.union(docs.filter(~word))
+
+
 def brute_force(texts: list[str | None], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """For tests: per text the smallest index of its class and its number of links to
     different texts."""

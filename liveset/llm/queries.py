@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveset.llm import arrowfiles, decontaminate, jaccard, packing, substrings
-from liveset.llm.common import scratch, words_of
+from liveset.llm import arrowfiles, decontaminate, jaccard, langid, packing, sharding, substrings, topk
+from liveset.llm.common import bucket_of, scratch, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,15 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; trained on those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langid.train(docs.filter(bucket_of("doc_id", 4) != 2))
+    known = langid.identify(docs.select("doc_id", "text"), network)
+    return known.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 @query()
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded into Arrow shards, read back document by document."""
@@ -43,6 +52,28 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "whole")
 
 
+@query("""
+WITH RECURSIVE sh AS (
+  SELECT i, 'shard-' || lpad(i::VARCHAR, 5, '0') AS shard,
+    ('0x' || substr(md5('shard-' || lpad(i::VARCHAR, 5, '0')), 1, 15))::BIGINT % 3301 AS off,
+    ('0x' || substr(md5('shard-' || lpad(i::VARCHAR, 5, '0')), 17, 15))::BIGINT % 3300 + 1 AS step
+  FROM range(32) t(i)),
+f(t, owner) AS (
+  SELECT 0, list_transform(range(3301), lambda x: -1)
+  UNION ALL
+  SELECT t + 1, list_concat(owner[:s], [t % 32], owner[s + 2:])
+  FROM (
+    SELECT t, owner, list_filter(list_transform(range(3301), lambda j: (off + j * step) % 3301), lambda y: owner[y + 1] = -1)[1] AS s
+    FROM f JOIN sh ON sh.i = f.t % 32 WHERE t < 3301)),
+o AS (SELECT unnest(range(3301)) AS slot, unnest(owner) AS i FROM f WHERE t = 3301)
+SELECT doc_id, slot::INT AS slot, shard
+FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % 3301 AS slot FROM documents) JOIN o USING (slot) JOIN sh USING (i)
+""")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document by its id."""
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))
+
+
 @query(r"""
 WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(text, '([^\x20\x09-\x0D]+)') AS w FROM documents),
 s AS (
@@ -79,6 +110,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+@query("""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 10
+""")
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best rows for every vector whose id is divisible by 100."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '([^\x20\x09-\x0D]+)') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),

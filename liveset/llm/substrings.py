@@ -7,8 +7,10 @@ some shift below the period puts both on the cover, so two equal windows always
 anchor that is hashed in both: no repeat is missed. Windows around anchors that occur more
 than once are then hashed whole, and those that occur more than once repeat.
 
-Occurrences are counted, combined before the shuffle, and looked up; they are never paired
-or gathered, so a passage shared by a third of all documents costs one row each.
+Occurrences meet once, sorted by their hash, and a stream over them marks those that are
+not alone; they are never paired or gathered. Each batch first settles what repeats within
+itself: those occurrences are marked at once and stand for the others as a single row, so
+a passage shared by a third of all documents sends a row a batch, not a row a document.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liveset.llm.common import Hasher, Words, as_long, flat, slices
+from liveset.llm.common import Hasher, Words, as_long, flat, mixed, runs, slices
 
 WINDOW = 35
 #: A perfect difference set: every non-zero residue modulo 21 is one difference of two members.
@@ -29,12 +31,53 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ADDED = ("kept_text", "n_words", "n_removed")
 
 
+MARKS = "k long, g int, known int, _rid long, place int"
+
+
 def _places(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document and word place in it of word indexes."""
     doc = np.searchsorted(words.first, at, "right") - 1
     return doc, at - words.first[doc]
 
 
+def _combined(found: list[tuple]) -> pa.RecordBatch | None:
+    """Occurrences ``(h, g, rid, place)`` of a batch as rows. One that is alone goes by its
+    hash (``known`` 0). Those of a value that repeats here are known to repeat: they go by
+    their place, spread evenly (1), and one row without a document goes by the hash (0)."""
+    if not found:
+        return None
+    h, g, rid, place = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((g, h))
+    h, g, rid, place = h[order], g[order], rid[order], place[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+    alone = new & np.append(new[1:], True)
+    again, first = ~alone, new & ~alone
+    k = np.concatenate([h[alone], mixed(rid[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[again].astype(np.uint64)), h[first]])
+    fill = lambda x, v: np.concatenate([x[alone], x[again], np.full(first.sum(), v, x.dtype)])
+    known = np.concatenate([np.zeros(alone.sum(), np.int32), np.ones(again.sum(), np.int32), np.zeros(first.sum(), np.int32)])
+    return pa.RecordBatch.from_arrays(
+        [as_long(k), pa.array(np.concatenate([g[alone], np.zeros(again.sum(), np.int32), g[first]])), pa.array(known),
+         pa.array(fill(rid, -1)), pa.array(fill(place, -1))], names=["k", "g", "known", "_rid", "place"])
+
+
+def _repeating(batches):
+    """Places of sorted rows that repeat: known ones, and those not alone in their run. A row
+    that stands for a whole batch of them has no document and gives no place."""
+    for table, starts in runs(batches, ["k", "g", "known"]):
+        size = np.diff(starts)
+        rid, place = table.column("_rid").to_numpy(), table.column("place").to_numpy()
+        take = (np.repeat(size > 1, size) | (table.column("known").to_numpy() == 1)) & (rid >= 0)
+        if take.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rid[take]), pa.array(place[take])], names=["_rid", "place"])
+
+
+def _marked(occurrences: DataFrame) -> DataFrame:
+    """``_rid`` and the places in it that repeat; a list is no longer than its document."""
+    by = ["k", "g", "known"]
+    ordered = occurrences.repartition(*by).sortWithinPartitions(*by)
+    return ordered.mapInArrow(_repeating, "_rid long, place int").groupBy("_rid").agg(F.collect_list("place").alias("places"))
+
+
 def _anchors(window: int):
     size = window - PERIOD + 1
 
@@ -42,17 +85,17 @@ def _anchors(window: int):
         hasher, on_cover = Hasher(), np.isin(np.arange(PERIOD), COVER)
         for b in batches:
             data, offsets = flat(b.column("text"))
-            rid = b.column("_rid").to_numpy()
+            rid, found = b.column("_rid").to_numpy(), []
             for lo, hi in slices(offsets):
                 words = Words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], hasher)
                 at, hashes = words.windows(size)
                 doc, place = _places(words, at)
                 # Only documents that hold a whole window can repeat one.
                 take = on_cover[place % PERIOD] & (np.diff(words.first)[doc] >= window)
-                if take.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [as_long(hashes[take]), pa.array(rid[lo + doc[take]]), pa.array(place[take].astype(np.int32))],
-                        names=["h", "_rid", "place"])
+                found.append((hashes[take], np.zeros(take.sum(), np.int32), rid[lo + doc[take]], place[take].astype(np.int32)))
+            rows = _combined(found)
+            if rows is not None:
+                yield rows
 
     return run
 
@@ -65,25 +108,26 @@ def _candidates(window: int):
         for b in batches:
             data, offsets = flat(b.column("text"))
             rid, lists = b.column("_rid").to_numpy(), b.column("places")
-            cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cuts, values, found = lists.offsets.to_numpy(), lists.values.to_numpy(), []
             for lo, hi in slices(offsets):
                 part, offs = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
                 words = Words(part, offs, first)
                 at, hashes = words.windows(window)
                 # Windows that hold a marked anchor: their start is at most window - size before it.
                 near = np.zeros(len(words) + 1, np.int64)
-                marked = values[cuts[lo]:cuts[hi]] + np.repeat(words.first[:-1], np.diff(cuts[lo:hi + 1]))
                 floor = np.repeat(words.first[:-1], np.diff(cuts[lo:hi + 1]))
+                marked = values[cuts[lo]:cuts[hi]] + floor
                 np.add.at(near, np.maximum(marked - (window - size), floor), 1)
                 np.add.at(near, marked + 1, -1)
                 take = np.cumsum(near)[at] > 0
                 at = at[take]
-                if len(at):
-                    other = second.of_windows(second.of_words(part, words.start, words.end), at, window)
-                    doc, place = _places(words, at)
-                    yield pa.RecordBatch.from_arrays(
-                        [as_long(hashes[take]), pa.array((other >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                         pa.array(rid[lo + doc]), pa.array(place.astype(np.int32))], names=["h", "g", "_rid", "place"])
+                # 96 bits tell windows apart, however many there are.
+                other = second.of_windows(second.of_words(part, words.start, words.end), at, window)
+                doc, place = _places(words, at)
+                found.append((hashes[take], (other >> np.uint64(32)).astype(np.uint32).view(np.int32), rid[lo + doc], place.astype(np.int32)))
+            rows = _combined(found)
+            if rows is not None:
+                yield rows
 
     return run
 
@@ -138,17 +182,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"windows must have at least {PERIOD} words")
     names = [c for c in docs.columns if c not in (*ADDED, "places")]
     rows = docs.select(*names).withColumn("_rid", F.monotonically_increasing_id())
-    texts = rows.select("_rid", "text")
-    anchors = texts.mapInArrow(_anchors(window), "h long, _rid long, place int")
-    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    marked = (anchors.join(shared, "h", "left_semi").groupBy("_rid").agg(F.collect_list("place").alias("places")))
-    windows = texts.join(marked, "_rid").mapInArrow(_candidates(window), "h long, g int, _rid long, place int")
-    repeated = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g")
-    found = windows.join(repeated, ["h", "g"], "left_semi").groupBy("_rid").agg(F.collect_list("place").alias("places"))
+    marked = _marked(rows.select("_rid", "text").mapInArrow(_anchors(window), MARKS))
+    # Both joins take the same columns, so that the texts are exchanged once.
+    windows = rows.join(marked, "_rid").select("_rid", *names, "places").mapInArrow(_candidates(window), MARKS)
+    found = _marked(windows)
     schema = T.StructType([docs.schema[c] for c in names] + [
         T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     joined = rows.join(found, "_rid", "left").select(
-        *names, F.coalesce("places", F.array().cast("array<int>")).alias("places"))
+        "_rid", *names, F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     return joined.mapInArrow(_strip(window, names), schema)
 
 
