@@ -54,8 +54,8 @@ class Block:
     """A block of queries against a block of vectors, slice by slice."""
 
     def __init__(self, queries: pa.Table, vectors: pa.Table):
-        width = _widest(queries.column("v"), vectors.column("v"))
-        self.q, self.v = _matrix(queries.column("v"), width), _matrix(vectors.column("v"), width)
+        width = _widest(queries.column("qv"), vectors.column("v"))
+        self.q, self.v = _matrix(queries.column("qv"), width), _matrix(vectors.column("v"), width)
         self.query_id = queries.column("query_id").to_numpy()
         ids = vectors.column("vec_id")
         self.null = ids.is_null().to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else ids.combine_chunks().is_null().to_numpy(zero_copy_only=False)
@@ -170,10 +170,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """
     data = usable(vectors)
     queries = data.filter(is_query & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").alias("query_id"), "v", F.xxhash64("vec_id", "v").alias("qkey")).dropDuplicates(["query_id", "qkey"])
+        F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.xxhash64("vec_id", "v").alias("qkey")).dropDuplicates(["query_id", "qkey"])
     n_blocks = max(1, -(-data.count() // VECTORS_A_BLOCK))
     n_groups = max(1, -(-queries.count() // QUERIES_A_BLOCK))
-    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("long")
     blocks = data.withColumn("block", number).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
 
     def against(q: DataFrame, run, schema: str) -> DataFrame:
