@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveset.llm import arrowfiles, decontaminate, jaccard, langid, packing, sharding, substrings, topk
-from liveset.llm.common import bucket_of, scratch, words_of
+from liveset.llm import arrowfiles, decontaminate, jaccard, langid, packing, quality, sharding, substrings, topk
+from liveset.llm.common import bucket_of, scratch, written, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,6 +94,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8).drop("text")
 
 
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of those that are not held out."""
+    measures = written(quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    labels = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", (F.col("quality") > 0).cast("int").alias("label"))
+    labelled = measures.filter(bucket_of("doc_id", 3) != 1).join(labels, "doc_id").select("stats", "label")
+    scores = quality.scored(measures, quality.fit(labelled))
+    return scores.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(text, '([^\x20\x09-\x0D]+)') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(text, '([^\x20\x09-\x0D]+)') AS w FROM benchmark),
