@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveset.llm import arrowfiles, decontaminate, jaccard, langid, packing, quality, sharding, substrings, topk
+from liveset.llm import arrowfiles, chat, decontaminate, jaccard, langid, packing, quality, sharding, substrings, topk
 from liveset.llm.common import bucket_of, scratch, written, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,28 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+@query(r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(regexp_replace(role || text, '<(\\*)\|(role|text|end|endoftext)\|>', '<\1\\|\2|>', 'g')) + 23 AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted, encoded and masked, written, and read back."""
+    import public_tokenizers
+
+    tokenizer, said = public_tokenizers.path("byte_bpe_50k.json"), r"\### Assistant: </turn> ok"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    segments = written(chat.format_chats(given.union(extra), tokenizer), "chats")
+    return chat.digests(segments, tokenizer)
+
+
 @query("""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
