@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from liveset.scale import checkpoint, shared_folder
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _M = (1 << 64) - 1
 
 
