@@ -151,11 +151,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, le
 
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        kind = narrowest(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
         encode, shard = encoder(tokenizer), None
+        kind = narrowest(max(encode.tokenizer.get_vocab_size(), end_id + 1))
         for b in batches:
             ids_of, texts = b.column("doc_id").to_pylist(), b.column("text")
             for begin in range(0, len(texts), 256):

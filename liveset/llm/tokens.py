@@ -15,10 +15,10 @@ import os
 import numpy as np
 
 SEPARATORS = "\t\n\x0b\x0c\r"
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 PIECES_A_CALL = 1_000
 MARK = "~"  # stands between pieces that are encoded in one call
-CHARS_A_GROUP = 1 << 20
+CHARS_A_GROUP = 1 << 18
 PROBE = "a  b,\tc\ńd 'S e's <|endoftext|> 12 3"
 
 
