@@ -110,16 +110,18 @@ class ShardReader:
         self.file = pa.ipc.open_file(open_(at))
         self.docs = pa.ipc.open_file(open_(at + ".docs"))
         self.length = self.file.schema.field("ids").type.list_size
-        self._at, self._batch = -1, None
+        self._at, self._batch, self._columns = -1, None, {}
         self.batch_rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
     def column(self, name: str, batch: int) -> np.ndarray:
         """A batch's lists as a matrix. Ids share the file's memory; masks are stored as bits
         and unpacked."""
         if batch != self._at:
-            self._at, self._batch = batch, self.file.get_batch(batch)
-        column = self._batch.column(self._batch.schema.get_field_index(name))
-        return column.flatten().to_numpy(zero_copy_only=name == "ids").reshape(-1, self.length)
+            self._at, self._batch, self._columns = batch, self.file.get_batch(batch), {}
+        if name not in self._columns:
+            column = self._batch.column(self._batch.schema.get_field_index(name))
+            self._columns[name] = column.flatten().to_numpy(zero_copy_only=name == "ids").reshape(-1, self.length)
+        return self._columns[name]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of the shard's sequence ``k``."""
@@ -203,12 +205,14 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     for begin in range(0, docs.num_rows, 500):
                         some = docs.slice(begin, 500)
                         starts, sizes = some.column("start").to_numpy(), some.column("n_tokens").to_numpy()
-                        ids = [shard.span(s, n).astype("<u4").tobytes() for s, n in zip(starts, sizes)]
-                        ends = [shard.span(s, n, "last") for s, n in zip(starts, sizes)]
-                        real = [shard.span(s, n, "mask") for s, n in zip(starts, sizes)]
+                        ids, whole = [], []
+                        for s, n in zip(starts, sizes):
+                            ids.append(shard.span(s, n).astype("<u4").tobytes())
+                            ends = shard.span(s, n, "last")
+                            whole.append(bool(ends[-1] and ends.sum() == 1 and shard.span(s, n, "mask").all()))
                         yield pa.RecordBatch.from_arrays([
                             some.column("doc_id"), pa.array(starts + before), pa.array(sizes), pa.array(ids, pa.binary()),
-                            pa.array([bool(e[-1] and e.sum() == 1 and m.all()) for e, m in zip(ends, real)])],
+                            pa.array(whole)],
                             names=["doc_id", "start", "n_tokens", "ids", "whole"])
 
     files = spark.createDataFrame(shards, "path string, before long")
