@@ -13,7 +13,7 @@ from liveset.functions.text import (
     cap, clean_song_title, col, collapse, is_song_length, is_song_noise, song_key, strip, unescape, words,
 )
 from liveset.operators.merge import top_per_key
-from liveset.scale import checkpoint, small
+from liveset.scale import checkpoint
 
 NAME, MENTIONS = "name", "setlist_mentions"
 
@@ -126,7 +126,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, cutoff: float = fixed.FUZZY_C
 # -- canonical roll-up --------------------------------------------------------
 def slug_title(slug: Column | str) -> Column:
     parts = F.split(col(slug), "-")
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), " ")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
 
 
 def canonical_mentions(matched: DataFrame, index: DataFrame, name: str = NAME) -> DataFrame:
@@ -205,7 +205,7 @@ def posts_for_songs(songs: DataFrame, posts: DataFrame, post_order: Sequence[str
     )
     text = F.when(F.coalesce(F.col("text"), F.lit("")) != "",
                   F.concat("title", F.lit(" -- "), cap("text", fixed.POST_TEXT_CAP))).otherwise(F.col("title"))
-    hits = runs.join(small(keyed), ["key", "n_words"])
+    hits = runs.join(keyed, ["key", "n_words"])
     return top_per_key(hits, ["song_name"], post_order, k).select(
         "song_name", "rank", F.lit(fixed.SOURCE_FORUM).alias("source"), collapse(text).alias("text"), "url",
         F.col("created").alias("date"))

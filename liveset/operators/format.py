@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from liveset.functions.text import blank_to_null, cap, ellipsis, show_url
+from liveset.operators.merge import top_per_key
 
-MAX_HITS = 1000
+#: Lines that go into one text where the caller names no other number of hits.
+CONTEXT_HITS = 20
 
 
 def _c(df: DataFrame, name: str) -> Column:
@@ -128,6 +131,8 @@ def source_label(df: DataFrame) -> Column:
 def context_line(df: DataFrame, rank: str = "rank", max_chars: int = 600) -> Column:
     """Source passage of a hit: label, link, rating, date, then its text."""
     show, rating, created = (_c(df, c) for c in ("show_identifier", "rating", "created"))
+    if "rating" in df.columns and isinstance(df.schema["rating"].dataType, T.NumericType):
+        rating = F.when(F.col("rating") == 0, "").otherwise(rating)  # a number of 0 is no rating
     part = lambda c, before, after="": F.when(c != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
     return F.concat(
         F.lit("["), F.col(rank).cast("string"), F.lit("] "), source_label(df), part(show_url(show), " — "),
@@ -138,14 +143,13 @@ def context_lines(hits: DataFrame, rank: str = "rank", max_chars: int = 600) ->
     return hits.withColumn("line", context_line(hits, rank, max_chars))
 
 
-def join_lines(lines: DataFrame, separator: str = "\n\n", rank: str = "rank", max_hits: int = MAX_HITS) -> DataFrame:
-    """Lines of each question as one text, in rank order.
+def join_lines(lines: DataFrame, separator: str = "\n\n", rank: str = "rank", k: int = CONTEXT_HITS) -> DataFrame:
+    """The first ``k`` lines of each question, by rank, as one text; equal ranks go by line.
 
-    One text per question only makes sense for top-k hits; a question with more than
-    ``max_hits`` lines is refused rather than gathered. Keep the rows then.
+    They are cut to ``k`` before they are gathered, whatever the ranks and however many
+    lines a question has.
     """
-    if not lines.filter(F.col(rank) > max_hits).isEmpty():
-        raise ValueError(f"a question has more than {max_hits} lines; use the rows")
+    lines = top_per_key(lines.select("question_id", rank, "line"), ["question_id"], [rank, "line"], k, "_place")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(rank), F.col("line"))))
     return lines.groupBy("question_id").agg(ordered.alias("_l")).select(
         "question_id", F.array_join(F.transform("_l", lambda x: x["line"]), separator).alias("text"),

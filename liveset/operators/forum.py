@@ -32,18 +32,22 @@ def with_show_date(posts: DataFrame, title: str = "title") -> DataFrame:
 
 
 def flatten_replies(posts: DataFrame, children: str = "comments", max_depth: int = fixed.REPLY_MAX_DEPTH,
-                    cap_rows: int = fixed.REPLY_CAP) -> DataFrame:
-    """Comment trees as rows in reading order, at most ``cap_rows`` a post.
+                    cap_rows: int | None = None, body_cap: int | None = None) -> DataFrame:
+    """Comment trees as rows in reading order, all of them and whole unless
+    ``cap_rows`` and ``body_cap`` say less (``fixed.REPLY_CAP``, ``fixed.REPLY_BODY_CAP`` in
+    the established harvest).
 
     ``replies`` is empty or a nested listing, so it is read as text and parsed again per
     level. A tree is one value of its row: the walk needs no shuffle. Other node kinds are
     left out with their subtrees.
     """
 
+    held = (lambda c: c) if body_cap is None else (lambda c: cap(c, body_cap))
+
     def row(node: Column, depth: int) -> Column:
         d = node["data"]
         return F.struct(
-            d["id"].alias("id"), cap(F.coalesce(d["body"], F.lit("")), fixed.REPLY_BODY_CAP).alias("body"),
+            d["id"].alias("id"), held(F.coalesce(d["body"], F.lit(""))).alias("body"),
             F.coalesce(d["author"], F.lit("[deleted]")).alias("author"),
             F.coalesce(d["score"], F.lit(0)).alias("score"),
             F.coalesce(d["created_utc"], F.lit(0.0)).alias("created_utc"), F.lit(depth).alias("depth"))
@@ -61,8 +65,10 @@ def flatten_replies(posts: DataFrame, children: str = "comments", max_depth: int
         return F.flatten(F.transform(comments, visit))
 
     keys = [c for c in posts.columns if c != children]
+    rows = walk(F.col(children), 0)
+    first = rows if cap_rows is None else F.slice(rows, 1, cap_rows)
     return (
-        posts.select(*keys, F.posexplode(F.slice(walk(F.col(children), 0), 1, cap_rows)).alias("comment_no", "c"))
+        posts.select(*keys, F.posexplode(first).alias("comment_no", "c"))
         .select(*keys, "comment_no", "c.*")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liveset import fixed
-from liveset.functions.text import blank_to_null, col, collapse, digits, drop_tags, has_text, song_key, strip, unescape, words
+from liveset.functions.text import blank_to_null, col, collapse, digits, drop_tags, has_text, let, song_key, strip, unescape, words
 from liveset.functions.urls import canonical_url, is_internal, resolve_url, url_part
 from liveset.scale import first_per_key
 
@@ -85,12 +85,36 @@ def extract_track_table(pages: DataFrame, decode=unescape) -> DataFrame:
     )
 
 
+def _inner_text(html: Column, opening: Column) -> Column:
+    """Text of the element that starts with ``opening`` (place and tag name): up to the tag
+    that closes it, whatever is nested inside; to the end where none does."""
+
+    def inside(tail: Column, name: Column) -> Column:
+        tag = F.concat(F.lit(r"(?is)</?"), name, F.lit(r"\b[^>]*>"))
+        step = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("used"))
+
+        def walk(at: Column, found: Column) -> Column:
+            closed = (at["used"] > 0) & (at["depth"] == 0)
+            depth = at["depth"] + F.when(found.startswith("</"), -1).otherwise(1)
+            return F.when(closed, at).otherwise(F.struct(depth.alias("depth"), (at["used"] + 1).alias("used")))
+
+        end = F.aggregate(F.regexp_extract_all(tail, F.concat(F.lit("("), tag, F.lit(")")), F.lit(1)), step, walk)
+        pieces = F.split(tail, tag, -1)
+        return let(end, lambda e: F.array_join(F.slice(pieces, F.lit(2), F.when(
+            e["depth"] == 0, e["used"] - 1).otherwise(F.size(pieces))), ""))
+
+    return let(F.substring(html, opening["at"], F.length(html)), lambda tail: F.regexp_replace(
+        inside(tail, opening["name"]), r"<[^>]+>", ""))
+
+
 def extract_transcripts(pages: DataFrame, decode=unescape) -> DataFrame:
-    """Transcript of an episode page: the first known block, else its long paragraphs."""
+    """Transcript of an episode page: the first known block with all it holds, nested or
+    not; its long paragraphs where there is none or where it is empty."""
 
     def block(mark: str) -> Column:
-        tag = rf"(?is)<(div|section|article|p)\b[^>]*\b{mark}[^>]*>(.*?)</\1>"
-        return blank_to_null(F.regexp_extract("html", tag, 2))
+        tag = rf"(?is)<(div|section|article|p)\b[^>]*\b{mark}[^>]*>"
+        at = F.regexp_instr("html", F.lit(tag))
+        return F.when(at > 0, F.struct(at.alias("at"), F.regexp_extract("html", tag, 1).alias("name")))
 
     blocks = [block(rf"class\s*=\s*[\"'](?:[^\"']*\s)?{c}(?=[\s\"'])[^\"']*[\"']") for c in fixed.TRANSCRIPT_CLASSES]
     blocks += [block(rf"id\s*=\s*[\"']{i}[\"']") for i in fixed.TRANSCRIPT_IDS]
@@ -98,9 +122,12 @@ def extract_transcripts(pages: DataFrame, decode=unescape) -> DataFrame:
         F.transform(_all("html", r"(?is)<p\b[^>]*>(.*?)</p>"), lambda p: strip(F.regexp_replace(p, r"<[^>]+>", ""))),
         lambda p: F.length(p) > 50,
     )
-    chosen = F.coalesce(*[F.regexp_replace(b, r"<[^>]+>", "") for b in blocks], F.array_join(paragraphs, "\n\n"))
+    known = let(F.coalesce(*blocks), lambda b: F.when(b.isNotNull(), _inner_text(F.col("html"), b)))
+    chosen = F.coalesce(F.when(F.length(known) > 0, known), F.array_join(paragraphs, "\n\n"))
+    # Decoding runs on a generated column: its argument must not be inlined into it.
     return (
-        pages.withColumn("transcript", strip(decode(chosen)))
+        pages.withColumn("_chosen", F.explode(F.array(chosen)))
+        .withColumn("transcript", strip(decode(F.col("_chosen")))).drop("_chosen")
         .filter(has_text("transcript"))
         .withColumn("word_count", F.size(words("transcript")))
         .drop("html")
@@ -122,10 +149,11 @@ def _field_block(doc: Column, field: str) -> Column:
     return F.regexp_extract(doc, rf"(?s){start}(.*?)(?:{_FIELD_END}|\z)", 1)
 
 
-def _field_items(block: Column) -> Column:
+def _field_items(block: Column, decode=unescape) -> Column:
+    """Items of a field, decoded together in one call, without their note marks."""
+    raw = F.array_join(_all(block, r'<div class="field__item">([^<]*)</div>'), "\u0001")
     values = F.transform(
-        _all(block, r'<div class="field__item">([^<]*)</div>'),
-        lambda v: strip(F.regexp_replace(strip(v), r"(?iU)\s*\(note \w+\)\s*$", "")))
+        F.split(decode(raw), "\u0001", -1), lambda v: strip(F.regexp_replace(strip(v), r"(?iU)\s*\(note \w+\)\s*$", "")))
     return F.filter(values, lambda v: v != "")
 
 
@@ -168,12 +196,12 @@ def extract_song_pages_a(pages: DataFrame, page_url: Column | None = None, decod
     songs = pages.select(
         "slug",
         F.coalesce(blank_to_null(strip(decode(head))), F.col("slug")).alias("title"),
-        _field_items(_field_block(doc, "lyrics-by")).alias("lyricists"),
-        _field_items(_field_block(doc, "music-by")).alias("music_by"),
+        _field_items(_field_block(doc, "lyrics-by"), decode).alias("lyricists"),
+        _field_items(_field_block(doc, "music-by"), decode).alias("music_by"),
         strip(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("lyrics_text"),
         blank_to_null(F.regexp_extract("html", first_played, 1)).alias("first_played_hint"),
     )
-    body = F.regexp_replace(_without_scripts(_body_block(doc)), r"^[^<>]*>", "")
+    body = F.regexp_replace(_without_scripts(_body_block(doc)), r"^[^<]*>", "")
     paragraphs = _all("body", r"(?s)<p[^>]*>(.*?)</p>")
     note = F.regexp_replace(collapse(decode(drop_tags("part"))), r"(?U)\s*<[^>]*$", "")
     url = F.col("slug") if page_url is None else page_url

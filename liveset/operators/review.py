@@ -67,13 +67,20 @@ def resolve_tags(actions: DataFrame, staging: DataFrame) -> DataFrame:
 
 
 def promote_tags(lyrics: DataFrame, promotions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lyrics with ``[tag]`` put in front, and the promotions that could not be applied.
+    """Lyrics with ``[tag]`` put in front, and the promotions that could not be applied: no
+    tag, unknown song, tag already there.
 
-    A song carries few distinct tags, one a singer; repeats of a promotion count once.
+    A song carries few distinct tags, one a singer; repeats of a promotion count once. Tags
+    of one song go in front of each other in the order of ``decided_at`` (the first of
+    equal promotions), then of the tag; without that column in the order of the tag.
 
     ``lyrics``: title, lyrics_text. ``promotions``: song_name, canonical_title, tag. The
     canonical title is looked up first, then the song name.
     """
+    if "decided_at" not in promotions.columns:
+        promotions = promotions.withColumn("decided_at", F.lit(None).cast("string"))
+    untagged = promotions.filter(blank_to_null("tag").isNull())
+    promotions = promotions.filter(blank_to_null("tag").isNotNull())
     titles = lyrics.select("title")
     canonical = F.coalesce(blank_to_null("canonical_title"), F.col("song_name"))
     by_title = promotions.withColumn("title", canonical).join(titles, "title", "left_semi")
@@ -83,11 +90,12 @@ def promote_tags(lyrics: DataFrame, promotions: DataFrame) -> tuple[DataFrame, D
     found = by_title.unionByName(by_name)
     text = F.coalesce("lyrics_text", F.lit(""))
     head = F.concat(F.lit("["), F.col("tag"), F.lit("]"))
-    tagged = found.select("song_name", "title", "tag").join(lyrics.select("title", "lyrics_text"), "title").withColumn(
+    tagged = found.select("song_name", "title", "tag", "decided_at").join(lyrics.select("title", "lyrics_text"), "title").withColumn(
         "has_tag", strip(text).startswith(head))
-    # Tags of one song are applied in name order, each in front of the earlier ones.
-    fresh = tagged.filter(~F.col("has_tag")).select("title", "tag").distinct()
-    heads = fresh.groupBy("title").agg(F.sort_array(F.collect_list("tag"), asc=False).alias("tags"))
+    # Each tag goes in front of the earlier ones.
+    fresh = tagged.filter(~F.col("has_tag")).groupBy("title", "tag").agg(F.min("decided_at").alias("decided_at"))
+    heads = fresh.groupBy("title").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("decided_at", "tag")), asc=False), lambda x: x["tag"]).alias("tags"))
     front = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("["), t, F.lit("]\n\n"))), "")
     updated = lyrics.join(heads, "title", "left").withColumn(
         "lyrics_text", F.when(F.col("tags").isNotNull(), F.concat(front, text)).otherwise(F.col("lyrics_text"))
@@ -95,5 +103,6 @@ def promote_tags(lyrics: DataFrame, promotions: DataFrame) -> tuple[DataFrame, D
     errors = (
         tagged.filter("has_tag").select("song_name", "tag", F.lit("already tagged").alias("error"))
         .unionByName(unknown.select("song_name", "tag", F.lit("song not found").alias("error")))
+        .unionByName(untagged.select("song_name", "tag", F.lit("no tag").alias("error")))
     )
     return updated, errors

@@ -12,10 +12,11 @@ from liveset.functions.dates import parse_date_phrase, show_date
 from liveset.functions.text import cap, loose_key, match_context, words
 from liveset.operators.merge import top_per_key
 from liveset.operators.vectors import knn, knn_filtered
-from liveset.scale import checkpoint, collect_bounded, row_ordinal, small
+from liveset.scale import checkpoint, collect_bounded, row_ordinal
 
 MAX_LITERAL_TERMS = 500
 GRAM = 8
+DEALS = 64
 LYRIC_TYPES = ("lyric", "interpretation")
 DATE_SCORE = 1.0
 
@@ -59,14 +60,16 @@ def search_transcripts(transcripts: DataFrame, term: str, k: int | None = 10, or
 # -- term batches -------------------------------------------------------------
 def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "term",
                    max_terms: int = MAX_LITERAL_TERMS) -> DataFrame:
-    """Every (text row, term) where the lower-cased text holds the lower-cased term.
+    """Every (text row, term) where the lower-cased text holds the lower-cased term; an empty
+    term is in every text, a null one in none.
 
     ``terms``: question_id and ``term``. Up to ``max_terms`` they become a literal array
     checked in the scan. Beyond that texts and terms meet on character runs: a term is
     filed under its first ``GRAM`` characters, a text under all runs of the lengths that
-    occur, and hits are verified. Both ways return the same rows.
+    occur, and hits are verified. Only the text's key and the runs are exchanged, the text
+    itself is looked up for hits alone. Both ways return the same rows.
     """
-    asked = terms.select("question_id", F.lower(term).alias("_term")).filter(F.col("_term") != "")
+    asked = terms.select("question_id", F.lower(term).alias("_term")).filter(F.col("_term").isNotNull())
     rows = collect_bounded(asked, max_terms)
     if rows is not None:
         if not rows:
@@ -78,22 +81,27 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
             .withColumn("_hit", F.explode(F.filter(wanted, lambda w: F.contains(F.col("_low"), w["t"]))))
             .withColumn("question_id", F.col("_hit.question_id")).drop("_hit", "_low")
         )
-    asked = asked.withColumn("_n", F.least(F.length("_term"), F.lit(GRAM))).withColumn(
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    keyed = texts.withColumn("_key", F.md5(low))  # equal texts are searched once
+    # Every text holds the empty term; its rows are dealt over many keys.
+    deal = F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))
+    every = asked.filter("_term = ''").select("question_id", deal.alias("_deal"))
+    everywhere = keyed.withColumn("_deal", F.pmod(F.xxhash64("_key"), F.lit(DEALS)).cast("int")).join(every, "_deal")
+    filed = asked.filter("_term <> ''").withColumn("_n", F.least(F.length("_term"), F.lit(GRAM))).withColumn(
         "_gram", F.substring("_term", F.lit(1), F.col("_n")))
-    sizes = F.broadcast(asked.select("_n").distinct())  # GRAM rows at most
-    asked = small(asked)  # runs are then probed as they are made, not shuffled
+    sizes = F.broadcast(filed.select("_n").distinct())  # GRAM rows at most
     runs = F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1), lambda i: F.substring("_low", i, F.col("_n"))))
-    filed = (
-        texts.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(GRAM))))
+    distinct = keyed.groupBy("_key").agg(F.any_value(low).alias("_low"))
+    grams = (
+        distinct.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(GRAM))))
         .join(sizes, "_n", "left_semi").filter(F.length("_low") >= F.col("_n"))
-        .withColumn("_gram", F.explode(runs))
-    )
-    return (
-        filed.join(asked, ["_n", "_gram"]).filter(F.contains("_low", F.col("_term")))
-        .drop("_n", "_gram", "_low", "_term")
+        .select("_key", "_n", F.explode(runs).alias("_gram"))
     )
+    met = grams.join(filed, ["_n", "_gram"]).select("_key", "question_id", "_term")
+    held = keyed.join(met, "_key").filter(F.contains(low, F.col("_term")))
+    columns = [*texts.columns, "question_id"]
+    return held.select(*columns).unionByName(everywhere.select(*columns))
 
 
 # -- song names with scores ---------------------------------------------------
@@ -147,7 +155,7 @@ def _containments(longs: DataFrame, parts: DataFrame, gram: int = GRAM) -> DataF
 
 
 def search_lyrics(corpus: DataFrame, questions: DataFrame, k: int = 15, types: Sequence[str] = LYRIC_TYPES,
-                  question: str = "question", overfetch: bool = True, **kw) -> DataFrame:
+                  question: str = "question", overfetch: bool = False, **kw) -> DataFrame:
     """Lyric and note rows for a song: name matches by score, topped up with near vectors.
 
     ``questions``: question_id, ``question`` and, for the top-up, embedding. Final score is
@@ -175,7 +183,7 @@ def with_show_date(corpus: DataFrame) -> DataFrame:
 
 def search_by_date(corpus: DataFrame, questions: DataFrame, today: Column, question: str = "question") -> DataFrame:
     """Rows of shows on the date a question names; without a year, of every year."""
-    asked = small(_dates(questions, "question_id", parse_date_phrase(question, today)).withColumnRenamed("year", "asked_year"))
+    asked = _dates(questions, "question_id", parse_date_phrase(question, today)).withColumnRenamed("year", "asked_year")
     dated = _dates(corpus, "row_id", show_date("show_identifier", "type", "created"))
     return (
         dated.join(asked, ["month", "day"])

@@ -13,14 +13,13 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from liveset.operators.merge import top_per_key
-from liveset.scale import collect_bounded
 
 # Questions sent to every task: at most this many vector components (64 MB of doubles).
 MAX_BROADCAST_COMPONENTS = 8_000_000
 MAX_BROADCAST_QUESTIONS = 20_000
 GRID_ROWS = 20_000
 QUESTION_SLICE = 512
-EXACT_MARGIN = 1e-9
+BLOCK_ROWS = 8192
 
 
 class HashingEncoder:
@@ -66,17 +65,19 @@ def refresh_vectors(corpus: DataFrame, vectors: DataFrame, encoder=None, key: st
 def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
     """Exact squared-L2 ``k`` nearest rows of a block to every question.
 
-    The product form picks candidates with a margin above its rounding error; their
-    distances are then computed directly, so equal vectors get equal distances.
+    The product form picks candidates. Its rounding error grows with the squared norms and
+    the dimension, and so does the margin: no row of the k nearest is left out at any norm.
+    The candidates' distances are then computed directly, so equal vectors get equal ones.
     """
     if len(q_ids) > QUESTION_SLICE:
         return pd.concat([_nearest(q_ids[i:i + QUESTION_SLICE], q[i:i + QUESTION_SLICE], ids, c, k)
                           for i in range(0, len(q_ids), QUESTION_SLICE)])
-    approx = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (q @ c.T)
+    q_norm, c_norm = (q * q).sum(1)[:, None], (c * c).sum(1)[None, :]
+    approx = q_norm + c_norm - 2.0 * (q @ c.T)
     if c.shape[0] > k:
         kth = np.partition(approx, k - 1, axis=1)[:, k - 1:k]
-        scale = 1.0 + np.abs(kth)
-        qi, ci = np.nonzero(approx <= kth + EXACT_MARGIN * scale)
+        error = 8 * np.finfo(np.float64).eps * (q.shape[1] + 4) * (q_norm + c_norm.max())
+        qi, ci = np.nonzero(approx <= kth + 2 * error)
     else:
         qi, ci = np.divmod(np.arange(q.shape[0] * c.shape[0]), c.shape[0])
     found = pd.DataFrame({"question_id": q_ids[qi], "row_id": ids[ci], "score": ((c[ci] - q[qi]) ** 2).sum(axis=1)})
@@ -106,9 +107,9 @@ def knn(corpus: DataFrame, questions: DataFrame, k: int, row_id: str = "row_id",
         T.StructField("row_id", c.schema["row_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    rows = collect_bounded(q, max_questions)
-    if rows is not None and sum(len(r["v"]) for r in rows) <= MAX_BROADCAST_COMPONENTS:
-        local = _knn_broadcast(c, rows, k, schema)
+    asked = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("components")).first()
+    if asked["n"] <= max_questions and asked["components"] <= MAX_BROADCAST_COMPONENTS:
+        local = _knn_broadcast(c, q.collect(), k, schema)
     else:
         local = _knn_grid(c, q, k, schema, grid_rows)
     return top_per_key(local, ["question_id"], ["score", "row_id"], k)
@@ -124,8 +125,8 @@ def _knn_broadcast(c: DataFrame, rows: list, k: int, schema: T.StructType) -> Da
         q_ids, q = shared.value
         best = None
         for pdf in frames:
-            for i in range(0, len(pdf), 4096):
-                part = pdf.iloc[i:i + 4096]
+            for i in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[i:i + BLOCK_ROWS]
                 found = _nearest(q_ids, q, part["row_id"].to_numpy(), _matrix(part["v"]), k)
                 best = found if best is None else _keep(pd.concat([best, found]), k)
         if best is not None:
@@ -136,12 +137,13 @@ def _knn_broadcast(c: DataFrame, rows: list, k: int, schema: T.StructType) -> Da
 
 def _knn_grid(c: DataFrame, q: DataFrame, k: int, schema: T.StructType, grid_rows: int) -> DataFrame:
     """Block join: both sides hash into blocks of about ``grid_rows`` and every pair of
-    blocks is one small task. Block sizes follow from counts, never from keys, so no
-    question, label or copy can make a block hot."""
+    blocks is one small task. Block sizes follow from counts and rows are dealt by id and
+    vector, so no question, label or shared id makes a block hot; only rows equal in both
+    go together."""
     c_blocks = max(1, -(-c.count() // grid_rows))
     q_blocks = max(1, -(-q.count() // grid_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = c.withColumn("_c", F.pmod(F.xxhash64("row_id"), F.lit(c_blocks)).cast("int")).withColumn("_q", every(q_blocks))
+    left = c.withColumn("_c", F.pmod(F.xxhash64("row_id", "v"), F.lit(c_blocks)).cast("int")).withColumn("_q", every(q_blocks))
     right = q.withColumn("_q", F.pmod(F.xxhash64("question_id"), F.lit(q_blocks)).cast("int")).withColumn("_c", every(c_blocks))
 
     def cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

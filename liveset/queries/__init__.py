@@ -10,8 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liveset.scale import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -35,9 +33,6 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-FACTS = {"lineitem", "orders", "documents", "pages", "conversations", "events"}
-
-
 class Tables:
     """Tables of a data folder by attribute: ``t.orders``."""
 
@@ -48,7 +43,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
     def __getattr__(self, table: str) -> DataFrame:
-        return spread(self.raw(table)) if table in FACTS else self.raw(table)
+        return self.raw(table)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -205,7 +205,7 @@ def flatten_replies(t):
     deep = listing(node(body=F.lit("deep")))
     tree = F.array(node(body=F.col("text"), author=F.lit("a"), replies=listing(node(body=F.lit("reply"), replies=deep))), node(body=F.lit("second"), author=F.lit("b")))
     posts = t.conversations.select("conv_id", "turn", tree.alias("comments"))
-    return forum.flatten_replies(posts).select("conv_id", "turn", "comment_no", "body", "author", "depth")
+    return forum.flatten_replies(posts, cap_rows=fixed.REPLY_CAP, body_cap=fixed.REPLY_BODY_CAP).select("conv_id", "turn", "comment_no", "body", "author", "depth")
 
 
 @query(r"""
@@ -301,12 +301,15 @@ def resolve_tags(t):
 def _promotions(t):
     lyrics = t.documents.select(F.col("doc_id").cast("string").alias("title"),
                                 F.when(F.col("lang") == "de", F.concat(F.lit(" [Jerry] "), "text")).otherwise(F.col("text")).alias("lyrics_text"))
-    wanted = t.labels.select(F.col("doc_id").cast("string").alias("song_name"), F.when(F.col("quality") == 1, "no such title").otherwise("").alias("canonical_title"), F.lit("Jerry").alias("tag"))
-    return R.promote_tags(lyrics, wanted)
+    song = F.col("doc_id").cast("string").alias("song_name")
+    wanted = t.labels.select(song, F.when(F.col("quality") == 1, "no such title").otherwise("").alias("canonical_title"), F.lit("Jerry").alias("tag"), F.lit("2").alias("decided_at"))
+    second = t.labels.filter("toxic = 1").select(song, F.lit("").alias("canonical_title"), F.lit("Bob").alias("tag"), F.lit("3").alias("decided_at"))
+    none = t.labels.filter("quality = 0").select(song, F.lit("").alias("canonical_title"), F.when(F.col("toxic") == 1, "").alias("tag"), F.lit("1").alias("decided_at"))
+    return R.promote_tags(lyrics, wanted.unionByName(second).unionByName(none))
 
 
 @query("""
-SELECT CAST(d.doc_id AS VARCHAR) AS title, CASE WHEN lang = 'de' THEN ' [Jerry] ' || text WHEN l.doc_id IS NOT NULL THEN '[Jerry]' || chr(10) || chr(10) || text ELSE text END AS lyrics_text
+SELECT CAST(d.doc_id AS VARCHAR) AS title, CASE WHEN toxic = 1 THEN '[Bob]' || chr(10) || chr(10) ELSE '' END || CASE WHEN lang = 'de' THEN ' [Jerry] ' || text WHEN l.doc_id IS NOT NULL THEN '[Jerry]' || chr(10) || chr(10) || text ELSE text END AS lyrics_text
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def promote_tags(t):
     """Lyrics with the approved tag put in front."""
@@ -315,7 +318,9 @@ def promote_tags(t):
 
 @query("""
 SELECT CAST(l.doc_id AS VARCHAR) AS song_name, 'Jerry' AS tag, CASE WHEN d.doc_id IS NULL THEN 'song not found' ELSE 'already tagged' END AS error
-FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR lang = 'de'""")
+FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR lang = 'de'
+UNION ALL SELECT CAST(l.doc_id AS VARCHAR), 'Bob', 'song not found' FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL AND toxic = 1
+UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN toxic = 1 THEN '' END, 'no tag' FROM labels WHERE quality = 0""")
 def promotion_errors(t):
     """Promotions that could not be applied."""
     return _promotions(t)[1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from liveset.operators import metrics
@@ -89,11 +90,26 @@ def embedded_corpus(t):
                                                   F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
 
 
-@query("SELECT doc_id AS row_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def presence(texts):
+    """A vector that SQL can state too: scaled length, and whether a text holds each letter."""
+    return np.array([[len(x) / 1024.0, *("e" in x, "z" in x, "ñ" in x)] for x in texts], dtype="float32")
+
+
+@query("""
+SELECT doc_id AS row_id, [length(text) / 1024.0::FLOAT, contains(text, 'e')::INT, contains(text, 'z')::INT, contains(text, 'ñ')::INT]::FLOAT[] AS embedding
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def refreshed_vectors(t):
-    """Rows that had no vector yet."""
+    """Vectors of the rows that had none yet."""
     rows = t.documents.select(F.col("doc_id").alias("row_id"), "text")
-    return refresh_vectors(rows, t.labels.select(F.col("doc_id").alias("row_id")), HashingEncoder(8)).select("row_id")
+    return refresh_vectors(rows, t.labels.select(F.col("doc_id").alias("row_id")), presence).select("row_id", "embedding")
+
+
+@query("""
+SELECT doc_id AS row_id, [length(text) / 1024.0::FLOAT, contains(text, 'e')::INT, contains(text, 'z')::INT, contains(text, 'ñ')::INT]::FLOAT[] AS embedding
+FROM documents""")
+def embedded_texts(t):
+    """Vectors of every text by an encoder that SQL can follow."""
+    return embed(t.documents.select(F.col("doc_id").alias("row_id"), "text"), presence).select("row_id", "embedding")
 
 
 @query("SELECT vec_id AS row_id, label FROM embeddings WHERE label = 3")
@@ -134,7 +150,7 @@ def result_lines(t):
 
 @query(f"""
 WITH {HITS} SELECT rank,
- '[' || rank || '] ' || label || CASE WHEN url <> '' THEN ' — ' || url ELSE '' END || ' (rating ' || rating || '/5)' || CASE WHEN created <> '' THEN ' posted ' || created ELSE '' END || chr(10) || text[1:600] AS context,
+ '[' || rank || '] ' || label || CASE WHEN url <> '' THEN ' — ' || url ELSE '' END || CASE WHEN rating = 0 THEN '' ELSE ' (rating ' || rating || '/5)' END || CASE WHEN created <> '' THEN ' posted ' || created ELSE '' END || chr(10) || text[1:600] AS context,
  '**' || rank || '. ' || label || '**' || CASE WHEN sid <> '' THEN ' <' || url || '>' ELSE '' END || chr(10) || replace(text[1:350], chr(10), ' ') AS chat,
  '*' || rank || '* [' || CASE WHEN sid <> '' THEN sid ELSE '?' END || '](' || url || ')' || chr(10) || 'Rating: ' || rating || '/5 | Date: ' || CASE WHEN created <> '' THEN created ELSE 'N/A' END || chr(10) || text[1:400] || chr(10) AS message,
  '**#' || rank || '** · [' || sid || '](' || url || ')' || chr(10) || 'Rating: ' || rating || '/5 · ' || created || chr(10) || CASE WHEN length(text) > 400 THEN text[1:400] || '...' ELSE text END || chr(10) AS digest,

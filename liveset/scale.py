@@ -1,8 +1,6 @@
 """Helpers that keep plans whole and even when keys are skewed.
 
 * ``checkpoint``      cut lineage on the shared folder, so lost executors cost nothing
-* ``spread``          even out an input with fewer splits than cores
-* ``small``           broadcast a side once its size is proven
 * ``collect_bounded`` bring a small side to the driver only after its size is proven
 * ``running_sum``, ``row_ordinal``, ``previous_value``
                       ordered per-key results; a key too big for one task is cut into
@@ -59,37 +57,19 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
-def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Broadcast a side of narrow rows once a count has shown it to be small; a larger one
-    is left to Spark's own choice of join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def key_bucket(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out an input that has fewer splits than there are cores; others pass as they
-    are. For work that is heavy per row, such as reading texts and pages."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(parallelism) if df.rdd.getNumPartitions() < parallelism else df
-
-
 def hot_buckets(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
     """Hash buckets whose rows would overload one task.
 
     One pass over the key columns, combined before the shuffle to at most
-    ``HASH_BUCKETS`` counters. A bucket is hot above ``hot_rows`` rows and above eight
-    times the mean bucket, so few can qualify however large the table is.
+    ``HASH_BUCKETS`` counters, which is also the most that can be returned. A bucket is hot
+    by its own rows alone, however large the table is.
     """
     counts = df.groupBy(key_bucket(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    peak = counts.filter(F.col("n") > hot_rows)
-    heavy = peak.orderBy(F.desc("n"), "bucket").limit(HASH_BUCKETS // 8).collect()
-    if not heavy:
-        return []
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / HASH_BUCKETS
-    return [r["bucket"] for r in heavy if r["n"] > 8 * mean]
+    return sorted(r["bucket"] for r in counts.filter(F.col("n") > hot_rows).select("bucket").collect())
 
 
 def _split(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, hot: list[int] | None):
@@ -104,7 +84,7 @@ def _split(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: i
     if not hot:
         return df, None
     spark = df.sparkSession
-    marks = F.broadcast(spark.createDataFrame([(b,) for b in hot], "_bucket long"))  # an eighth of the buckets at most
+    marks = F.broadcast(spark.createDataFrame([(b,) for b in hot], "_bucket long"))  # HASH_BUCKETS at most
     tagged = df.withColumn("_bucket", key_bucket(keys))
     ordinary = tagged.join(marks, "_bucket", "left_anti").drop("_bucket")
     ranged = tagged.join(marks, "_bucket", "left_semi").drop("_bucket").repartitionByRange(
@@ -179,8 +159,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     keep = df.select(digest.alias("_key"), at.alias("_order")).groupBy("_key").agg(F.min("_order").alias("_order"))
     keep = keep.select(F.col("_order").alias(order[0])) if len(order) == 1 else keep.select("_order.*")
-    # Places are small: hashing them spares sorting the long rows they select.
-    return df.join(keep.hint("shuffle_hash"), list(order), "left_semi")
+    return df.join(keep, list(order), "left_semi")
 
 
 def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

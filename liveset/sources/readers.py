@@ -7,6 +7,8 @@ a folder or glob.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,7 +95,9 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     )
     raw = read_json(spark, path, f"{sections}, {schemas.INDEX_ROW}")
     row_cols = [f.name for f in T.StructType.fromDDL(schemas.INDEX_ROW).fields]
-    listed = raw.filter(F.col("comment_text").isNotNull()).select(*row_cols)
+    # An object has section columns and no row columns; rows of a list may lack any of theirs.
+    named = [F.col(c).isNotNull() for c in ("comments", "lyrics", "setlists", "deadcast_transcripts", "ep_durations")]
+    listed = raw.filter(~reduce(lambda a, b: a | b, named)).select(*row_cols)
 
     def section(name: str) -> DataFrame:
         return raw.select(F.explode(name).alias("r")).select("r.*")
@@ -130,12 +134,14 @@ def read_songlist(spark: SparkSession, path: str) -> DataFrame:
         F.explode("songs").alias("s")).select("s.*")
 
 
-def read_posts(spark: SparkSession, path: str, body_cap: int = fixed.POST_BODY_CAP) -> DataFrame:
-    """Posts of listing pages; untitled ones drop out, bodies are held to ``body_cap``."""
+def read_posts(spark: SparkSession, path: str, body_cap: int | None = None) -> DataFrame:
+    """Posts of listing pages; untitled ones drop out. Bodies are whole unless ``body_cap``
+    (``fixed.POST_BODY_CAP`` in the established harvest) holds them to a length."""
+    held = (lambda c: c) if body_cap is None else (lambda c: cap(c, body_cap))
     rows = read_json(spark, path, schemas.POST_LISTING).select(F.explode("data.children").alias("c")).select("c.data.*")
     return (
         rows.filter(has_text("title"))
-        .withColumn("selftext", cap(F.coalesce(F.col("selftext"), F.lit("")), body_cap))
+        .withColumn("selftext", held(F.coalesce(F.col("selftext"), F.lit(""))))
         .withColumn("author", F.coalesce("author", F.lit("[deleted]")))
         .withColumn("permalink", F.concat(F.lit(fixed.POST_URL_PREFIX), F.coalesce("permalink", F.lit(""))))
         .withColumn("created", F.date_format(F.timestamp_seconds(F.coalesce("created_utc", F.lit(0.0))), "yyyy-MM-dd"))

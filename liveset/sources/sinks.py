@@ -45,20 +45,25 @@ def _fs(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions under ``path``: those whose write was committed."""
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers N of the committed folders ``name=N`` under ``path``, ascending."""
     fs, root = _fs(spark, path)
     if not fs.exists(root):
         return []
     found = []
     for status in fs.listStatus(root):
-        name = status.getPath().getName()
+        folder = status.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=", 1)[1]))
+        if folder.startswith(f"{name}=") and fs.exists(done):
+            found.append(int(folder.split("=", 1)[1]))
     return sorted(found)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions under ``path``: those whose write was committed."""
+    return numbered_folders(spark, path, "version")
+
+
 def publish(df: DataFrame, path: str, version: int) -> str:
     """Write a new version beside the old ones. It becomes current when Spark commits it,
     so a write that dies halfway changes nothing for readers; repeating it is safe."""

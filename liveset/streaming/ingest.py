@@ -16,20 +16,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from liveset.operators.merge import SHOW, last_wins, normalize_reviews
 from liveset.sources import schemas
-from liveset.sources.sinks import publish, read_current, versions
+from liveset.sources.sinks import numbered_folders, publish, read_current, versions
 
 BATCH = "batch_id"
 
 
-def stream_json(spark: SparkSession, path: str, schema: str = schemas.ITEMS, files_per_batch: int = 10) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("multiLine", True)
-        .option("maxFilesPerTrigger", files_per_batch).json(path)
-    )
+def stream_json(spark: SparkSession, path: str, schema: str = schemas.ITEMS, files_per_batch: int | None = None) -> DataFrame:
+    """Landed JSON files; a batch takes all that are new unless ``files_per_batch`` says less."""
+    return _paced(spark.readStream.schema(schema).option("multiLine", True), files_per_batch).json(path)
+
 
+def stream_parquet(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    return _paced(spark.readStream.schema(schema), files_per_batch).parquet(path)
 
-def stream_parquet(spark: SparkSession, path: str, schema, files_per_batch: int = 10) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+def _paced(reader, files_per_batch: int | None):
+    return reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
 
 
 def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
@@ -66,9 +68,15 @@ def item_transforms() -> dict[str, Callable[[DataFrame], DataFrame]]:
     }
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All stored batches; ``batch_id`` comes from the folder names."""
-    return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/{BATCH}=*")
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """Stored batches, by their folders' names."""
+    return numbered_folders(spark, path, BATCH)
+
+
+def read_log(spark: SparkSession, path: str, only: Sequence[int] | None = None) -> DataFrame:
+    """Stored batches, all or some; ``batch_id`` comes from the folder names."""
+    folders = ["*"] if only is None else only
+    return spark.read.option("basePath", path).parquet(*[f"{path.rstrip('/')}/{BATCH}={b}" for b in folders])
 
 
 def replace_by_key(log: DataFrame, keys: Sequence[str] = (SHOW,)) -> DataFrame:
@@ -86,13 +94,24 @@ def upsert_by_key(log: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return last_wins(log, keys, [BATCH, *order])
 
 
-def compact(spark: SparkSession, log_path: str, table_path: str, keys: Sequence[str] = (SHOW,)) -> DataFrame:
-    """Fold the log and the current version into the next published version."""
-    log = replace_by_key(read_log(spark, log_path), keys).drop(BATCH)
+def compact(spark: SparkSession, log_path: str, table_path: str, keys: Sequence[str] = (SHOW,)) -> DataFrame | None:
+    """Fold the batches not folded yet and the current version into the next version.
+
+    The last batch of a version is noted before the version is committed, so a fold that
+    dies leaves an unused note, and a repeated one reads only what is new.
+    """
+    done = versions(spark, table_path)
+    note = lambda v: f"{table_path.rstrip('/')}/_folded_{v}"
+    folded = int(spark.read.text(note(done[-1])).first()["value"]) if done else -1
+    fresh = [b for b in batches(spark, log_path) if b > folded]
+    if not fresh:
+        return read_current(spark, table_path)
+    log = replace_by_key(read_log(spark, log_path, fresh), keys).drop(BATCH)
     current = read_current(spark, table_path)
     merged = log if current is None else current.join(log.select(*keys), list(keys), "left_anti").unionByName(log)
-    done = versions(spark, table_path)
-    publish(merged, table_path, (done[-1] + 1) if done else 1)
+    version = (done[-1] + 1) if done else 1
+    spark.range(1).select(F.lit(str(fresh[-1])).alias("value")).write.mode("overwrite").text(note(version))
+    publish(merged, table_path, version)
     return read_current(spark, table_path)
 
 

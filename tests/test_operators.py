@@ -228,7 +228,8 @@ def test_flatten_replies_depth_order_cap(spark):
     posts = raw.select("id", F.transform(F.from_json("j", "array<string>"), lambda s: F.from_json(s, forum.NODE)).alias("comments"))
     out = forum.flatten_replies(posts.withColumnRenamed("id", "post_id"))
     assert got(out, "comment_no", "id", "depth", "author") == [(0, "a", 0, "[deleted]"), (1, "b", 1, "[deleted]"), (2, "c", 2, "[deleted]"), (3, "d", 3, "[deleted]"), (4, "f", 0, "[deleted]")]
-    assert len(out.first()["body"]) == 2000
+    assert len(out.first()["body"]) == 2100
+    assert len(forum.flatten_replies(posts.withColumnRenamed("id", "post_id"), body_cap=2000).first()["body"]) == 2000
     assert forum.flatten_replies(posts.withColumnRenamed("id", "post_id"), cap_rows=2).count() == 2
 
 
@@ -324,6 +325,15 @@ def test_promote_several_tags(spark):
     assert got(errors, "song_name", "error") == [("x", "already tagged"), ("zz", "song not found")]
 
 
+def test_promotions_without_tag_and_in_decision_order(spark):
+    lyrics = frame(spark, [("A", "la")], "title string, lyrics_text string")
+    wanted = frame(spark, [("A", "", "Zed", "2024-01-01"), ("A", "", "Bob", "2024-01-02"), ("A", "", "Zed", "2024-01-03"), ("A", "", None, "1"), ("A", "", "", "1")],
+                   "song_name string, canonical_title string, tag string, decided_at string")
+    updated, errors = R.promote_tags(lyrics, wanted)
+    assert got(updated, "lyrics_text") == [("[Bob]\n\n[Zed]\n\nla",)]
+    assert sorted((str(r.tag), r.error) for r in errors.collect()) == [("", "no tag"), ("None", "no tag")]
+
+
 # -- vectors and search -------------------------------------------------------
 def test_knn_paths_equal_brute_force(spark):
     rng = np.random.default_rng(5)
@@ -341,6 +351,32 @@ def test_knn_paths_equal_brute_force(spark):
     assert V.knn(c, q.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("norm", [1.0, 1e3, 1e6])
+def test_knn_is_exact_at_any_norm(spark, norm):
+    rng = np.random.default_rng(7)
+    corpus = norm + rng.normal(scale=1e-3, size=(200, 8))
+    corpus = np.concatenate([corpus, corpus[:30]])
+    asked = norm + rng.normal(scale=1e-3, size=(4, 8))
+    c = frame(spark, [(f"r{i:03d}", v.tolist()) for i, v in enumerate(corpus)], "row_id string, embedding array<double>").repartition(3)
+    q = frame(spark, [(i, v.tolist()) for i, v in enumerate(asked)], "question_id int, embedding array<double>")
+    d = ((corpus[None] - asked[:, None]) ** 2).sum(-1)
+    want = sorted((i, f"r{r:03d}", n + 1) for i in range(4) for n, r in enumerate(np.lexsort((np.arange(230), d[i]))[:9]))
+    assert got(V.knn(c, q, 9), "question_id", "row_id", "rank") == want
+    assert got(V.knn(c, q, 9, max_questions=2, grid_rows=50), "question_id", "row_id", "rank") == want
+
+
+def test_nested_transcripts_and_decoded_credits(spark):
+    pages = frame(spark, [
+        ("nested", '<div class="x"><div class="transcript big"><div>one</div><div>two <div>deep</div></div></div>after</div>'),
+        ("open", '<div class="transcript">never <b>closed</b>'),
+        ("empty", '<div class="transcript"></div><div id="transcript-content">other</div><p>' + "long paragraph " * 5 + "</p>"),
+    ], "url string, html string")
+    out = {r.url: r.transcript for r in P.extract_transcripts(pages).collect()}
+    assert out == {"nested": "onetwo deep", "open": "never closed", "empty": ("long paragraph " * 5).strip()}
+    song = frame(spark, [("s", '<div class="field--name-field-lyrics-by"><div class="field__item">Hunter &amp; Garcia (note a)</div><div class="field__item"> </div></article>')], "slug string, html string")
+    assert P.extract_song_pages_a(song)["songs"].first()["lyricists"] == ["Hunter & Garcia"]
+
+
 def test_digest_keeps_first_prompt(spark):
     c = frame(spark, [(1, [0.0]), (2, [5.0])], "row_id int, embedding array<float>")
     q = frame(spark, [(1, [1.0]), (2, [0.0])], "question_id int, embedding array<float>")
@@ -370,6 +406,9 @@ def test_substring_hits_both_ways(spark):
     df, tq = frame(spark, list(enumerate(texts)), "id int, t string"), frame(spark, list(enumerate(terms)), "question_id int, term string")
     assert got(Q.substring_hits(df, tq, "t"), "id", "question_id") == want
     assert got(Q.substring_hits(df, tq, "t", max_terms=3), "id", "question_id") == want
+    empty = frame(spark, [(1, ""), (2, None)], "question_id int, term string")
+    every = sorted((i, 1) for i in range(len(texts)))
+    assert got(Q.substring_hits(df, empty, "t"), "id", "question_id") == every == got(Q.substring_hits(df, empty, "t", max_terms=0), "id", "question_id")
 
 
 def test_hybrid_and_context(spark):
@@ -381,8 +420,11 @@ def test_hybrid_and_context(spark):
     text = {r.question_id: r.text for r in build_context(hits.join(c, "row_id")).collect()}
     assert text[1] == ("[1] gd1977-05-08.a — https://archive.org/details/gd1977-05-08.a\nhello\n\n"
                        "[2] gd78-05-08.b — https://archive.org/details/gd78-05-08.b\nhello")
-    with pytest.raises(ValueError):
-        build_context(hits.join(c, "row_id"), max_hits=1)
+    # Ranks may be of any size, and lines beyond k are cut before they are gathered.
+    late = hits.join(c, "row_id").withColumn("rank", F.col("rank") + 5000)
+    assert {r.question_id: (r.text[:6], r.n_sources) for r in build_context(late, k=1).collect()} == {1: ("[5001]", 1), 2: ("[5001]", 1)}
+    rated = hits.join(c, "row_id").withColumn("rating", F.lit(0))
+    assert "rating" not in build_context(rated).first()["text"] and "(rating 0/5)" in build_context(rated.withColumn("rating", F.lit("0"))).first()["text"]
 
 
 # -- scale helpers ------------------------------------------------------------

@@ -109,7 +109,7 @@ def test_items_to_show_tables(spark, tmp_path):
 def test_forum_readers(spark, tmp_path):
     listing = {"data": {"children": [{"kind": "t3", "data": {"id": "p", "title": "T", "selftext": "x" * 6000, "permalink": "/r/1", "created_utc": 0}},
                                      {"kind": "t3", "data": {"id": "q", "title": ""}}]}}
-    posts = readers.read_posts(spark, put(tmp_path / "p", listing))
+    posts = readers.read_posts(spark, put(tmp_path / "p", listing), body_cap=5000)
     assert [(r.id, len(r.selftext), r.permalink, r.created, r.author) for r in posts.collect()] == [("p", 5000, "https://reddit.com/r/1", "1970-01-01", "[deleted]")]
     thread = [{"data": {"children": [{"kind": "t3", "data": {"id": "p"}}]}}, {"data": {"children": [{"kind": "t1", "data": {"id": "c", "body": "b", "replies": ""}}]}}]
     threads = readers.read_threads(spark, put(tmp_path / "t", thread))
@@ -146,7 +146,7 @@ def test_transcripts_append_once(spark):
     assert got(sinks.append_transcripts(once, more), "url") == [("u1",), ("u2",), ("u3",)]
 
 
-def test_stream_resumes_and_replaces_by_key(spark, tmp_path):
+def test_stream_resumes_and_replaces_by_key(spark, tmp_path, monkeypatch):
     src, ckpt = tmp_path / "landing", str(tmp_path / "ckpt")
     log = {"reviews": str(tmp_path / "log_r"), "processed": str(tmp_path / "log_p")}
     run = lambda: I.ingest_stream(I.stream_json(spark, str(src)), log, ckpt, I.item_transforms()).awaitTermination()
@@ -164,7 +164,14 @@ def test_stream_resumes_and_replaces_by_key(spark, tmp_path):
     table = str(tmp_path / "table")
     assert got(I.compact(spark, log["reviews"], table), SHOW) == [("s1",), ("s2",)]
     assert got(I.compact(spark, log["reviews"], table), SHOW) == [("s1",), ("s2",)]
-    assert sinks.versions(spark, table) == [1, 2]
+    assert sinks.versions(spark, table) == [1]  # nothing new, nothing folded
+    batch = I.batches(spark, log["reviews"])[-1] + 1
+    I.read_log(spark, log["reviews"]).filter(f"{SHOW} = 's1'").drop("batch_id").withColumn("comment_text", F.lit("later")).write.parquet(f"{log['reviews']}/batch_id={batch}")
+    read = []
+    whole = I.read_log
+    monkeypatch.setattr(I, "read_log", lambda s, p, only=None: read.append(only) or whole(s, p, only))
+    assert ("s1", "later") in got(I.compact(spark, log["reviews"], table), SHOW, "comment_text")
+    assert read == [[batch]] and sinks.versions(spark, table) == [1, 2]
 
 
 def test_sinks(spark, tmp_path):
