@@ -16,7 +16,9 @@ def bfs(edges: DataFrame, seed: DataFrame, max_depth: int = 10) -> DataFrame:
     a level; a node keeps the smallest discovering parent. Levels are checkpointed on the
     shared folder, so the plan stays flat and a lost executor repeats one level at most.
     """
-    links = checkpoint(edges.select("source", "target").distinct())
+    # Edges are laid out by source once: a level then moves its frontier, not the edges.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = checkpoint(edges.select("source", "target").distinct().repartition(parts, "source"))
     node_type = links.schema["source"].dataType
     level = checkpoint(seed.select(F.col("node").cast(node_type)).distinct()
                        .withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast(node_type)))

@@ -47,6 +47,6 @@ class Tables:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from liveset.queries import archive, catalog, search, texts  # noqa: F401
+    from liveset.queries import archive, catalog, landed, search, texts  # noqa: F401
 
     return QUERIES, ORACLE

@@ -412,6 +412,18 @@ def transcripts(t):
     return P.extract_transcripts(t.pages.select("page_id", "html")).withColumn("word_count", F.col("word_count").cast("long"))
 
 
+@query("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'talk ' || page_id || 'more & more' WHEN page_id % 3 = 1 THEN repeat('long ' || page_id || ' ', 20)[1:-2] ELSE 'open end' END AS transcript FROM pages""")
+def transcript_blocks(t):
+    """Transcripts of pages with a block: nested, empty (the paragraphs count then) or never closed."""
+    n = F.col("page_id").cast("string")
+    block = (
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<div class="side"><div class="transcript"><div>talk '), n, F.lit("</div><div><div>more &amp; more</div></div></div>rest</div>")))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit('<div class="episode-transcript"></div><p>'), F.repeat(F.concat(F.lit("long "), n, F.lit(" ")), 20), F.lit("</p>")))
+        .otherwise(F.lit('<section class="transcript">open <i>end</i>')))
+    return P.extract_transcripts(t.pages.select("page_id", block.alias("html"))).select("page_id", "transcript")
+
+
 @query(r"""
 SELECT page_id AS slug, 'Song ' || page_id AS title, 'Robert' AS lyricists, 'Jerry,Phil' AS music_by, 'line one' || chr(10) || 'line ' || page_id AS lyrics_text, '1970' AS first_played_hint FROM pages""")
 def song_pages_fields(t):

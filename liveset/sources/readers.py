@@ -44,10 +44,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_json(spark, path, schema, multi_line=False).drop("_file")
 
 
-def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """Combined corpus files as tables: comments, rich and legacy set lists, processed
     keys, transcripts. A set list value is an object or a list; its first character tells."""
-    raw = read_json(spark, path, schemas.COMBINED)
+    raw = read_json(spark, path, schemas.COMBINED, multi_line)
 
     def section(name: str) -> DataFrame:
         return raw.select(F.col("_file").alias("file_no"), F.posexplode(name).alias("pos", "r"))
@@ -73,9 +73,9 @@ def read_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
         SHOW, F.col("metadata.identifier"))
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
+def read_listing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Landed search pages: one row per page, for year completeness and ids."""
-    return read_json(spark, path, schemas.LISTING_PAGE).select(
+    return read_json(spark, path, schemas.LISTING_PAGE, multi_line).select(
         "_file", F.col("response.numFound").alias("num_found"), F.col("response.start").alias("start"), "response.docs")
 
 
@@ -83,7 +83,7 @@ def listing_ids(pages: DataFrame) -> DataFrame:
     return pages.select(F.posexplode("docs").alias("pos", "d")).select(F.col("d.identifier").alias(SHOW)).distinct()
 
 
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_index(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """Corpus index in either layout: a list of rows, or an object with named sections.
 
     A list reads as one row per element and an object as one row with section columns;
@@ -93,7 +93,7 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         f"comments array<struct<{schemas.INDEX_ROW}>>, lyrics array<struct<{schemas.INDEX_ROW}>>, setlists map<string,string>, "
         f"deadcast_transcripts array<struct<{schemas.TRANSCRIPT}>>, ep_durations array<struct<{schemas.DURATIONS}>>"
     )
-    raw = read_json(spark, path, f"{sections}, {schemas.INDEX_ROW}")
+    raw = read_json(spark, path, f"{sections}, {schemas.INDEX_ROW}", multi_line)
     row_cols = [f.name for f in T.StructType.fromDDL(schemas.INDEX_ROW).fields]
     # An object has section columns and no row columns; rows of a list may lack any of theirs.
     named = [F.col(c).isNotNull() for c in ("comments", "lyrics", "setlists", "deadcast_transcripts", "ep_durations")]
@@ -111,12 +111,12 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_lyrics(spark: SparkSession, path: str) -> DataFrame:
+def read_lyrics(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Lyrics map as one row per song; non-object values drop out, the key stands in for a
     missing title."""
     if not _exists(spark, path):
         return _empty(spark, schemas.LYRICS).withColumn("key", F.lit(""))
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    raw = spark.read.text(path, wholetext=multi_line).select(F.from_json("value", "map<string,string>").alias("m"))
     return (
         raw.select(F.explode("m").alias("key", "value"))
         .filter(F.ltrim("value").startswith("{"))
@@ -125,8 +125,8 @@ def read_lyrics(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_durations(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, schemas.DURATIONS).drop("_file").withColumnRenamed("show_id", SHOW)
+def read_durations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_json(spark, path, schemas.DURATIONS, multi_line).drop("_file").withColumnRenamed("show_id", SHOW)
 
 
 def read_songlist(spark: SparkSession, path: str) -> DataFrame:
@@ -134,11 +134,11 @@ def read_songlist(spark: SparkSession, path: str) -> DataFrame:
         F.explode("songs").alias("s")).select("s.*")
 
 
-def read_posts(spark: SparkSession, path: str, body_cap: int | None = None) -> DataFrame:
+def read_posts(spark: SparkSession, path: str, body_cap: int | None = None, multi_line: bool = True) -> DataFrame:
     """Posts of listing pages; untitled ones drop out. Bodies are whole unless ``body_cap``
     (``fixed.POST_BODY_CAP`` in the established harvest) holds them to a length."""
     held = (lambda c: c) if body_cap is None else (lambda c: cap(c, body_cap))
-    rows = read_json(spark, path, schemas.POST_LISTING).select(F.explode("data.children").alias("c")).select("c.data.*")
+    rows = read_json(spark, path, schemas.POST_LISTING, multi_line).select(F.explode("data.children").alias("c")).select("c.data.*")
     return (
         rows.filter(has_text("title"))
         .withColumn("selftext", held(F.coalesce(F.col("selftext"), F.lit(""))))
@@ -148,9 +148,9 @@ def read_posts(spark: SparkSession, path: str, body_cap: int | None = None) -> D
     )
 
 
-def read_threads(spark: SparkSession, path: str) -> DataFrame:
+def read_threads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Thread files: a list of two listings, the post and its comment tree."""
-    raw = spark.read.text(path, wholetext=True).select(
+    raw = spark.read.text(path, wholetext=multi_line).select(
         F.from_json("value", "array<struct<data:struct<children:array<string>>>>").alias("t")) if _exists(spark, path) else None
     if raw is None:
         return _empty(spark, f"id string, comments array<{NODE}>")
@@ -163,8 +163,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("url", "html")
 
 
-def read_staging(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, schemas.STAGING).select(F.posexplode("inferences").alias("staged_no", "i")).select(
+def read_staging(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_json(spark, path, schemas.STAGING, multi_line).select(F.posexplode("inferences").alias("staged_no", "i")).select(
         "staged_no", "i.*")
 
 
