@@ -26,12 +26,15 @@ from pyspark.sql import types as T
 from liveset.llm.common import Hasher, Words, as_long, flat, mixed, runs, slices
 
 WINDOW = 35
-#: A perfect difference set: every non-zero residue modulo 21 is one difference of two members.
-PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+#: A perfect difference set: every non-zero residue modulo 13 is one difference of two members.
+PERIOD, COVER = 13, (0, 1, 3, 9)
 ADDED = ("kept_text", "n_words", "n_removed")
 
 
-MARKS = "k long, g int, known int, _rid long, place int"
+#: Rows in the shuffle, three numbers each: a hash; 32 more bits of it and the place; the
+#: document and the kind of row (alone in its batch, known to repeat, standing for others).
+MARKS = "k long, at long, doc long"
+ALONE, KNOWN, STANDS = 0, 1, 2
 
 
 def _places(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,39 +45,41 @@ def _places(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _combined(found: list[tuple]) -> pa.RecordBatch | None:
     """Occurrences ``(h, g, rid, place)`` of a batch as rows. One that is alone goes by its
-    hash (``known`` 0). Those of a value that repeats here are known to repeat: they go by
-    their place, spread evenly (1), and one row without a document goes by the hash (0)."""
+    hash. Those of a value that repeats here are known to repeat: they go by their place,
+    spread evenly, and one row that stands for them goes by the hash."""
     if not found:
         return None
     h, g, rid, place = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((g, h))
-    h, g, rid, place = h[order], g[order], rid[order], place[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
-    alone = new & np.append(new[1:], True)
+    h, rid, at = h[order], rid[order], (g.astype(np.int64) << 32 | place)[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (at[1:] >> 32 != at[:-1] >> 32)) if len(h) else np.zeros(0, bool)
+    alone = new & np.append(new[1:], True)[:len(new)]
     again, first = ~alone, new & ~alone
-    k = np.concatenate([h[alone], mixed(rid[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[again].astype(np.uint64)), h[first]])
-    fill = lambda x, v: np.concatenate([x[alone], x[again], np.full(first.sum(), v, x.dtype)])
-    known = np.concatenate([np.zeros(alone.sum(), np.int32), np.ones(again.sum(), np.int32), np.zeros(first.sum(), np.int32)])
-    return pa.RecordBatch.from_arrays(
-        [as_long(k), pa.array(np.concatenate([g[alone], np.zeros(again.sum(), np.int32), g[first]])), pa.array(known),
-         pa.array(fill(rid, -1)), pa.array(fill(place, -1))], names=["k", "g", "known", "_rid", "place"])
+    spread = mixed(rid[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at[again].astype(np.uint64))
+    return pa.RecordBatch.from_arrays([
+        as_long(np.concatenate([h[alone], spread, h[first]])), pa.array(np.concatenate([at[alone], at[again], at[first]])),
+        pa.array(np.concatenate([rid[alone] * 4 + ALONE, rid[again] * 4 + KNOWN, np.full(first.sum(), STANDS, np.int64)]))],
+        names=["k", "at", "doc"])
 
 
 def _repeating(batches):
-    """Places of sorted rows that repeat: known ones, and those not alone in their run. A row
-    that stands for a whole batch of them has no document and gives no place."""
-    for table, starts in runs(batches, ["k", "g", "known"]):
-        size = np.diff(starts)
-        rid, place = table.column("_rid").to_numpy(), table.column("place").to_numpy()
-        take = (np.repeat(size > 1, size) | (table.column("known").to_numpy() == 1)) & (rid >= 0)
+    """Places of sorted rows that repeat: known ones, and those not alone with their value."""
+    for table, _ in runs(batches, ["k"]):
+        k, at, doc = (table.column(c).to_numpy() for c in ("k", "at", "doc"))
+        kind, g = doc & 3, at >> 32
+        counts = kind != KNOWN  # a known row has a hash of its own
+        new = np.append(True, (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | ~counts[1:] | ~counts[:-1])
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(k)))
+        take = ((np.repeat(size, size) > 1) & (kind == ALONE)) | (kind == KNOWN)
         if take.any():
-            yield pa.RecordBatch.from_arrays([pa.array(rid[take]), pa.array(place[take])], names=["_rid", "place"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[take] >> 2), pa.array((at[take] & 0xFFFFFFFF).astype(np.int32))], names=["_rid", "place"])
 
 
 def _marked(occurrences: DataFrame) -> DataFrame:
     """``_rid`` and the places in it that repeat; a list is no longer than its document."""
-    by = ["k", "g", "known"]
-    ordered = occurrences.repartition(*by).sortWithinPartitions(*by)
+    ordered = occurrences.repartition("k").sortWithinPartitions("k", "at")
     return ordered.mapInArrow(_repeating, "_rid long, place int").groupBy("_rid").agg(F.collect_list("place").alias("places"))
 
 
