@@ -15,7 +15,7 @@ import os
 import numpy as np
 
 SEPARATORS = "\t\n\x0b\x0c\r"
-KEPT_PIECES = 200_000
+KEPT_PIECES = 600_000
 PIECES_A_CALL = 1_000
 MARK = "~"  # stands between pieces that are encoded in one call
 CHARS_A_GROUP = 1 << 18
