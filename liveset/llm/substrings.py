@@ -11,6 +11,7 @@ Occurrences meet once, sorted by their hash, and a stream over them marks those
 not alone; they are never paired or gathered. Each batch first settles what repeats within
 itself: those occurrences are marked at once and stand for the others as a single row, so
 a passage shared by a third of all documents sends a row a batch, not a row a document.
+Equal texts repeat each other whole: only the first of them is searched, for the others' sake.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from liveset.llm.common import Hasher, Words, as_long, flat, mixed, runs, slices
 
 WINDOW = 35
-#: A perfect difference set: every non-zero residue modulo 13 is one difference of two members.
-PERIOD, COVER = 13, (0, 1, 3, 9)
+#: A perfect difference set: every non-zero residue modulo 21 is one difference of two members.
+PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ADDED = ("kept_text", "n_words", "n_removed")
 
 
@@ -142,7 +143,7 @@ def _strip(window: int, names: list[str]):
         hasher = Hasher()
         for b in batches:
             data, offsets = flat(b.column("text"))
-            lists = b.column("places")
+            lists, copied = b.column("places"), b.column("_copied").to_numpy(zero_copy_only=False)
             cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for lo, hi in slices(offsets):
                 part, offs = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
@@ -151,8 +152,9 @@ def _strip(window: int, names: list[str]):
                 at = values[cuts[lo]:cuts[hi]] + np.repeat(words.first[:-1], np.diff(cuts[lo:hi + 1]))
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + window, -1)
-                gone = np.cumsum(edge)[:-1] > 0
                 doc, _ = _places(words, np.arange(len(words)))
+                whole = copied[lo:hi] & (np.diff(words.first) >= window)
+                gone = (np.cumsum(edge)[:-1] > 0) | whole[doc]
                 # A removed word goes with the gap after it; a document's layout stays otherwise.
                 until = np.append(words.start[1:], len(part))
                 until = np.minimum(until, offs[doc + 1])
@@ -187,14 +189,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"windows must have at least {PERIOD} words")
     names = [c for c in docs.columns if c not in (*ADDED, "places")]
     rows = docs.select(*names).withColumn("_rid", F.monotonically_increasing_id())
-    marked = _marked(rows.select("_rid", "text").mapInArrow(_anchors(window), MARKS))
-    # Both joins take the same columns, so that the texts are exchanged once.
+    keys = rows.filter("text is not null").select("_rid", F.unhex(F.md5("text")).alias("_key"))
+    groups = keys.groupBy("_key").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    copied = keys.join(groups, "_key").select("_rid", (F.col("_rid") != F.col("_first")).alias("_later"))
+    # All joins take the same columns, so that the texts are exchanged once.
+    searched = rows.join(copied.filter("_later").select("_rid"), "_rid", "left_anti").select("_rid", *names)
+    marked = _marked(searched.mapInArrow(_anchors(window), MARKS))
     windows = rows.join(marked, "_rid").select("_rid", *names, "places").mapInArrow(_candidates(window), MARKS)
     found = _marked(windows)
     schema = T.StructType([docs.schema[c] for c in names] + [
         T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    joined = rows.join(found, "_rid", "left").select(
-        "_rid", *names, F.coalesce("places", F.array().cast("array<int>")).alias("places"))
+    joined = rows.join(found, "_rid", "left").join(copied, "_rid", "left").select(
+        "_rid", *names, F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.col("_later").isNotNull().alias("_copied"))
     return joined.mapInArrow(_strip(window, names), schema)
 
 
