@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,19 +129,23 @@ class Network:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """At most ``rows`` different labelled texts, about as many of each language, as
-    ``(lang, cuts)``. Which ones depends on a hash of the text alone."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    """About ``rows`` different labelled texts, as ``(lang, cuts)``: of each language its even
+    share, or all it has, and one at least. Which ones depends on a hash of the text alone."""
+    # By different texts, as copies are one text of the sample; one row a language.
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     if not counts:
         return []
-    share = rows / len(counts)
-    keep = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * share / n))])
+    share = max(1, -(-rows // len(counts)))
+    # Somewhat more than the share is drawn, so that chance leaves no language short of it.
+    keep = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.2 * share + 50) / max(n, 1)))])
     h = F.xxhash64("text")
     chosen = labelled.withColumn("h", h).filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < F.element_at(keep, F.col("lang")))
     size = F.greatest(F.length("text") - WINDOW, F.lit(0))
     cuts = F.array(*[F.substring("text", (F.pmod(F.shiftright("h", 5 + 9 * k), size + 1) + 1).cast("int"), F.lit(WINDOW)) for k in range(CUTS)])
-    # Copies share their hash, so they fall together before anything is brought to the driver.
-    rows_ = chosen.groupBy("lang", "h").agg(F.any_value(cuts).alias("cuts")).orderBy("h", "lang").limit(rows + len(counts)).collect()
+    # Copies share their hash, so they fall together before anything is counted or brought to the driver.
+    texts = chosen.groupBy("lang", "h").agg(F.any_value(cuts).alias("cuts"))
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    rows_ = sorted(texts.withColumn("_n", first).filter(F.col("_n") <= share).collect(), key=lambda r: (r["h"], r["lang"]))
     return [(r["lang"], r["cuts"]) for r in rows_]
 
 

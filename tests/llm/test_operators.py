@@ -106,6 +106,17 @@ def test_language_without_labels_or_rows(spark):
     assert langid.identify(none.limit(0), one).count() == 0
 
 
+def test_language_of_many_copies_keeps_its_share(spark):
+    copies = spark.range(200_000).select(F.lit("one text again").alias("text"), F.lit("xx").alias("lang"))
+    others = spark.range(300).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("xx").alias("lang"))
+    plain = spark.range(300).select(F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"), F.lit("yy").alias("lang"))
+    single = spark.createDataFrame([("alone", "zz")], "text string, lang string")
+    got = [lang for lang, _ in langid.sample(copies.union(others).union(plain).union(single), rows=300)]
+    assert {x: got.count(x) for x in got} == {"xx": 100, "yy": 100, "zz": 1}
+    many = spark.range(4000).select((F.col("id") % 400).cast("string").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert len({lang for lang, _ in langid.sample(many, rows=20)}) == 400
+
+
 # --- 2 and 10 tokens, files, packing ---------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
