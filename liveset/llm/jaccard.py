@@ -62,6 +62,12 @@ def min_hashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
+def one_byte(sig: np.ndarray) -> np.ndarray:
+    """A byte of each value that depends on all of its bits: minima of many shingles are
+    small numbers, whose upper bits are mostly alike."""
+    return (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+
+
 def _features(batches):
     hasher, rng = Hasher(), np.random.default_rng(4)
     a = rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -78,11 +84,10 @@ def _features(batches):
             wide = sig.reshape(len(at), BANDS, ROWS).astype(np.uint64)
             keys = mixed(mixed(wide[..., 0] << np.uint64(32) | wide[..., 1]) + (wide[..., 2] << np.uint64(32) | wide[..., 3]))
             keys = mixed(keys + band)
-            low = (sig >> np.uint32(24)).astype(np.uint8)
             take = pa.array([lo + d for d in at])
             yield pa.RecordBatch.from_arrays([
                 batch.column("_rid").take(take), batch.column("_key").take(take), pa.array(np.diff(offsets)[lo:hi][at]),
-                pa.array([r.tobytes() for r in low], pa.binary()),
+                pa.array([r.tobytes() for r in one_byte(sig)], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), as_long(keys.ravel()))],
                 names=["_rid", "key", "n_bytes", "sig", "bands"])
 

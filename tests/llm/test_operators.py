@@ -8,6 +8,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -261,6 +262,17 @@ def test_pruning_bounds_keep_the_threshold():
     assert all(0 < m < 0.8 * n for m, n in zip(least, jaccard.STEPS)) and least == sorted(least)
 
 
+@pytest.mark.parametrize("words", [3, 30, 300, 1000, 20_000])
+def test_unlike_texts_of_any_length_are_pruned(words):
+    texts = [" ".join(prose(100 + k, words)) for k in range(12)]
+    texts.append(texts[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(13)), pa.array([b"k"] * 13), pa.array(texts)], names=["_rid", "_key", "text"])
+    sig = np.concatenate([jaccard.matrix(b.column("sig"), jaccard.HASHES) for b in jaccard._features([batch])])
+    left, right = np.triu_indices(13, 1)
+    stay = jaccard.likely(sig, left, right, jaccard.least_matches(0.8))
+    assert list(zip(left[stay].tolist(), right[stay].tolist())) == [(0, 12)]
+
+
 def test_near_duplicates_equal_brute_force(spark, stored):
     texts = odd_texts()
     base = prose(20, 200)
