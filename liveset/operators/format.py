@@ -9,9 +9,6 @@ from pyspark.sql import types as T
 from liveset.functions.text import blank_to_null, cap, ellipsis, show_url
 from liveset.operators.merge import top_per_key
 
-#: Lines that go into one text where the caller names no other number of hits.
-CONTEXT_HITS = 20
-
 
 def _c(df: DataFrame, name: str) -> Column:
     """Column as text, empty where it is missing or null."""
@@ -143,13 +140,15 @@ def context_lines(hits: DataFrame, rank: str = "rank", max_chars: int = 600) ->
     return hits.withColumn("line", context_line(hits, rank, max_chars))
 
 
-def join_lines(lines: DataFrame, separator: str = "\n\n", rank: str = "rank", k: int = CONTEXT_HITS) -> DataFrame:
-    """The first ``k`` lines of each question, by rank, as one text; equal ranks go by line.
+def join_lines(lines: DataFrame, separator: str = "\n\n", rank: str = "rank", k: int | None = None) -> DataFrame:
+    """The lines of each question, by rank, as one text; equal ranks go by line.
 
-    They are cut to ``k`` before they are gathered, whatever the ranks and however many
-    lines a question has.
+    Callers give the ``k`` of their search: lines are then cut to the first ``k`` before
+    they are gathered, whatever the ranks. Without it every line given is in the text.
     """
-    lines = top_per_key(lines.select("question_id", rank, "line"), ["question_id"], [rank, "line"], k, "_place")
+    lines = lines.select("question_id", rank, "line")
+    if k is not None:
+        lines = top_per_key(lines, ["question_id"], [rank, "line"], k, "_place")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(rank), F.col("line"))))
     return lines.groupBy("question_id").agg(ordered.alias("_l")).select(
         "question_id", F.array_join(F.transform("_l", lambda x: x["line"]), separator).alias("text"),

@@ -261,4 +261,4 @@ def question_contexts(t):
     """Source passages of the nearest rows as one text per question."""
     hits = V.knn(_vectors(t), _centres(t), 10)
     texts = t.documents.select(F.col("doc_id").alias("row_id"), F.concat(F.lit("gd"), "source").alias(SHOW), F.col("text").alias("comment_text"), F.lit("comment").alias("type"))
-    return build_context(hits.join(texts, "row_id"))
+    return build_context(hits.join(texts, "row_id"), k=10)

@@ -194,6 +194,13 @@ def test_extractive_answer(spark):
     assert "**#2** — [N/A]()" in row.text
 
 
+def test_extractive_answer_holds_every_hit(spark):
+    hits = spark.range(1, 31).select(F.lit(1).alias("question_id"), F.col("id").cast("int").alias("rank"), F.lit("s").alias("show_identifier"), F.lit("t").alias("comment_text"), F.lit("comment").alias("type"))
+    row, first = extractive_answer(hits).first(), extractive_answer(hits, k=10).first()
+    assert row.text.startswith("Based on 30 sources:") and "**#30**" in row.text
+    assert first.text.startswith("Based on 10 sources:") and "**#11**" not in first.text
+
+
 def test_stream_takes_new_keys_only(spark, tmp_path):
     src = put(tmp_path / "in", *[{"metadata": {"identifier": s}, "reviews": []} for s in ("a", "b", "c")])
     known = spark.createDataFrame([("a",), ("a",)], f"{SHOW} string")
