@@ -4,12 +4,13 @@ A score is a sum over slices of the dimensions; each slice of each block of vect
 list of local scores, as a node of its own.
 
 1. Every node sends its ``k`` best entries for each query, with their totals, and its
-   smallest local score. The k-th best of the totals is a bound no answer is below.
+   smallest and largest local score. The k-th best of the totals is a bound no answer is below.
 2. The bound, less the smallest scores, is shared out evenly: an answer must reach its share
-   in some slice. The cutoffs travel with the queries, and nodes collect the entries that
-   reach theirs.
-3. Of these, entries whose known scores plus the cutoffs of the other slices can still
-   reach the bound have the missing scores computed; the ``k`` best of a block go out.
+   in some slice. The cutoffs and the largest scores travel with the queries.
+3. Nodes are asked one after the other, those of large scores first, each only for the
+   entries whose known scores plus the largest of the nodes not asked yet can still reach
+   the bound. Of what is left,
+   entries that reach a cutoff count; the ``k`` best of a block go out.
 
 Queries and vectors meet as blocks of bounded size by an equi-join on their numbers. Lists
 are cut to ``k`` entries, ties to the smaller id, before every shuffle.
@@ -93,7 +94,7 @@ def _longs(values) -> pa.Array:
     return pa.array([max(-LONG, min(LONG, int(x))) for x in values], pa.int64())
 
 
-LISTS = "query_id long, qkey long, slice int, vec_id long, total long, low double, wide boolean"
+LISTS = "query_id long, qkey long, slice int, vec_id long, total long, low double, high double, wide boolean"
 ENTRIES = "query_id long, qkey long, vec_id long, score long"
 
 
@@ -115,10 +116,10 @@ def _lists(k: int):
                     parts.append(pa.table({
                         "query_id": np.full(n, block.query_id[i]), "qkey": np.full(n, qkeys[i]), "slice": np.full(n, s, np.int32),
                         "vec_id": block.ids_of(own[at]), "total": _longs(total[at]),
-                        "low": np.full(n, float(scores.min())), "wide": np.full(n, block.wide)}))
+                        "low": np.full(n, float(scores.min())), "high": np.full(n, float(scores.max())), "wide": np.full(n, block.wide)}))
         empty = pa.table({n: pa.array([], t) for n, t in (
             ("query_id", pa.int64()), ("qkey", pa.int64()), ("slice", pa.int32()), ("vec_id", pa.int64()), ("total", pa.int64()),
-            ("low", pa.float64()), ("wide", pa.bool_()))})
+            ("low", pa.float64()), ("high", pa.float64()), ("wide", pa.bool_()))})
         return pa.concat_tables([empty, *parts]).combine_chunks()
 
     return run
@@ -130,20 +131,20 @@ def _entries(k: int):
         if queries.num_rows and vectors.num_rows:
             block = Block(queries, vectors)
             qkeys, wide = queries.column("qkey").to_numpy(), queries.column("wide").to_numpy(zero_copy_only=False)
-            bounds, cutoffs = queries.column("bound").to_pylist(), queries.column("cutoffs").to_pylist()
+            bounds, cutoffs, highs = (queries.column(c).to_pylist() for c in ("bound", "cutoffs", "highs"))
             for i in range(len(block.q)):
                 own = np.flatnonzero(block.others(i))
                 if wide[i] or block.wide or bounds[i] is None or cutoffs[i] is None or len(cutoffs[i]) != len(block.cuts):
                     total = sum(block.local(i, s, own) for s in range(len(block.cuts)))
                 else:
-                    bound, cutoff = bounds[i], cutoffs[i]
-                    local = [block.local(i, s, own) for s in range(len(block.cuts))]
-                    reach = np.array([x >= c for x, c in zip(local, cutoff)])
-                    # What an entry is known to have, and what the silent slices add at most.
-                    most = sum(np.where(r, x, c) for r, x, c in zip(reach, local, cutoff))
-                    stay = np.flatnonzero(reach.any(axis=0) & (most >= bound))
-                    own = own[stay]
-                    total = sum(x[stay] for x in local)
+                    total, reach = np.zeros(len(own)), np.zeros(len(own), bool)
+                    order = sorted(range(len(highs[i])), key=lambda s: -highs[i][s])
+                    for n, s in enumerate(order, 1):
+                        scores = block.local(i, s, own)
+                        total, reach = total + scores, reach | (scores >= cutoffs[i][s])
+                        stay = np.flatnonzero(total + sum(highs[i][x] for x in order[n:]) >= bounds[i])
+                        own, total, reach = own[stay], total[stay], reach[stay]
+                    own, total = own[reach], total[reach]
                 if not len(own):
                     continue
                 at = block.best(total, k)
@@ -183,7 +184,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     lists = against(queries, _lists(k), LISTS)
     of_query = ["query_id", "qkey"]
-    lows = lists.groupBy(*of_query, "slice").agg(F.min("low").alias("low"))
+    lows = lists.groupBy(*of_query, "slice").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     # An entry may be in the list of every slice; it counts once towards the bound.
     entries = lists.groupBy(*of_query, "slice", "total", "vec_id").agg(F.max("wide").alias("wide"), F.count(F.lit(1)).alias("n"))
     entries = entries.groupBy(*of_query, "total", "vec_id").agg(F.max("wide").alias("wide"), F.max("n").alias("n"))
@@ -191,10 +192,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     reached = entries.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     bound = reached.groupBy(*of_query).agg(
         F.when(F.count(F.lit(1)) == k, F.min("total")).alias("bound"), F.max("wide").alias("wide"))
-    shares = lows.groupBy(*of_query).agg(F.sort_array(F.collect_list(F.struct("slice", "low"))).alias("lows"))  # one a slice
+    shares = lows.groupBy(*of_query).agg(F.sort_array(F.collect_list(F.struct("slice", "low", "high"))).alias("lows"))  # one a slice
     shares = shares.join(bound, of_query).withColumn("share", (F.col("bound") - F.aggregate(
         "lows", F.lit(0.0), lambda a, x: a + x["low"])) / F.size("lows"))
-    cutoffs = shares.select(*of_query, "bound", "wide", F.transform("lows", lambda x: x["low"] + F.col("share") - 1e-3).alias("cutoffs"))
+    # A little above the largest score, for rounding beside blocks of very large components.
+    highs = F.transform("lows", lambda x: x["high"] + F.abs(x["high"]) * 1e-9)
+    cutoffs = shares.select(*of_query, "bound", "wide", F.transform("lows", lambda x: x["low"] + F.col("share") - 1e-3).alias("cutoffs"), highs.alias("highs"))
     final = against(queries.join(cutoffs, of_query, "left").withColumn("wide", F.coalesce("wide", F.lit(False))), _entries(k), ENTRIES)
     best = W.partitionBy(*of_query).orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return final.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

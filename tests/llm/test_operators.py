@@ -414,6 +414,31 @@ def brute_top(rows, k):
     return sorted(out)
 
 
+def test_last_phase_asks_slices_only_for_rows_in_reach(monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.normal(size=(4000, 16)) * 1024) / 1024
+    scaled = v * 1024
+    total = scaled @ scaled[0]
+    total[0] = -np.inf
+    parts = [scaled[1:, :8] @ scaled[0, :8], scaled[1:, 8:] @ scaled[0, 8:]]
+    bound = int(np.sort(total)[-5])
+    share = (bound - sum(p.min() for p in parts)) / 2
+    vectors = pa.table({"vec_id": pa.array(range(4000)), "v": pa.array(v.tolist())})
+    query = pa.table({"query_id": [0], "qkey": [7], "qv": [v[0].tolist()], "bound": [bound], "wide": [False],
+                      "cutoffs": [[p.min() + share for p in parts]], "highs": [[float(p.max()) for p in parts]]})
+    asked, local = [], topk.Block.local
+
+    def counted(self, i, s, rows=slice(None)):
+        out = local(self, i, s, rows)
+        asked.append(len(out))
+        return out
+
+    monkeypatch.setattr(topk.Block, "local", counted)
+    got = topk._entries(5)(query, vectors)
+    assert sorted(got["score"].to_pylist()) == sorted(np.sort(total)[-5:].astype(int).tolist())
+    assert asked[0] == 3999 and asked[1] < 1500
+
+
 @pytest.mark.parametrize("kind", ["plain", "ties", "odd", "wide", "few"])
 def test_top_k_equals_brute_force(spark, kind, monkeypatch):
     monkeypatch.setattr(topk, "VECTORS_A_BLOCK", 70)
