@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from liveset.llm.common import partitions
+from liveset.llm.common import written
 
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90  # per cent of the positive's score
 VECTORS_A_BLOCK, ANCHORS_A_GROUP = 16384, 8192
+LEAST_BLOCKS = 12  # also of a small table, so that tasks share it
 FIRST_DEPTH = 64
 LONG = 2**63 - 1
 #: Whole numbers below these are exact in single and in double precision.
@@ -161,11 +162,9 @@ def hard_negatives(vectors: DataFrame, is_anchor, label=None, positives: int = P
     an empty table give no rows. Scores beyond 64 bits count as the nearest of them.
     """
     data = usable(vectors if label is None else vectors.withColumn("label", label))
-    spark = data.sparkSession
     anchors = data.filter(is_anchor).select(*[F.col(c).alias(n) for c, n in (
         ("vec_id", "anchor_id"), ("row_key", "row_key"), ("label", "label"), ("v", "v"))])
-    # As many blocks as there are tasks at least; a block has a bounded size.
-    n_blocks = max(partitions(spark), -(-data.count() // VECTORS_A_BLOCK))
+    n_blocks = max(LEAST_BLOCKS, -(-data.count() // VECTORS_A_BLOCK))
     n_groups = max(1, -(-anchors.count() // ANCHORS_A_GROUP))
     blocks = data.withColumn("block", F.pmod(F.xxhash64("row_key", F.lit(1)), F.lit(n_blocks))).withColumn(
         "group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
@@ -178,6 +177,7 @@ def hard_negatives(vectors: DataFrame, is_anchor, label=None, positives: int = P
     of_anchor = ["anchor_id", "row_key"]
     place = W.partitionBy(*of_anchor).orderBy(F.desc("score"), "vec_id")
     near = against(anchors, _found(positives, False)).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= positives)
+    near = written(near, "positives")  # used twice
     opened = near.groupBy(*of_anchor).agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("positives"))
     asked = anchors.join(opened, of_anchor)
     rank = W.partitionBy(*of_anchor, "place").orderBy(F.desc("score"), "vec_id")
