@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from liveset.llm.common import mixed, partitions, written
 
-NEIGHBOURS, SAMPLED = 32, 16
+#: Entries of a list; members from each side in a round; links back that a search follows.
+NEIGHBOURS, SAMPLED, BACKWARD = 32, 16, 24
 TREES, LEAF = 4, 2048
 #: The trees' sample: rows and components at most, and rows of it a leaf at least.
 SAMPLE_ROWS, SAMPLE_VALUES, LEAST_OF_LEAF = 1 << 15, 1 << 22, 8
@@ -213,13 +214,19 @@ def _cell_pairs(width: int):
 
 
 # --- rounds -----------------------------------------------------------------------------------------
-GRAPH = "block int, size int, fresh int, other binary, dist binary, new binary"
+GRAPH = "block int, size int, fresh int, other binary, dist binary, worst binary, new binary"
 
 
 def _lists(row: pa.Table):
     n = row.column("size")[0].as_py()
-    return (_get(row, "other", np.int64).reshape(n, NEIGHBOURS), _get(row, "dist", np.float32).reshape(n, NEIGHBOURS),
-            _get(row, "new", bool).reshape(n, NEIGHBOURS))
+    return _get(row, "other", np.int64).reshape(n, NEIGHBOURS), _get(row, "new", bool).reshape(n, NEIGHBOURS)
+
+
+def _graph_row(block: pa.Array, other: np.ndarray, dist: np.ndarray, new: np.ndarray) -> list[pa.Array]:
+    return [block, pa.array([len(other)], pa.int32()), pa.array([new.sum()], pa.int32()), *_blob(other, dist, dist[:, -1], new)]
+
+
+_GRAPH_COLUMNS = ["block", "size", "fresh", "other", "dist", "worst", "new"]
 
 
 def _picked(other: np.ndarray, new: np.ndarray, most: int) -> np.ndarray:
@@ -231,8 +238,8 @@ def _merged(graph: pa.Table, pairs: pa.Table) -> pa.Table:
     """A block's lists with better entries taken in; what was picked as a member is not new."""
     if not graph.num_rows:
         return graph
-    other, dist, new = _lists(graph)
-    new = new.copy()
+    other, new = _lists(graph)
+    dist, new = _get(graph, "dist", np.float32).reshape(other.shape), new.copy()
     np.put_along_axis(new, _picked(other, new, SAMPLED), False, axis=1)
     n = len(other)
     have = other.ravel() >= 0
@@ -249,8 +256,7 @@ def _merged(graph: pa.Table, pairs: pa.Table) -> pa.Table:
     out = (np.full((n, NEIGHBOURS), -1, np.int64), np.full((n, NEIGHBOURS), np.inf, np.float32), np.zeros((n, NEIGHBOURS), bool))
     for to, values in zip(out, (others, dists, fresh)):
         to[row, place] = values[order]
-    return pa.table([graph.column("block").combine_chunks(), pa.array([n], pa.int32()), pa.array([out[2].sum()], pa.int32()), *_blob(*out)],
-                    names=["block", "size", "fresh", "other", "dist", "new"])
+    return pa.table(_graph_row(graph.column("block").combine_chunks(), *out), names=_GRAPH_COLUMNS)
 
 
 def _reversed(most: int, seed: int):
@@ -259,7 +265,7 @@ def _reversed(most: int, seed: int):
         for b in batches:
             for i in range(b.num_rows):
                 row = pa.Table.from_batches([b.slice(i, 1)])
-                other, _, new = _lists(row)
+                other, new = _lists(row)
                 source = (np.int64(row.column("block")[0].as_py()) << 32) + np.repeat(np.arange(len(other)), NEIGHBOURS)
                 have = other.ravel() >= 0
                 source, target, new = source[have], other.ravel()[have], new.ravel()[have]
@@ -279,7 +285,7 @@ def _members(forward: int, backward: int, seed: int):
         names, types = ["block", "members", "new"], [pa.int32(), pa.binary(), pa.binary()]
         if not graph.num_rows:
             return _table([], names, types)
-        other, _, new = _lists(graph)
+        other, new = _lists(graph)
         pick = _picked(other, new, forward)
         n = len(other)
         t, s, fresh = _rows(turned, ("target", np.int32), ("source", np.int64), ("new", bool))
@@ -315,16 +321,19 @@ def _asked(batches):
 
 
 def _sent(width: int):
-    """Vectors asked for, with the largest distance in each node's list."""
+    """Vectors asked for, as half-precision shares of their largest component, with that and
+    the largest distance in each node's list."""
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         rows = []
         if held.num_rows:
-            x, dist = _get(held, "x", np.float32).reshape(-1, width), _get(held, "dist", np.float32).reshape(-1, NEIGHBOURS)
+            x, worst = _get(held, "x", np.float32).reshape(-1, width), _get(held, "worst", np.float32)
+            most = np.maximum(np.abs(x).max(axis=1), np.float32(1e-30))
+            half = (x / most[:, None]).astype(np.float16)
             block = np.int64(held.column("block")[0].as_py()) << 32
             for i in range(asked.num_rows):
                 place = _get(asked, "place", np.int32, i)
-                rows.append([pa.array([asked.column("asker")[i].as_py()], pa.int32()), *_blob(block + place, x[place], dist[place, -1])])
-        return _table(rows, ["block", "number", "x", "worst"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+                rows.append([pa.array([asked.column("asker")[i].as_py()], pa.int32()), *_blob(block + place, half[place], most[place], worst[place])])
+        return _table(rows, ["block", "number", "x", "most", "worst"], [pa.int32(), *[pa.binary()] * 4])
 
     return run
 
@@ -334,8 +343,8 @@ def _compared(width: int, places: int):
     def run(lists: pa.Table, sent: pa.Table) -> pa.Table:
         if not lists.num_rows or not sent.num_rows:
             return _table([], *_PAIR_COLUMNS)
-        number, x, worst = _rows(sent, ("number", np.int64), ("x", np.float32), ("worst", np.float32))
-        x = x.reshape(-1, width)
+        number, x, most, worst = _rows(sent, ("number", np.int64), ("x", np.float16), ("most", np.float32), ("worst", np.float32))
+        x = x.reshape(-1, width).astype(np.float32) * most[:, None]
         order = np.argsort(number)
         number, x, worst = number[order], x[order], worst[order]
         size = (x * x).sum(axis=1)
@@ -359,16 +368,16 @@ LISTS = "block int, members binary, new binary"
 
 
 def _linked(graph: DataFrame, forward: int, backward: int, seed: int) -> DataFrame:
-    turned = graph.mapInArrow(_reversed(backward, seed), "block int, target binary, source binary, new binary")
-    graph = graph.select(F.col("block").alias("block"), "size", "other", "dist", "new")
+    turned = graph.select("block", "size", "other", "new").mapInArrow(_reversed(backward, seed), "block int, target binary, source binary, new binary")
+    graph = graph.select(F.col("block").alias("block"), "size", "other", "new")
     return graph.groupBy("block").cogroup(turned.groupBy("block")).applyInArrow(_members(forward, backward, seed), LISTS)
 
 
 def _round(graph: DataFrame, blocks: DataFrame, width: int, seed: int) -> DataFrame:
     lists = written(_linked(graph, SAMPLED, SAMPLED, seed), "members")
     asked = lists.mapInArrow(_asked, "owner int, asker int, place binary")
-    held = blocks.join(graph.select(F.col("block").alias("b"), F.col("dist")), F.col("block") == F.col("b")).select("block", "x", "dist")
-    sent = held.groupBy("block").cogroup(asked.groupBy("owner")).applyInArrow(_sent(width), "block int, number binary, x binary, worst binary")
+    held = blocks.join(graph.select(F.col("block").alias("b"), F.col("worst")), F.col("block") == F.col("b")).select("block", "x", "worst")
+    sent = held.groupBy("block").cogroup(asked.groupBy("owner")).applyInArrow(_sent(width), "block int, number binary, x binary, most binary, worst binary")
     pairs = lists.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_compared(width, 2 * SAMPLED), PAIRS)
     before = graph.select(*[F.col(c).alias(c) for c in graph.columns])
     return written(before.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(_merged, GRAPH), "graph")
@@ -379,9 +388,9 @@ def _empty_lists(width: int):
         for b in batches:
             for i in range(b.num_rows):
                 n = len(b.column("x")[i].as_py()) // (4 * width)
-                yield pa.RecordBatch.from_arrays([b.column("block").slice(i, 1), pa.array([n], pa.int32()), pa.array([0], pa.int32()), *_blob(
-                    np.full((n, NEIGHBOURS), -1, np.int64), np.full((n, NEIGHBOURS), np.inf, np.float32), np.zeros((n, NEIGHBOURS), bool))],
-                    names=["block", "size", "fresh", "other", "dist", "new"])
+                shape = (n, NEIGHBOURS)
+                yield pa.RecordBatch.from_arrays(_graph_row(
+                    b.column("block").slice(i, 1), np.full(shape, -1, np.int64), np.full(shape, np.inf, np.float32), np.zeros(shape, bool)), names=_GRAPH_COLUMNS)
 
     return run
 
@@ -421,6 +430,7 @@ def build(vectors: DataFrame, copies: int = 11) -> Index | None:
     number = F.shiftleft(F.col("block").cast("long"), 32) + F.row_number().over(W.partitionBy("block").orderBy("leaf", "h1", "h2")) - 1
     nodes = written(spread.withColumn("number", number).select("number", "block", "leaf", "leaves", "v", "ids"), "nodes")
     blocks = written(nodes.select("block", "number", "v").groupBy("block").applyInArrow(_stacked(width, scale), "block int, x binary"), "blocks")
+    blocks = blocks.repartition(partitions(distinct.sparkSession), "block").persist()  # laid out once for all rounds
     ranges = nodes.groupBy("leaf", "block").agg(F.min("number").alias("start"), F.count(F.lit(1)).alias("n"))
     entries = [tuple(r["e"]) for r in ranges.groupBy("leaf").agg(F.max(F.struct("n", "start")).alias("e")).collect()]  # one a leaf
     entries = sorted((start, size) for size, start in entries)
@@ -435,8 +445,9 @@ def build(vectors: DataFrame, copies: int = 11) -> Index | None:
         graph = _round(graph, blocks, width, 2 * step + 3)
         if graph.agg(F.sum("fresh")).first()[0] < SETTLED * n * NEIGHBOURS:
             break
-    links = _linked(graph, NEIGHBOURS, NEIGHBOURS, 1).select(F.col("block").alias("b"), F.col("members").alias("links"))
+    links = _linked(graph, NEIGHBOURS, BACKWARD, 1).select(F.col("block").alias("b"), F.col("members").alias("links"))
     links = written(blocks.join(links, F.col("block") == F.col("b")).select("block", "x", "links"), "links")
+    blocks.unpersist()
     return Index(nodes.select("number", "v", "ids"), links, trees, entries, width, scale)
 
 
@@ -484,7 +495,7 @@ def _answers(width: int, beam: int):
     def run(held: pa.Table, calls: pa.Table) -> pa.Table:
         out = []
         if held.num_rows and calls.num_rows:
-            x, links = _get(held, "x", np.float32).reshape(-1, width), _get(held, "links", np.int64).reshape(-1, 2 * NEIGHBOURS)
+            x, links = _get(held, "x", np.float32).reshape(-1, width), _get(held, "links", np.int64).reshape(-1, NEIGHBOURS + BACKWARD)
             block = np.int64(held.column("block")[0].as_py()) << 32
             keys, bounds = calls.column("qkey").to_numpy(), calls.column("bound").to_numpy()
             for i in range(calls.num_rows):
