@@ -5,16 +5,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import from_arrow_type
 
+from liveset.functions.automaton import CELLS, automata, bytes_of
 from liveset.functions.dates import parse_date_phrase, show_date
 from liveset.functions.text import cap, loose_key, match_context, words
 from liveset.operators.merge import top_per_key
 from liveset.operators.vectors import knn, knn_filtered
 from liveset.scale import checkpoint, collect_bounded, row_ordinal
 
-MAX_LITERAL_TERMS = 500
+MAX_LITERAL_TERMS = 16
+#: Terms sent to every task, in bytes, each counted with what its question takes beside it.
+MAX_SCANNED_BYTES, ROW_BYTES = 4 << 20, 32
+HITS_A_BATCH = 8192
+HELD_ROWS = 200_000
 GRAM = 8
 DEALS = 64
 LYRIC_TYPES = ("lyric", "interpretation")
@@ -57,30 +68,43 @@ def search_transcripts(transcripts: DataFrame, term: str, k: int | None = 10, or
     )
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    """A value as a column, structs field by field."""
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)
+
+
 # -- term batches -------------------------------------------------------------
 def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "term",
-                   max_terms: int = MAX_LITERAL_TERMS) -> DataFrame:
+                   max_terms: int = MAX_LITERAL_TERMS, max_bytes: int = MAX_SCANNED_BYTES) -> DataFrame:
     """Every (text row, term) where the lower-cased text holds the lower-cased term; an empty
     term is in every text, a null one in none.
 
     ``terms``: question_id and ``term``. Up to ``max_terms`` they become a literal array
-    checked in the scan. Beyond that texts and terms meet on character runs: a term is
-    filed under its first ``GRAM`` characters, a text under all runs of the lengths that
-    occur, and hits are verified. Only the text's key and the runs are exchanged, the text
-    itself is looked up for hits alone. Both ways return the same rows.
+    checked in the scan. Up to ``max_bytes``, counted before they are fetched, they become an
+    automaton that every task runs over its texts once; nothing is exchanged. Beyond that texts
+    and terms meet on character runs: a term is filed under its first ``GRAM`` characters, a
+    text under all runs of the lengths that occur, and hits are verified. Only the text's key
+    and the runs are exchanged, the text itself is looked up for hits alone. All three ways
+    return the same rows.
     """
     asked = terms.select("question_id", F.lower(term).alias("_term")).filter(F.col("_term").isNotNull())
     rows = collect_bounded(asked, max_terms)
     if rows is not None:
         if not rows:
             return texts.withColumn("question_id", F.lit(None).cast(terms.schema["question_id"].dataType)).filter(F.lit(False))
-        wanted = F.array(*[F.struct(F.lit(r["question_id"]).alias("question_id"), F.lit(r["_term"]).alias("t")) for r in rows])
+        kind = asked.schema["question_id"].dataType
+        wanted = F.array(*[F.struct(_literal(r["question_id"], kind).alias("question_id"), F.lit(r["_term"]).alias("t")) for r in rows])
         low = F.lower(F.coalesce(F.col(text), F.lit("")))
         return (
             texts.withColumn("_low", low)
             .withColumn("_hit", F.explode(F.filter(wanted, lambda w: F.contains(F.col("_low"), w["t"]))))
             .withColumn("question_id", F.col("_hit.question_id")).drop("_hit", "_low")
         )
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("_term") + ROW_BYTES), F.lit(0))).first()[0]
+    if size <= max_bytes:
+        return scan_terms(texts, asked.toArrow(), text)
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     keyed = texts.withColumn("_key", F.md5(low))  # equal texts are searched once
     # Every text holds the empty term; its rows are dealt over many keys.
@@ -104,6 +128,103 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
     return held.select(*columns).unionByName(everywhere.select(*columns))
 
 
+def scan_terms(texts: DataFrame, asked: pa.Table, text: str, cells: int = CELLS) -> DataFrame:
+    """The same by automata over the bytes of the lower-cased texts: one look-up a byte,
+    however many terms there are. ``asked`` has question_id and ``_term``; terms beyond
+    ``cells`` of one automaton go to a further one in the same scan."""
+    asked = asked.combine_chunks()
+    given = asked.column("_term").cast(pa.binary()).to_pylist()
+    distinct = sorted(set(given))
+    number = {t: i for i, t in enumerate(distinct)}
+    of_row = np.array([number[t] for t in given], np.int64)
+    by_term = np.argsort(of_row, kind="stable")
+    cuts = np.searchsorted(of_row[by_term], np.arange(len(distinct) + 1))
+    questions = asked.column("question_id").take(pa.array(by_term))
+    everywhere = number.get(b"")
+
+    def run(batches):
+        found = automata([t for t in distinct if t], cells)
+        shift = 0 if everywhere is None else 1  # the empty term comes first and is in no automaton
+        for batch in batches:
+            data, offsets = bytes_of(batch.column("_low"))
+            at, term = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for places, one in found:
+                t, k = one.find(data, offsets)
+                at.append(t)
+                term.append(places[k] + shift)
+            if shift:
+                at.append(np.arange(batch.num_rows))
+                term.append(np.zeros(batch.num_rows, np.int64))
+            at, term = np.concatenate(at), np.concatenate(term)
+            sizes = cuts[term + 1] - cuts[term]
+            at = np.repeat(at, sizes)
+            asker = np.repeat(cuts[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            kept = batch.select(columns)
+            for lo in range(0, len(at), HITS_A_BATCH):
+                part = kept.take(pa.array(at[lo:lo + HITS_A_BATCH]))
+                ids = questions.take(pa.array(asker[lo:lo + HITS_A_BATCH])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*columns, "question_id"])
+
+    columns = texts.columns
+    kind = from_arrow_type(questions.type)
+    schema = T.StructType([*texts.schema.fields, T.StructField("question_id", kind)])
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return texts.withColumn("_low", low).mapInArrow(run, schema)
+
+
+# -- first k and how many there are -------------------------------------------
+def first_with_total(hits: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]], k: int,
+                     held_rows: int = HELD_ROWS) -> DataFrame:
+    """The first ``k`` rows of every key with their ``rank``, and ``total``, how many the key has.
+
+    One pass: every task holds a bounded list and a count a key, and hands on at most ``k`` rows
+    a key with the count on the first; lists merge the same way after the shuffle. A task that
+    holds more than ``held_rows`` hands on what it has and begins anew. ``order``: (column,
+    "ascending" or "descending"), nulls first and last as in Spark; rows with equal order are
+    taken in any order, so it should end with a unique column.
+    """
+    keys = list(keys)
+    sorting = [(c, way, "at_start" if way == "ascending" else "at_end") for c, way in [*[(c, "ascending") for c in keys], *order]]
+
+    def shortened(table: pa.Table) -> pa.Table:
+        for c, way, nulls in reversed(sorting):  # stable, the last key first
+            table = table.take(pc.sort_indices(table, sort_keys=[(c, way)], null_placement=nulls))
+        n = table.num_rows
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for c in keys:
+            values = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        count = np.add.reduceat(table.column("_n").to_numpy(), start) if n else np.zeros(0, np.int64)
+        place = np.arange(n) - start[group] if n else np.zeros(0, np.int64)
+        counts = np.where(place == 0, count[group] if n else 0, 0)
+        table = table.set_column(table.schema.get_field_index("_n"), "_n", pa.array(counts.astype(np.int64)))
+        return table.filter(pa.array(place < k))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(shortened(pa.Table.from_batches([batch])))
+            size += held[-1].num_rows
+            if size > held_rows:
+                held = [shortened(pa.concat_tables(held))]
+                size = held[0].num_rows
+                if size > held_rows // 2:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from shortened(pa.concat_tables(held)).to_batches()
+
+    counted = hits.withColumn("_n", F.lit(1).cast("long"))
+    lists = counted.mapInArrow(run, counted.schema)
+    by = W.partitionBy(*keys)
+    wanted = [F.asc(c) if way == "ascending" else F.desc(c) for c, way in order]
+    return (lists.withColumn("rank", F.row_number().over(by.orderBy(*wanted)))
+            .withColumn("total", F.sum("_n").over(by)).filter(F.col("rank") <= k).drop("_n"))
+
+
 # -- song names with scores ---------------------------------------------------
 def lyric_scores(names: DataFrame, questions: DataFrame, name: str = "song_name", question: str = "question") -> DataFrame:
     """Score of every distinct name against every question, zero scores left out.

@@ -8,18 +8,23 @@ no window over shows is needed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from liveset import fixed
-from liveset.functions.text import (
-    alternation, break_lines, clean_html_line, collapse, contains_any, let, strip, unescape,
-)
-from liveset.scale import previous_value, running_sum
+from liveset.functions.automaton import ASCII_LOWER, automata, bytes_of
+from liveset.functions.text import break_lines, clean_html_line, collapse, contains_any, let, strip, unescape
+from liveset.scale import collect_bounded, previous_value, running_sum
 
 SHOW = "show_identifier"
 POSITION = ["set_order", "line_no", "item_no"]
+MOST_TITLES = 200_000  # titles that are sent to every task
 
 _SET = rf"(?iUd)^(?:{fixed.SET_MARKER})"
 _ENCORE = rf"(?iUd)^(?:{fixed.ENCORE_MARKER})"
@@ -137,28 +142,95 @@ def extract_setlists(items: DataFrame, description: str = "description") -> dict
 
 
 # -- legacy lists -------------------------------------------------------------
-_MARK, _END = "\u0001", "\u0002"
-
-
 def segment_titles(text: Column, titles: Sequence[str] = fixed.KNOWN_TITLES) -> Column:
     """Array of song names in a run of titles.
 
     Known titles are cut out longest first; what lies between them stays as written. A
-    title counts where a space or an edge precedes it and a space, ``>``, ``&`` or an
-    edge follows. A cut title turns into a numbered mark, so that no shorter title can
-    match inside a longer one.
+    title counts where a space, an edge or another title precedes it and a space, ``>``,
+    ``&``, an edge or another title follows. All titles are found in one scan of the text by an
+    automaton, whatever their number; the plan holds one function.
     """
-    ranked = sorted(titles, key=len, reverse=True)
-    marked = strip(text)
-    for n, title in enumerate(ranked):
-        bounded = rf"(?i)(?<![^ {_END}])\Q{title}\E(?=[ >&{_MARK}]|$)"
-        marked = F.regexp_replace(marked, bounded, f"{_MARK}{n}{_END}")
-    names = F.array(*[F.lit(t.title()) for t in ranked])
-    pieces = F.transform(
-        F.split(marked, f"[{_MARK}{_END}]", -1),
-        lambda p, i: F.when(i % 2 == 1, F.get(names, p.try_cast("int"))).otherwise(strip(p)),
-    )
-    return F.filter(pieces, lambda p: p != "")
+    cut = _cutter(titles)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(column: pa.Array) -> pa.Array:
+        return cut(column)
+
+    return run(strip(text))
+
+
+def segment_each(texts: Column, titles: Sequence[str] = fixed.KNOWN_TITLES) -> Column:
+    """The same for every text of an array: an array of arrays."""
+    cut = _cutter(titles)
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def run(column: pa.Array) -> pa.Array:
+        offsets = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cut(column.flatten()))
+
+    return run(F.transform(texts, strip))
+
+
+def _cutter(titles: Sequence[str]):
+    ranked = sorted(dict.fromkeys(titles), key=len, reverse=True)
+    forms = tuple(ASCII_LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for t in ranked)
+    names = [t.title() for t in ranked]
+
+    def cut(column: pa.Array) -> pa.Array:
+        data, offsets = bytes_of(column)
+        found = [np.zeros((0, 4), np.int64)]
+        for places, one in _built(forms):
+            some = one.occurrences(ASCII_LOWER[data], offsets)
+            some[:, 3] = places[some[:, 3]]
+            found.append(some)
+        found = np.concatenate(found)
+        found = found[np.lexsort((found[:, 1], found[:, 3], found[:, 0]))]
+        cuts = np.searchsorted(found[:, 0], np.arange(len(column) + 1))
+        raw = data.tobytes()
+        return pa.array([
+            _segments(raw[offsets[i]:offsets[i + 1]], found[cuts[i]:cuts[i + 1], 1:].tolist(), names) if known else None
+            for i, known in enumerate(column.is_valid().to_pylist())], pa.list_(pa.string()))
+
+    return cut
+
+
+@lru_cache(maxsize=4)
+def _built(forms: tuple[bytes, ...]):
+    """Automata of some titles, kept while a worker goes from batch to batch. Titles that differ
+    in case only are one; the first is its name."""
+    first = {f: i for i, f in reversed(list(enumerate(forms)))}
+    places = np.array(list(first.values()))
+    return [(places[some], one) for some, one in automata(list(first))]
+
+
+def _segments(text: bytes, found: list[list[int]], names: list[str]) -> list[str]:
+    """Names in a text. ``found``: begin, end and rank of titles, longest titles first, each from
+    left to right; a title that overlaps a cut one is not there any more."""
+    taken: dict[int, tuple[int, int]] = {}  # begin: end, rank
+    ends: set[int] = set()
+    held = bytearray(len(text))
+    for begin, end, rank in found:
+        before = begin == 0 or begin in ends or text[begin - 1] == 32
+        after = end == len(text) or end in taken or text[end] in b" >&"
+        if before and after and not any(held[begin:end]):
+            taken[begin] = (end, rank)
+            ends.add(end)
+            held[begin:end] = b"\1" * (end - begin)
+    out, at = [], 0
+    for begin in sorted(taken):
+        out += [text[at:begin].decode().strip(), names[taken[begin][1]]]
+        at = taken[begin][0]
+    return [p for p in (*out, text[at:].decode().strip()) if p]
+
+
+def known_titles(titles: Sequence[str] | DataFrame, most: int = MOST_TITLES) -> list[str]:
+    """Titles as a list; of a table with a column ``title`` after their number is checked."""
+    if not isinstance(titles, DataFrame):
+        return list(titles)
+    rows = collect_bounded(titles.select("title").filter("title <> ''").distinct(), most)
+    if rows is None:
+        raise ValueError(f"more than {most} titles")
+    return sorted(r["title"] for r in rows)
 
 
 def _arrow(c: Column) -> Column:
@@ -166,12 +238,14 @@ def _arrow(c: Column) -> Column:
 
 
 def normalize_legacy(setlists: DataFrame, entries: str = "entries",
-                     titles: Sequence[str] = fixed.KNOWN_TITLES) -> dict[str, DataFrame]:
+                     titles: Sequence[str] | DataFrame = fixed.KNOWN_TITLES) -> dict[str, DataFrame]:
     """Legacy ``array<string>`` set lists as the same tables as the rich form.
 
     Entries before any marker belong to a set made on demand. A marker keeps the songs
-    on its own line. Lines of players become an attribute of their set.
+    on its own line. Lines of players become an attribute of their set. ``titles``: a list, or
+    a table with a column ``title``.
     """
+    titles = known_titles(titles)
     marker = rf"(?iUd)^{fixed.LEGACY_MARKER}\s*(.*)"
     bare = rf"(?iUd)^{fixed.LEGACY_MARKER}"
     lines = F.transform(F.filter(F.col(entries), lambda e: e.isNotNull()), _arrow)
@@ -206,14 +280,10 @@ def normalize_legacy(setlists: DataFrame, entries: str = "entries",
 
     segments = F.filter(F.transform(F.split("line", ">"), strip), lambda s: s != "")
     per_segment = F.transform(
-        segments,
-        lambda seg, i: F.transform(
-            F.when(seg.rlike("(?i)" + alternation(titles)), segment_titles(seg, titles)).otherwise(F.array(seg)),
-            lambda n: F.struct(n.alias("song_name"), (i > 0).alias("transition")),
-        ),
-    )
+        "segments", lambda names, i: F.transform(names, lambda n: F.struct(n.alias("song_name"), (i > 0).alias("transition"))))
     entry = (
         body.filter(~F.col("is_players"))
+        .select(SHOW, "set_order", "set_name", "line_no", segment_each(segments, titles).alias("segments"))
         .select(SHOW, "set_order", "set_name", "line_no", F.flatten(per_segment).alias("names"))
     )
     with_previous = F.transform(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,56 +11,69 @@ from pyspark.sql import functions as F
 from liveset.operators.durations import known_venues, top_durations, with_venue
 from liveset.operators.forum import route_questions
 from liveset.operators.merge import top_per_key
-from liveset.operators.search import substring_hits
+from liveset.operators.search import first_with_total, substring_hits
 from liveset.operators.vectors import knn
 
 LIMITS = {"song": 20, "guest": 10, "transition": 10, "deadcast": 10, "ep": 20, "vector": 20}
 
 
-def term_route(corpus: DataFrame, questions: DataFrame, route: str, type_: str, field: str, k: int) -> DataFrame:
-    """First ``k`` rows of a type whose field holds the question's term."""
-    asked = questions.filter(F.col("route") == route).select("question_id", F.col("arg1").alias("term"))
-    rows = corpus.filter(F.col("type") == type_).select("row_id", field)
-    hits = substring_hits(rows, asked, field).withColumn("score", F.lit(0.0))
-    return top_per_key(hits, ["question_id"], ["row_id"], k).select("question_id", "row_id", "score", "rank")
+#: Type and searched column of the routes that look for a term.
+TERM_ROUTES = {
+    "song": ("setlist_song", "song_name"), "guest": ("guest_artist", "guest_artist"),
+    "transition": ("transition", "transition_from"), "deadcast": ("deadcast_transcript", "text"),
+}
+CORPUS_ORDER = ("section", "position", "chunk_index", "row_id")
 
 
-def transition_route(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    asked = questions.filter(F.col("route") == "transition")
-    rows = corpus.filter(F.col("type") == "transition").select("row_id", "transition_from", "transition_to")
-    hits = substring_hits(rows, asked.select("question_id", F.col("arg1").alias("term")), "transition_from")
-    both = hits.join(asked.select("question_id", "arg2"), "question_id").filter(
-        F.col("arg2").isNull() | F.contains(F.lower("transition_to"), F.lower("arg2"))).withColumn("score", F.lit(0.0))
-    return top_per_key(both, ["question_id"], ["row_id"], k).select("question_id", "row_id", "score", "rank")
+def term_routes(corpus: DataFrame, routed: DataFrame, limits: dict, order: Sequence[str]) -> DataFrame:
+    """First rows of every question that names a term, and how many rows hold it.
 
-
-def duration_route(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    All four routes share one scan of the corpus: the terms of all questions are looked for in
+    the column that the row's type is searched by, and hits of another route's type go.
+    """
+    types, fields = [t for t, _ in TERM_ROUTES.values()], [f for _, f in TERM_ROUTES.values()]
+    asked = routed.filter(F.col("route").isin(*TERM_ROUTES)).select(F.struct("question_id", "route", "arg2").alias("question_id"), F.col("arg1").alias("term"))
+    searched = F.coalesce(*[F.when(F.col("type") == t, F.col(f)) for t, f in TERM_ROUTES.values()])
+    rows = corpus.filter(F.col("type").isin(*types)).select(
+        *dict.fromkeys(["row_id", "type", "transition_to", *order]), searched.alias("_searched"))
+    hits = substring_hits(rows, asked, "_searched").withColumnRenamed("question_id", "_q")
+    to = F.col("_q.arg2")
+    own = F.coalesce(*[F.when(F.col("_q.route") == r, F.col("type") == t) for r, (t, _) in TERM_ROUTES.items()])
+    kept = hits.filter(own & ((F.col("type") != "transition") | to.isNull() | F.contains(F.lower("transition_to"), F.lower(to))))
+    kept = kept.select("_q.question_id", "_q.route", *dict.fromkeys(["row_id", *order]))
+    best = first_with_total(kept, ["question_id", "route"], [(c, "ascending") for c in order], max(limits[r] for r in TERM_ROUTES))
+    within = F.coalesce(*[F.when(F.col("route") == r, F.col("rank") <= limits[r]) for r in TERM_ROUTES])
+    return best.filter(within).select("question_id", "row_id", F.lit(0.0).alias("score"), "rank", "total", "route")
+
+
+def duration_route(corpus: DataFrame, questions: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
     """The ranking is the same for every such question: ``k`` rows paired with each."""
-    top = top_durations(corpus.filter(F.col("type") == "ep_duration"), k, tie_break=("row_id",)).select(
-        "row_id", F.lit(0.0).alias("score"), F.col("duration_seconds"))
-    ranked = top_per_key(top.withColumn("route", F.lit("ep")), ["route"], [F.desc("duration_seconds"), "row_id"], k)
+    top = top_durations(corpus.filter(F.col("type") == "ep_duration"), k, tie_break=tuple(order)).select(
+        *dict.fromkeys(["row_id", "duration_seconds", *order]), F.lit(0.0).alias("score"))
+    ranked = top_per_key(top.withColumn("route", F.lit("ep")), ["route"], [F.desc("duration_seconds"), *order], k)
     return questions.filter(F.col("route") == "ep").select("question_id", "route").join(
         F.broadcast(ranked.select("route", "row_id", "score", "rank")), "route").drop("route")  # k rows
 
 
-def answer_batch(corpus: DataFrame, questions: DataFrame, question: str = "question", limits: dict | None = None) -> DataFrame:
-    """Hits of every question by its own route: question_id, row_id, score, rank, route.
+def answer_batch(corpus: DataFrame, questions: DataFrame, question: str = "question", limits: dict | None = None,
+                 order: Sequence[str] | None = None) -> DataFrame:
+    """Hits of every question by its own route: question_id, row_id, score, rank, total, route.
 
-    Questions without a prefix need an ``embedding``.
+    Questions without a prefix need an ``embedding``. Rows that only match come in corpus
+    order, as far as the corpus has its columns, or in that of ``order``. ``total`` counts all
+    rows that match, beside the first few that are given; rankings by length or distance have
+    none.
     """
     limits = {**LIMITS, **(limits or {})}
+    order = [c for c in order or CORPUS_ORDER if c in corpus.columns]
     routed = route_questions(questions, question)
     parts = {
-        "song": term_route(corpus, routed, "song", "setlist_song", "song_name", limits["song"]),
-        "guest": term_route(corpus, routed, "guest", "guest_artist", "guest_artist", limits["guest"]),
-        "transition": transition_route(corpus, routed, limits["transition"]),
-        "deadcast": term_route(corpus, routed, "deadcast", "deadcast_transcript", "text", limits["deadcast"]),
-        "ep": duration_route(corpus, routed, limits["ep"]),
+        "terms": term_routes(corpus, routed, limits, order),
+        "ep": duration_route(corpus, routed, limits["ep"], order).withColumn("route", F.lit("ep")),
     }
     if "embedding" in questions.columns and "embedding" in corpus.columns:
-        parts["vector"] = knn(corpus, routed.filter(F.col("route") == "vector"), limits["vector"])
-    tagged = [df.withColumn("route", F.lit(name)) for name, df in parts.items()]
-    return reduce(lambda a, b: a.unionByName(b), tagged)
+        parts["vector"] = knn(corpus, routed.filter(F.col("route") == "vector"), limits["vector"]).withColumn("route", F.lit("vector"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
 
 
 def with_rows(hits: DataFrame, corpus: DataFrame) -> DataFrame:

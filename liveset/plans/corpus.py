@@ -27,11 +27,17 @@ def _row(df: DataFrame, type_: str, **cols: Column) -> DataFrame:
 
     ``row_id`` is a digest of what the row says: the same in every run and on every
     partitioning, and wide enough for trillions of rows. Identical rows share it.
+    ``position`` is the row's place in its file, where ``df`` has one; it is no part of the id.
     """
     named = {"type": F.lit(type_), **cols}
+    position = F.col("position") if "position" in df.columns else F.lit(None)
     out = df.select(*[
-        (named[c] if c in named else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
-    return out.select(F.md5(F.to_json(F.struct(*COLUMNS))).alias("row_id"), *COLUMNS)
+        (named[c] if c in named else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()], position.cast("long").alias("position"))
+    return out.select(F.md5(F.to_json(F.struct(*COLUMNS))).alias("row_id"), *COLUMNS, "position")
+
+
+def _with_position(df: DataFrame, *columns: str) -> list[str]:
+    return [*columns, *[c for c in ("position",) if c in df.columns]]
 
 
 def _text(c: str) -> Column:
@@ -77,7 +83,7 @@ def transition_rows(transitions: DataFrame) -> DataFrame:
 
 
 def transcript_rows(transcripts: DataFrame, size: int = fixed.CHUNK_WORDS) -> DataFrame:
-    chunks = chunk_words(transcripts.filter(has_text("transcript")).select("title", "url", "transcript"), "transcript", size)
+    chunks = chunk_words(transcripts.filter(has_text("transcript")).select(*_with_position(transcripts, "title", "url", "transcript")), "transcript", size)
     title = _text("title")
     return _row(chunks, "deadcast_transcript", text=F.col("chunk"),
                 comment_text=F.concat(F.lit("[Deadcast] "), title, F.lit(" (chunk "), F.col("chunk_index").cast("string"), F.lit(")")),
@@ -103,7 +109,7 @@ def lyric_rows(lyrics: DataFrame) -> DataFrame:
 
 
 def interpretation_rows(lyrics: DataFrame) -> DataFrame:
-    each = lyrics.select("title", "source_urls", "lyricists", "music_by", F.explode("interpretations").alias("i")).select(
+    each = lyrics.select(*_with_position(lyrics, "title", "source_urls", "lyricists", "music_by"), F.explode("interpretations").alias("i")).select(
         "*", "i.source", "i.text", "i.url")
     text = strip("text")
     return _row(each.filter(has_text("text")), "interpretation", text=text, comment_text=text, title=F.col("title"),
@@ -136,5 +142,7 @@ def rich_tables(rich: DataFrame) -> dict[str, DataFrame]:
 
 
 def assemble_corpus(*parts: DataFrame) -> DataFrame:
-    """All given row sets under one schema. Nothing is dropped, so counts add up."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """All given row sets under one schema. Nothing is dropped, so counts add up. ``section``
+    numbers the sets in the order given: corpus order is by section, position and chunk."""
+    numbered = [p.withColumn("section", F.lit(i)) for i, p in enumerate(parts)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)

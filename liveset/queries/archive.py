@@ -138,6 +138,21 @@ def legacy_setlist_transitions(t):
     return S.normalize_legacy(t.part.select(F.col("p_partkey").alias(SHOW), entries.alias("entries")))["transitions"]
 
 
+@query("""
+WITH n AS (SELECT p_partkey, p_name, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part),
+s AS (SELECT p_partkey, 0 AS k, 'Jam' AS name FROM n UNION ALL SELECT p_partkey, 1, p_name FROM n UNION ALL SELECT p_partkey, 2, p_brand FROM part
+  UNION ALL SELECT p_partkey, 3, p_name FROM n)
+SELECT p_partkey AS show_identifier, 0 AS set_order, 0 AS line_no, CAST(k AS INTEGER) AS item_no, 'Set I' AS set_name,
+  CASE WHEN k IN (1, 3) THEN array_to_string(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE name END AS song_name,
+  k = 3 AS transition
+FROM s""")
+def legacy_catalog_songs(t):
+    """Legacy lists cut by a catalogue of titles that comes from a table, of any size."""
+    titles = t.part.select(F.col("p_name").alias("title")).union(t.supplier.select("s_name")).union(t.customer.select("c_name"))
+    entries = F.array(F.concat(F.lit("Jam "), F.upper("p_name"), F.lit(" "), F.col("p_brand"), F.lit("&gt;"), F.col("p_name")))
+    return S.normalize_legacy(t.part.select(F.col("p_partkey").alias(SHOW), entries.alias("entries")), titles=titles)["songs"]
+
+
 @query(r"""
 WITH flat AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)
 SELECT doc_id AS show_identifier, CAST(i AS INTEGER) AS item_no, 0 AS part_no, trim(string_split(f, ',')[i + 1]) AS song_name

@@ -9,9 +9,10 @@ from liveset.functions.text import show_url
 from liveset.operators import search as Q
 from liveset.operators import vectors as V
 from liveset.operators.format import build_context
-from liveset.plans.answers import answer_batch
+from liveset.plans.answers import answer_batch, with_rows
 from liveset.queries import query
-from liveset.queries.texts import CORPUS_SQL, corpus
+from liveset.queries.texts import CHUNKS_SQL, CORPUS_SQL, corpus
+from liveset.scale import checkpoint
 
 SHOW = "show_identifier"
 TODAY = "2024-09-25"
@@ -133,7 +134,7 @@ SELECT c_name, s_name AS question_id FROM names JOIN terms ON contains(lower(c_n
 def term_hits_many(t):
     """The same for more terms than fit a literal: texts and terms meet on character runs."""
     terms = t.supplier.select(F.col("s_name").alias("question_id"), F.replace("s_name", F.lit("Supplier#0000"), F.lit("")).alias("term")).distinct()
-    return Q.substring_hits(t.customer.select("c_name").distinct(), terms, "c_name", max_terms=0).select("c_name", "question_id")
+    return Q.substring_hits(t.customer.select("c_name").distinct(), terms, "c_name", max_terms=0, max_bytes=0).select("c_name", "question_id")
 
 
 # -- names --------------------------------------------------------------------
@@ -262,3 +263,52 @@ def question_contexts(t):
     hits = V.knn(_vectors(t), _centres(t), 10)
     texts = t.documents.select(F.col("doc_id").alias("row_id"), F.concat(F.lit("gd"), "source").alias(SHOW), F.col("text").alias("comment_text"), F.lit("comment").alias("type"))
     return build_context(hits.join(texts, "row_id"), k=10)
+
+
+# -- all routes with ranks ----------------------------------------------------
+ORDER = ("section", "position", "chunk_index", "comment_text", SHOW, "row_id")
+
+
+@query(f"""
+WITH {CENTRES},
+ln AS (SELECT 'gd' || l_orderkey AS sid, l_orderkey * 100 + l_linenumber AS pos, p_name, p_brand, l_returnflag, l_linestatus, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey),
+{CHUNKS_SQL.strip()},
+h AS (
+  SELECT 0 AS question_id, 'song' AS route, '[Setlist] ' || p_name || ' performed at ' || sid AS comment_text, min(pos) AS pos, 0 AS chunk, sid FROM ln WHERE contains(p_name, 'red widget') GROUP BY sid, p_name
+  UNION ALL SELECT 1, 'guest', '[Guest] ' || c_name || ' performed with Grateful Dead', o_orderkey, 0, 'gd' || o_orderkey
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), 'customer#00000001')
+  UNION ALL SELECT 2, 'transition', '[Transition] ' || p_name || ' -> ' || p_brand, pos, 0, sid FROM ln
+    WHERE l_returnflag = 'R' AND contains(p_name, 'blue') AND contains(lower(p_brand), 'brand#1')
+  UNION ALL SELECT 3, 'deadcast', '[Deadcast] ' || source || ' (chunk ' || chunk_index || ')', doc_id, chunk_index, '' FROM c
+    WHERE lang = 'en' AND contains(lower(array_to_string(part, ' ')), 'the')),
+lists AS (SELECT question_id, route, comment_text, row_number() OVER (PARTITION BY question_id ORDER BY pos, chunk, comment_text, sid) AS rank,
+  count(*) OVER (PARTITION BY question_id) AS total FROM h),
+ep AS (SELECT '[EP Duration] ' || p_name || ': ' || CAST(l_quantity AS INTEGER) || ':00 (' || CAST(l_quantity * 60 AS VARCHAR) || 's) at ' || sid AS comment_text, l_quantity, pos, sid FROM ln WHERE l_linestatus = 'F'),
+near AS (SELECT 'vector ' || vec_id AS comment_text, row_number() OVER (ORDER BY score, 'v' || vec_id) AS rank
+  FROM (SELECT row_id AS vec_id, score FROM d WHERE question_id = 3))
+SELECT question_id, route, comment_text, CAST(rank AS INTEGER) AS rank, total FROM lists WHERE rank <= CASE route WHEN 'song' THEN 20 ELSE 10 END
+UNION ALL SELECT 4, 'ep', comment_text, CAST(row_number() OVER (ORDER BY l_quantity DESC, pos, comment_text, sid) AS INTEGER) AS rank, NULL FROM ep QUALIFY rank <= 20
+UNION ALL SELECT 5, 'vector', comment_text, CAST(rank AS INTEGER), NULL FROM near WHERE rank <= 20""")
+def answer_batch_ranked(t):
+    """All six routes of a question batch: the first rows in corpus order, and how many there are."""
+    vectors = t.embeddings.select(F.lit("book_chunk").alias("type"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("row_id"),
+                                  F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("comment_text"), "embedding")
+    rows = checkpoint(corpus(t).unionByName(vectors, allowMissingColumns=True))  # a stored corpus is read, not made, by every route
+    asked = ['song:"Red Widget"', 'guest:"customer#00000001"', "transition:blue -> brand#1", 'deadcast:"the"', "ep:", "plain question"]
+    fourth = _centres(t).filter("question_id = 3").select(F.lit(5).alias("question_id"), "embedding")
+    questions = _phrases(t, asked).join(fourth, "question_id", "left")
+    return with_rows(answer_batch(rows, questions, order=ORDER), rows).select("question_id", "route", "comment_text", F.col("rank").cast("int").alias("rank"), "total")
+
+
+@query("""
+WITH terms AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM benchmark)
+SELECT term AS question_id, doc_id, count(*) OVER (PARTITION BY term) AS total,
+  CAST(row_number() OVER (PARTITION BY term ORDER BY doc_id) AS INTEGER) AS rank
+FROM documents JOIN terms ON contains(lower(text), term) WHERE length(term) > 3 QUALIFY rank <= 5""")
+def term_scan(t):
+    """Every longer word of the benchmark looked for in all texts at once: the first five texts
+    of each, and how many there are."""
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter(F.length("term") > 3).distinct()
+    texts = t.documents.select("doc_id", "text")
+    hits = Q.substring_hits(texts, words.withColumn("question_id", F.col("term")), "text").select("doc_id", "question_id")
+    return Q.first_with_total(hits, ["question_id"], [("doc_id", "ascending")], 5).select("question_id", "doc_id", "total", "rank")

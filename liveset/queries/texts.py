@@ -37,19 +37,21 @@ def corpus(t):
     durations, lyrics and notes."""
     key = lambda c, p="gd": F.concat(F.lit(p), F.col(c).cast("string"))
     lines = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey").withColumn(SHOW, key("l_orderkey"))
-    lyrics = t.documents.filter("lang = 'de'").select(
+    lines = lines.withColumn("position", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    lyrics = t.documents.filter("lang = 'de'").select(F.col("doc_id").alias("position"),
         F.col("source").alias("title"), F.array(F.lit("u")).alias("source_urls"), F.array("lang").alias("lyricists"), F.array().cast("array<string>").alias("music_by"),
         F.col("text").alias("lyrics_text"), F.array(F.struct(F.lit("notes").alias("source"), F.col("text"), F.lit("v").alias("url"))).alias("interpretations"))
     return U.assemble_corpus(
         U.comment_rows(t.conversations.select(key("conv_id").alias(SHOW), F.col("role").alias("reviewer"), F.col("text").alias("comment_text"),
                                               F.col("turn").cast("int").alias("rating"), F.lit("2024-01-01").alias("created"))),
-        U.setlist_song_rows(lines.select(SHOW, F.col("p_name").alias("song_name"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.lit("1977-05-08").alias("date"),
+        U.setlist_song_rows(lines.select(SHOW, "position", F.col("p_name").alias("song_name"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.lit("1977-05-08").alias("date"),
                                          F.lit(None).cast("string").alias("duration")), ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]),
-        U.guest_rows(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(key("o_orderkey").alias(SHOW), F.col("c_name").alias("guest_artist"))),
-        U.transition_rows(lines.filter("l_returnflag = 'R'").select(SHOW, F.col("p_name").alias("transition_from"), F.col("p_brand").alias("transition_to"))),
-        U.transcript_rows(t.documents.filter("lang = 'en'").select(F.col("source").alias("title"), key("doc_id", "u").alias("url"), F.col("text").alias("transcript"))),
+        U.guest_rows(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            key("o_orderkey").alias(SHOW), F.col("o_orderkey").alias("position"), F.col("c_name").alias("guest_artist"))),
+        U.transition_rows(lines.filter("l_returnflag = 'R'").select(SHOW, "position", F.col("p_name").alias("transition_from"), F.col("p_brand").alias("transition_to"))),
+        U.transcript_rows(t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("position"), F.col("source").alias("title"), key("doc_id", "u").alias("url"), F.col("text").alias("transcript"))),
         U.duration_rows(lines.filter("l_linestatus = 'F'").select(
-            SHOW, F.col("p_name").alias("song"), (F.col("l_quantity") * 60).alias("duration_seconds"), F.format_string("%d:00", F.col("l_quantity").cast("int")).alias("duration_display"),
+            SHOW, "position", F.col("p_name").alias("song"), (F.col("l_quantity") * 60).alias("duration_seconds"), F.format_string("%d:00", F.col("l_quantity").cast("int")).alias("duration_display"),
             F.lit("t").alias("track_file"), F.lit(None).cast("string").alias("source"))),
         U.lyric_rows(lyrics), U.interpretation_rows(lyrics),
     )
