@@ -159,8 +159,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, le
         kind = narrowest(max(encode.tokenizer.get_vocab_size(), end_id + 1))
         for b in batches:
             ids_of, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for begin in range(0, len(texts), 256):
-                for k, ids in enumerate(encode.encode_many(texts.slice(begin, 256).to_pylist()), begin):
+            for begin in range(0, len(texts), 2048):
+                for k, ids in enumerate(encode.encode_many(texts.slice(begin, 2048)), begin):
                     if shard is None:
                         shard = ShardWriter(f"{path}/{name}/part-{part:06d}-{attempt}.arrow", kind, length, batch)
                     shard.add(ids_of[k], np.append(ids, np.uint32(end_id)))

@@ -151,9 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 2,
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
             texts = batch.column("text")
-            for begin in range(0, len(texts), 256):
-                some = texts.slice(begin, 256).to_pylist()
-                for k, ids in enumerate(encode.encode_many(some), begin):
+            for begin in range(0, len(texts), 2048):
+                for k, ids in enumerate(encode.encode_many(texts.slice(begin, 2048)), begin):
                     packer.add(ids_of[k], np.append(ids, np.uint32(end_id)))
                 if packer.out:
                     yield emitted()
