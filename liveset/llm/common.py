@@ -41,6 +41,28 @@ def bucket_of(name: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")) % modulus, F.lit(0))
 
 
+class Carried:
+    """A frame with the columns that an operator works on, under their own names, and all others
+    as one. No name of theirs, in any case, can then meet a name that the operator uses itself.
+    Columns named like ``added`` ones are left out: the operator's own take their place."""
+
+    def __init__(self, docs: DataFrame, needed: tuple[str, ...], added: tuple[str, ...] = ()):
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        replaced = {a.lower() for a in added}
+        self.kept = [c for c in docs.columns if c.lower() not in replaced]
+        self.own = {c: n for c in self.kept for n in needed if c.lower() == n.lower()}
+        others = [c for c in self.kept if c not in self.own]
+        #: What to select of the given frame.
+        self.packed = [quoted(c).alias(n) for c, n in self.own.items()]
+        if others:
+            self.packed.append(F.struct(*[quoted(c).alias(c) for c in others]).alias("_others"))
+        self.df = docs.select(*self.packed)
+
+    def columns(self) -> list[Column]:
+        """The columns as they were given, of a frame that has those of ``df``."""
+        return [(F.col(self.own[c]) if c in self.own else F.col("_others").getField(c)).alias(c) for c in self.kept]
+
+
 def words_of(text: Column) -> Column:
     """Runs of characters other than ASCII white space, as an array."""
     return F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liveset.functions.text import let
+from liveset.llm.common import Carried
 from liveset.scale import checkpoint
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -130,6 +131,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that contain no item; all columns pass through."""
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    carried = Carried(docs, ("text",))
+    rows = carried.df.withColumn("_rid", F.monotonically_increasing_id())
     found = contained(rows.select("_rid", "text"), items, threshold)
-    return rows.join(found.select("_rid").distinct(), "_rid", "left_anti").select(*docs.columns)
+    return rows.join(found.select("_rid").distinct(), "_rid", "left_anti").select(*carried.columns())

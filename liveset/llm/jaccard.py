@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liveset.llm.common import Hasher, Words, as_long, components, flat, mixed, runs, shingle_sets, slices, written
+from liveset.llm.common import Carried, Hasher, Words, as_long, components, flat, mixed, runs, shingle_sets, slices, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
@@ -273,8 +273,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are in one class. A class whose ids are all null has a null ``class_id``. ``docs`` is
     read more than once and must give the same rows in the same partitions, as files do.
     """
-    names = [c for c in docs.columns if c not in ADDED]
-    docs = docs.select(*names)
+    carried = Carried(docs, ("doc_id", "text"), ADDED)
+    docs = carried.df
     classes = text_classes(docs.withColumn("_rid", F.monotonically_increasing_id()), threshold)
     word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     keyed = docs.withColumn("_key", F.when(word, F.unhex(F.md5("text"))))
@@ -285,22 +285,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     info = per_text.join(least, "_root").select("_key", "class_id", "n_copies", "n_links")
     out = keyed.join(info, "_key", "left")
     return out.select(
-        *names, F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        *carried.columns(), F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of every class of near duplicates, with all columns: the smallest ``doc_id``,
     null ids last, the first row of equal ids. Rows without a word in their text stay all."""
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    carried = Carried(docs, ("doc_id", "text"))
+    rows = carried.df.withColumn("_rid", F.monotonically_increasing_id())
     classes = text_classes(rows.select("_rid", "text"), threshold)
     word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = rows.filter(word).select("_rid", "doc_id", F.unhex(F.md5("text")).alias("_key"))
     first = keyed.groupBy("_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("best"))
     rooted = first.join(classes, first["_key"] == classes["key"], "left").select(F.coalesce("root", "_key").alias("_root"), "best")
     kept = rooted.groupBy("_root").agg(F.min("best").alias("best")).select(F.col("best._rid").alias("_rid"))
-    marked = rows.filter(word).join(kept, "_rid", "left_semi").select(*docs.columns)
-    return marked.union(docs.filter(~word))
+    marked = rows.filter(word).join(kept, "_rid", "left_semi").select(*carried.columns())
+    return marked.union(carried.df.filter(~word).select(*carried.columns()))
 
 
 def brute_force(texts: list[str | None], threshold: float = THRESHOLD) -> list[tuple[int, int]]:

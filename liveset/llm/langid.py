@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liveset.llm.common import flat, slices
+from liveset.llm.common import Carried, flat, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -169,10 +169,12 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` (mean probability of that language);
     same-named columns are replaced. Null texts and texts without a letter are ``und`` with
     score 0, as is every text without a network. Only the text is looked at."""
-    names = [c for c in docs.columns if c not in ADDED]
+    carried = Carried(docs, ("text",), ADDED)
+    docs = carried.df
+    names = docs.columns
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if network is None:
-        return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+        return docs.select(*carried.columns(), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
 
     def run(batches):
         for b in batches:
@@ -205,4 +207,4 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score)], names=names + list(ADDED))
 
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.select(*names, letter.alias("_letter")).mapInArrow(run, schema)
+    return docs.select(*names, letter.alias("_letter")).mapInArrow(run, schema).select(*carried.columns(), *ADDED)

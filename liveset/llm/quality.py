@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liveset.llm.common import Hasher, Words, flat, mixed, slices
+from liveset.llm.common import Carried, Hasher, Words, flat, mixed, slices
 
 FEATURES = 256
 FOLDS = 4
@@ -94,7 +94,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> np.ndar
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` without ``text``, with ``stats``: an array of ``STATISTICS``."""
-    names = [c for c in docs.columns if c not in ("text", "stats")]
+    carried = Carried(docs, ("doc_id",), ("text", "stats"))
+    docs = docs.select(*carried.packed, F.col("text").alias("text"))
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         hasher = Hasher()
@@ -106,7 +108,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [lists], names=names + ["stats"])
 
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return docs.select(*names, "text").mapInArrow(run, schema).select(*carried.columns(), "stats")
 
 
 def _rows(column) -> np.ndarray:
@@ -213,9 +215,11 @@ def fit(labelled: DataFrame) -> Model | None:
 def scored(measures: DataFrame, model: Model | None) -> DataFrame:
     """``measures`` (with ``stats``) with ``quality_score``, from 0 to 1; 0.5 without a model.
     Null and empty texts have statistics of zero and are scored like others."""
-    names = [c for c in measures.columns if c not in ("stats", "quality_score")]
+    carried = Carried(measures, ("doc_id",), ("stats", "quality_score"))
     if model is None:
-        return measures.select(*names, F.lit(0.5).alias("quality_score"))
+        return measures.select(*carried.packed).select(*carried.columns(), F.lit(0.5).alias("quality_score"))
+    measures = measures.select(*carried.packed, F.col("stats").alias("stats"))
+    names = [c for c in measures.columns if c != "stats"]
 
     def run(batches):
         for b in batches:
@@ -223,4 +227,4 @@ def scored(measures: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(score)], names=names + ["quality_score"])
 
     schema = T.StructType([measures.schema[c] for c in names] + [T.StructField("quality_score", T.DoubleType())])
-    return measures.select(*names, "stats").mapInArrow(run, schema)
+    return measures.select(*names, "stats").mapInArrow(run, schema).select(*carried.columns(), "quality_score")

@@ -16,6 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liveset.llm.common import Carried
+
 #: 32 shards with about a hundred slots each: shares differ by one slot in a hundred.
 SHARDS = tuple(f"shard-{i:05d}" for i in range(32))
 SLOTS = 3301
@@ -59,9 +61,9 @@ def place(df: DataFrame, key: Column, shards: tuple[str, ...] = SHARDS, slots: i
     """``df`` with ``slot`` and ``shard`` (a shard's name) of ``key``; columns of these names
     are replaced. Every row is placed: null keys are placed as the empty text, equal keys
     together. An empty table stays empty."""
-    names = [c for c in df.columns if c not in ADDED]
-    keyed = df.select(*names, slot_of(key, slots).alias("slot"))
-    return keyed.join(F.broadcast(table_of(df.sparkSession, shards, slots)), "slot").select(*names, *ADDED)
+    carried = Carried(df, (), ADDED)
+    keyed = df.select(*carried.packed, slot_of(key, slots).alias("slot"))
+    return keyed.join(F.broadcast(table_of(df.sparkSession, shards, slots)), "slot").select(*carried.columns(), *ADDED)
 
 
 def write_shards(placed: DataFrame, path: str, parts_a_shard: int = 8) -> None:

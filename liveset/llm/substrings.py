@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liveset.llm.common import Hasher, Words, as_long, flat, mixed, runs, slices
+from liveset.llm.common import Carried, Hasher, Words, as_long, flat, mixed, runs, slices
 
 WINDOW = 35
 #: A perfect difference set: every non-zero residue modulo 21 is one difference of two members.
@@ -177,7 +177,7 @@ def _strip(window: int, names: list[str]):
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``kept_text`` (the text without the words of repeating windows, gaps
     otherwise as they were), ``n_words`` and ``n_removed``; columns of ``docs`` with these
-    names (or ``places``) are replaced, all others pass through.
+    names are replaced, all others pass through.
 
     Words are runs of characters other than ASCII white space, unchanged. A window repeats
     when it also starts at another place, in the same document or another; all windows are
@@ -187,7 +187,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if window < PERIOD:
         raise ValueError(f"windows must have at least {PERIOD} words")
-    names = [c for c in docs.columns if c not in (*ADDED, "places")]
+    carried = Carried(docs, ("text",), ADDED)
+    docs = carried.df
+    names = docs.columns
     rows = docs.select(*names).withColumn("_rid", F.monotonically_increasing_id())
     keys = rows.filter("text is not null").select("_rid", F.unhex(F.md5("text")).alias("_key"))
     groups = keys.groupBy("_key").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -201,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     joined = rows.join(found, "_rid", "left").join(copied, "_rid", "left").select(
         "_rid", *names, F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.col("_later").isNotNull().alias("_copied"))
-    return joined.mapInArrow(_strip(window, names), schema)
+    return joined.mapInArrow(_strip(window, names), schema).select(*carried.columns(), *ADDED)
 
 
 def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
