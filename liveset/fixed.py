@@ -183,19 +183,40 @@ TRANSCRIPT_CLASSES = [
 ]
 TRANSCRIPT_IDS = ["transcript-content"]
 EPISODE_LINK_PATTERN = r"/episodes/|/deadcast/|(?i:episode)"
-LYRIC_END_LINES = [
-    "Notes\n", "Grateful Dead Recordings\\b", "For more information\\b",
-    "Further Information\\b", "Discograph",
-]
-NOTES_END_LINES = [
-    "Grateful Dead Recordings\\b", "For more information\\b",
-    "Further Information\\b", "Home\n\\|",
-]
+LYRIC_END = r"\nNotes\n|\nGrateful Dead Recordings\b|\nFor more information\b|\nFurther Information\b|\nDiscograph"
+NOTES_END = r"\nGrateful Dead Recordings\b|\nFor more information\b|\nFurther Information\b|\nHome\n\|"
 INSTRUMENTAL_LABELS = ["(instrumental)", "Instrumental", "instrumental"]
 SOURCE_FIELDS, SOURCE_PLAIN, SOURCE_FORUM = "dead.net-notes", "whitegum-notes", "reddit"
 HOOK_FIELDS = "pending-deadnet-browser-fetch"
 HOOK_FORUM = "pending-reddit-fetch (HTTP 403)"
 
+# -- song names ---------------------------------------------------------------
+# Pattern and replacement, in the order that defines the result.
+SONG_KEY_STEPS = [
+    (r"^\s*(?:e\d*|encore|set\s*(?:i{1,3}|\d)|1st set|2nd set|\d+)\s*[:\-.]\s*", ""),
+    (r"^\s*\([^)]*\)\s*", ""),
+    (r"\bgrey\b", "gray"),
+    (r"\bplayin\b", "playing"),
+    (r"\bnfa\b", "not fade away"),
+    (r"\bwrs\b", "weather report suite"),
+    (r"\bthe\b", " "),
+    (r"[^a-z0-9]+", " "),
+]
+TITLE_CODES = [
+    (r"\[\d{1,2}:\d{2}(?:\.\d+)?\]", " "),
+    (r"(?i)^\s*d\d+t\d+[\s:. -]*", " "),
+    (r"^\d{1,2}:\d{2}(?:\.\d+)?\s*", " "),
+]
+TITLE_BULLETS = [
+    ("^[*#$%\\-–—]+\\s*", ""),
+    (r"^\(\d+\)\s*", ""),
+    (r"^\d+[.:\-]?\s+", ""),
+]
+TITLE_ENDS = [
+    (r"(?i)\s*\(note \d+\)\s*$", ""),
+    (r"\s*(?:&gt;|>|->|,)+\s*$", ""),
+]
+
 # -- graph --------------------------------------------------------------------
 DEPTH_COLOURS = [
     "lightblue", "lightgreen", "lightyellow", "lightcoral", "lightpink",

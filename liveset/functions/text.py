@@ -140,18 +140,14 @@ def song_key(c: Column | str, decode: Callable | None = unescape) -> Column:
     """Matching key of a song name. The order of the steps is part of the definition."""
     n = decode(col(c)) if decode else col(c)
     n = F.replace(F.lower(n), F.lit("&"), F.lit(" and "))
-    for pattern, to in (
-        (r"(?U)^\s*(?:e\d*|encore|set\s*(?:i{1,3}|\d)|1st set|2nd set|\d+)\s*[:\-.]\s*", EMPTY),
-        (r"(?U)^\s*\([^)]*\)\s*", EMPTY),
-        (r"(?U)\bgrey\b", "gray"),
-        (r"(?U)\bplayin\b", "playing"),
-        (r"(?U)\bnfa\b", "not fade away"),
-        (r"(?U)\bwrs\b", "weather report suite"),
-        (r"(?U)\bthe\b", " "),
-        (r"[^a-z0-9]+", " "),
-    ):
-        n = F.regexp_replace(n, pattern, to)
-    return F.trim(n)
+    return F.trim(_replaced(n, fixed.SONG_KEY_STEPS))
+
+
+def _replaced(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    """Patterns replaced one after the other; classes of characters are Unicode's."""
+    for pattern, to in steps:
+        c = F.regexp_replace(c, f"(?U){pattern}", to or EMPTY)
+    return c
 
 
 def loose_key(c: Column | str) -> Column:
@@ -161,16 +157,10 @@ def loose_key(c: Column | str) -> Column:
 def clean_song_title(c: Column | str, decode: Callable | None = unescape) -> Column:
     """Durations, disc/track codes, bullets, notes and trailing arrows removed."""
     n = decode(col(c)) if decode else col(c)
-    n = F.regexp_replace(n, r"\[\d{1,2}:\d{2}(?:\.\d+)?\]", " ")
-    n = F.regexp_replace(n, r"(?iU)^\s*d\d+t\d+[\s:. -]*", " ")
-    n = F.regexp_replace(n, r"(?U)^\d{1,2}:\d{2}(?:\.\d+)?\s*", " ")
-    n = collapse(n)
+    n = collapse(_replaced(n, fixed.TITLE_CODES))
     for _ in range(2):
-        n = F.regexp_replace(n, "(?U)^[*#$%\\-–—]+\\s*", EMPTY)
-        n = F.regexp_replace(n, r"(?U)^\(\d+\)\s*", EMPTY)
-        n = F.regexp_replace(n, r"(?U)^\d+[.:\-]?\s+", EMPTY)
-    n = F.regexp_replace(n, r"(?iU)\s*\(note \d+\)\s*$", EMPTY)
-    return strip(F.regexp_replace(n, r"(?U)\s*(?:&gt;|>|->|,)+\s*$", EMPTY))
+        n = _replaced(n, fixed.TITLE_BULLETS)
+    return strip(_replaced(n, fixed.TITLE_ENDS))
 
 
 def is_song_noise(c: Column | str) -> Column:

@@ -164,3 +164,34 @@ def extractive_answer(hits: DataFrame, **kw) -> DataFrame:
     joined = join_lines(hits.withColumn("line", answer_line(hits)), separator="\n", **kw)
     return joined.withColumn("text", F.concat(
         F.format_string("Based on %d sources:\n\n", F.col("n_sources")), F.col("text")))
+
+
+def _song_name(df: DataFrame) -> Column:
+    return F.coalesce(blank_to_null(_c(df, "song_name")), blank_to_null(_c(df, "title")), F.lit("?"))
+
+
+def song_texts(questions: DataFrame, hits: DataFrame, k: int, question: str = "question", rank: str = "rank") -> DataFrame:
+    """Two texts a question from its lyric search: ``lyrics``, the best lyric row as a card, and
+    ``meaning``, that row without its credits and all interpretations found, in order.
+
+    ``questions``: question_id and the question; ``hits``: the first ``k`` rows of each with
+    their columns. A question without rows of a kind gets the line that says so.
+    """
+    hits = hits.filter(F.col(rank) <= k)  # also bounds what is gathered below
+    lyric = hits.filter(F.col("type") == "lyric")
+    links = F.when(F.size("source_urls") > 0, F.array_join(F.transform("source_urls", lambda u: F.concat(F.lit("  • "), u)), "\n")
+                   ).otherwise("  (no source URLs)")
+    plain = F.concat(F.lit("Song: "), _song_name(lyric), F.lit("\nSources:\n"), links, F.lit("\n\n"), _c(lyric, "comment_text"))
+    first = lyric.groupBy("question_id").agg(
+        F.min_by(lyric_card(lyric), rank).alias("_card"), F.min_by(plain, rank).alias("_plain"))
+    notes = hits.filter(F.col("type") == "interpretation")
+    notes = top_per_key(notes, ["question_id"], [rank], k, "_no")
+    notes = join_lines(notes.withColumn("line", note_line(notes, "_no")), "\n", "_no", k).select("question_id", F.col("text").alias("_notes"))
+    found = questions.select("question_id", F.col(question).alias("_q")).join(first, "question_id", "left").join(notes, "question_id", "left")
+    none, quoted = F.col("_card").isNull(), F.concat(F.lit('"'), F.col("_q"), F.lit('"'))
+    lyrics = F.when(none, F.concat(F.lit("No lyrics found matching "), quoted, F.lit('. Try meaning "song name".'))).otherwise(F.concat(
+        F.lit("LYRICS — "), F.col("_q"), F.lit("\n\n"), F.col("_card"), F.lit('\n\n\nTip: use meaning "song name" for lyrics + interpretations.')))
+    meaning = F.when(none & F.col("_notes").isNull(), F.concat(F.lit("No lyrics or interpretations found matching "), quoted, F.lit("."))).otherwise(F.concat(
+        F.lit("MEANING — "), F.col("_q"), F.lit("\n"), F.coalesce(F.concat(F.lit("\n"), F.col("_plain")), F.lit("")),
+        F.coalesce(F.concat(F.lit("\n\n\nINTERPRETATIONS\n"), F.col("_notes")), F.lit(""))))
+    return found.select("question_id", lyrics.alias("lyrics"), meaning.alias("meaning"))

@@ -232,9 +232,7 @@ def extract_song_pages_b(pages: DataFrame, decode=unescape) -> dict[str, DataFra
     plain = F.regexp_replace(plain, r"(?U)\n\s*\n+", "\n")
     rows = pages.withColumn("_title", decode(drop_tags(F.regexp_extract("html", r"(?i)<title>([^<]*)</title>", 1)))
                             ).withColumn("_text", plain)
-    ends = "|".join(rf"\n{e}" for e in fixed.LYRIC_END_LINES)
-    note_ends = "|".join(rf"\n{e}" for e in fixed.NOTES_END_LINES)
-    lyrics = strip(F.regexp_extract("_text", rf"(?mdU)^\s*Music:\s*[^\n]+\n((?s:.*?))(?={ends})", 1))
+    lyrics = strip(F.regexp_extract("_text", rf"(?mdU)^\s*Music:\s*[^\n]+\n((?s:.*?))(?={fixed.LYRIC_END})", 1))
     songs = rows.select(
         "url", F.coalesce(blank_to_null(strip("_title")), F.col("url")).alias("title"),
         _credits(F.regexp_extract("_text", r"(?mdU)^\s*Lyrics:\s*(.+)$", 1)).alias("lyricists"),
@@ -242,7 +240,7 @@ def extract_song_pages_b(pages: DataFrame, decode=unescape) -> dict[str, DataFra
         F.when(lyrics.isin(*fixed.INSTRUMENTAL_LABELS), "").otherwise(lyrics).alias("lyrics_text"),
         F.lit(None).cast("string").alias("first_played_hint"),
     )
-    block = F.regexp_extract("_text", rf"(?s)\nNotes\n(.*?)(?={note_ends}|\z)", 1)
+    block = F.regexp_extract("_text", rf"(?s)\nNotes\n(.*?)(?={fixed.NOTES_END}|\z)", 1)
     notes = (
         rows.select("url", F.posexplode(F.split(strip(block), r"(?U)\n(?=\(\w+\))")).alias("note_no", "part"))
         .select("url", "note_no", F.lit(fixed.SOURCE_PLAIN).alias("source"), collapse("part").alias("text"))

@@ -30,6 +30,8 @@ GRAM = 8
 DEALS = 64
 LYRIC_TYPES = ("lyric", "interpretation")
 DATE_SCORE = 1.0
+#: Scores by common words that questions are answered down to in turn, and words that stand last.
+LEVELS, HEAVY_WORDS = (0.25, 0.0), 100
 
 
 # -- one term -----------------------------------------------------------------
@@ -247,17 +249,68 @@ def lyric_scores(names: DataFrame, questions: DataFrame, name: str = "song_name"
     held = _containments(asked.select(F.col("q").alias("long")), keys.select(F.col("nm").alias("part"))).select(
         F.col("part").alias("nm"), F.col("long").alias("q"))
     pairs = shared.unionByName(holds).unionByName(held).distinct()
+    return _scored_pairs(pairs).filter("score > 0").join(q, "q").join(n, "nm").select("question_id", "song_name", "score")
+
+
+def best_names(names: DataFrame, questions: DataFrame, k: int, name: str = "song_name", question: str = "question",
+               levels: Sequence[float] = LEVELS) -> DataFrame:
+    """``lyric_scores`` of all names that can be among a question's ``k`` best.
+
+    A prefix-filtered set join, from the highest score down. Words are ordered rarest first. To
+    score ``s`` by common words a name must share ``2 s`` of the words of the longer side, so
+    both sides are filed under the few first words that such a pair cannot all miss. A question
+    is safe, and asks no further, once ``k`` names score the level or more: no name that is
+    still unmet can. The last of ``levels`` is 0, any common word. Frequent words stand last and are reached only by questions that rarer
+    ones leave short. Equal and holding names are found at the start, whatever their words.
+    """
+    n = names.select(F.col(name).alias("song_name")).distinct().withColumn("nm", loose_key("song_name")).filter("nm != ''")
+    keys = checkpoint(n.select("nm").distinct())
+    q = questions.select("question_id", loose_key(question).alias("q"))
+    asked = checkpoint(q.select("q").distinct().filter("q != ''"))
+    counts = keys.select(F.explode(F.array_distinct(words("nm"))).alias("w")).groupBy("w").count()
+    heavy = [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(HEAVY_WORDS).collect()][::-1]
+    name_words, asked_words = _rarest_first(keys, "nm", heavy), _rarest_first(asked, "q", heavy)
+    holds = substring_hits(keys, asked.select(F.col("q").alias("question_id"), F.col("q").alias("term")), "nm").select(
+        "nm", F.col("question_id").alias("q"))
+    held = _containments(asked.select(F.col("q").alias("long")), keys.select(F.col("nm").alias("part"))).select(
+        F.col("part").alias("nm"), F.col("long").alias("q"))
+    met = checkpoint(_scored_pairs(holds.unionByName(held).distinct()))
+    pending = asked_words
+    for level in levels:
+        shared = filed_words(name_words, "nm", level).join(filed_words(pending, "q", level), "w").select("nm", "q").distinct()
+        met = checkpoint(met.unionByName(_scored_pairs(shared)).distinct())
+        if level == levels[-1]:
+            break
+        safe = met.filter(F.col("score") >= level).groupBy("q").count().filter(F.col("count") >= k).select("q")
+        pending = checkpoint(pending.join(safe, "q", "left_anti"))
+        if not pending.limit(1).count():
+            break
+    return met.filter("score > 0").join(q, "q").join(n, "nm").select("question_id", "song_name", "score")
+
+
+def _rarest_first(df: DataFrame, text: str, heavy: list[str]) -> DataFrame:
+    """Text, its distinct words with the frequent ones last, and how many words it has."""
+    order = F.array(*[F.lit(w) for w in heavy]).cast("array<string>")
+    ranked = F.array_sort(F.transform(F.array_distinct(words(text)), lambda w: F.struct(F.array_position(order, w).alias("at"), w.alias("w"))))
+    return df.select(text, F.transform(ranked, lambda x: x["w"]).alias("ws"), F.size(words(text)).alias("size"))
+
+
+def filed_words(ranked: DataFrame, text: str, level: float) -> DataFrame:
+    """The words under which a text is filed for scores of ``level`` or more: all but as many as
+    it must share, less one. A text that cannot share enough is not filed."""
+    size = F.col("size") if text == "nm" else F.size("ws")
+    needed = F.greatest(F.ceil(2 * level * size - 1e-9), F.lit(1)).cast("int")
+    return ranked.select(text, F.explode(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - needed + 1, F.lit(0)))).alias("w"))
+
+
+def _scored_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of name key and question key with their score."""
     common = F.size(F.array_intersect(words("q"), words("nm")))
     most = F.greatest(F.size(F.array_distinct(words("q"))), F.size(words("nm")), F.lit(1))
-    score = (
+    return pairs.select("nm", "q", (
         F.when(F.col("nm") == F.col("q"), F.lit(1.0))
         .when(F.contains("nm", F.col("q")) | F.contains("q", F.col("nm")), F.lit(0.8))
-        .otherwise(F.lit(0.5) * common / most)
-    )
-    return (
-        pairs.withColumn("score", score).filter("score > 0")
-        .join(q, "q").join(n, "nm").select("question_id", "song_name", "score")
-    )
+        .otherwise(F.lit(0.5) * common / most)).alias("score"))
 
 
 def _containments(longs: DataFrame, parts: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -286,7 +339,7 @@ def search_lyrics(corpus: DataFrame, questions: DataFrame, k: int = 15, types: S
     named = rows.filter(F.coalesce("song_name", F.lit("")) != "").select("row_id", "song_name")
     # All rows of a name score alike and ties go by row id, so k rows a name are enough.
     first = top_per_key(named, ["song_name"], ["row_id"], k, "_place").drop("_place")
-    scored = lyric_scores(named, questions, question=question).join(first, "song_name").select(
+    scored = best_names(named, questions, k, question=question).join(first, "song_name").select(
         "question_id", "row_id", F.lit(0).alias("stage"), (-F.col("score")).alias("order"))
     scored = top_per_key(scored, ["question_id"], ["order", "row_id"], k, "_place").drop("_place")
     if "embedding" in questions.columns:
@@ -347,3 +400,9 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, k: int, today: Column
     return combine_hits(("distance", knn(corpus, questions, k)), ("date", search_by_date(corpus, questions, today, question)), **kw)
 
 
+def combined_search(corpus: DataFrame, questions: DataFrame, k: int, today: Column, lyric_k: int = 5, question: str = "question", **kw) -> DataFrame:
+    """Nearest rows, then rows of the date a question names, then lyric and note rows of the song
+    it names, each row once, under its first list."""
+    return combine_hits(
+        ("distance", knn(corpus, questions, k)), ("date", search_by_date(corpus, questions, today, question)),
+        ("lexical", search_lyrics(corpus, questions.drop("embedding"), lyric_k, question=question)), **kw)

@@ -8,7 +8,7 @@ from liveset.functions.dates import parse_date_phrase, resolve_today
 from liveset.functions.text import show_url
 from liveset.operators import search as Q
 from liveset.operators import vectors as V
-from liveset.operators.format import build_context
+from liveset.operators.format import build_context, song_texts
 from liveset.plans.answers import answer_batch, with_rows
 from liveset.queries import query
 from liveset.queries.texts import CHUNKS_SQL, CORPUS_SQL, corpus
@@ -312,3 +312,57 @@ def term_scan(t):
     texts = t.documents.select("doc_id", "text")
     hits = Q.substring_hits(texts, words.withColumn("question_id", F.col("term")), "text").select("doc_id", "question_id")
     return Q.first_with_total(hits, ["question_id"], [("doc_id", "ascending")], 5).select("question_id", "doc_id", "total", "rank")
+
+
+SONG_QUESTIONS = [f"src{i}" for i in range(6)] + ["no such song"]
+
+
+@query(f"""
+WITH q AS (SELECT qid AS question_id, p FROM (VALUES {_values(SONG_QUESTIONS)}) v(qid, p)),
+d AS (SELECT doc_id, doc_id % 3 = 0 AS is_lyric, source, lang, trim(text, ' ' || chr(10)) AS t FROM documents WHERE trim(text, ' ' || chr(10)) <> ''),
+h AS (SELECT question_id, d.*, row_number() OVER (PARTITION BY question_id ORDER BY doc_id) AS rank FROM q JOIN d ON source = p QUALIFY rank <= 15),
+f AS (SELECT question_id, arg_min(chr(10) || 'Song: ' || source || chr(10) || 'Lyricists: ' || lang || ' | Music: n/a' || chr(10) || 'Sources:' || chr(10) || '  • u' || doc_id || chr(10) || chr(10) || t, rank) AS card,
+        arg_min(chr(10) || 'Song: ' || source || chr(10) || 'Sources:' || chr(10) || '  • u' || doc_id || chr(10) || chr(10) || t, rank) AS plain FROM h WHERE is_lyric GROUP BY 1),
+n AS (SELECT question_id, string_agg(chr(10) || k || '. notes — v' || doc_id || chr(10) || t[1:800], chr(10) ORDER BY k) AS notes
+      FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS k FROM h WHERE NOT is_lyric) GROUP BY 1)
+SELECT question_id,
+  CASE WHEN card IS NULL THEN 'No lyrics found matching "' || p || '". Try meaning "song name".'
+    ELSE 'LYRICS — ' || p || chr(10) || card || chr(10) || chr(10) || chr(10) || 'Tip: use meaning "song name" for lyrics + interpretations.' END AS lyrics,
+  CASE WHEN card IS NULL AND notes IS NULL THEN 'No lyrics or interpretations found matching "' || p || '".'
+    ELSE 'MEANING — ' || p || chr(10) || coalesce(plain, '') || coalesce(chr(10) || chr(10) || chr(10) || 'INTERPRETATIONS' || chr(10) || notes, '') END AS meaning
+FROM q LEFT JOIN f USING (question_id) LEFT JOIN n USING (question_id)""")
+def song_answer_texts(t):
+    """Lyric and meaning texts per question, with heading, card, interpretations and closing line."""
+    rows = t.documents.select(
+        F.col("doc_id").alias("row_id"), F.when(F.col("doc_id") % 3 == 0, "lyric").otherwise("interpretation").alias("type"), F.col("source").alias("song_name"),
+        F.array(F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("source_urls"), F.array("lang").alias("lyricists"),
+        F.array().cast("array<string>").alias("music_by"), F.lit("notes").alias("interpretation_source"),
+        F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("interpretation_url"), F.expr("trim(BOTH ' \n' FROM text)").alias("comment_text")).filter("comment_text != ''")
+    asked = _phrases(t, SONG_QUESTIONS)
+    hits = Q.search_lyrics(rows, asked, 15).select("question_id", "row_id", "rank").join(rows, "row_id")
+    return song_texts(asked, hits, 15)
+
+
+@query(f"""
+WITH {CENTRES},
+near AS (SELECT question_id, row_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score, row_id) AS place FROM d QUALIFY place <= 8),
+dated AS (SELECT question_id, vec_id AS row_id FROM q JOIN embeddings ON true JOIN orders ON vec_id = o_orderkey WHERE month(o_orderdate) = question_id + 1 AND day(o_orderdate) = 2),
+named AS (SELECT question_id, vec_id AS row_id, 1 - (row_number() OVER (PARTITION BY question_id ORDER BY vec_id) - 1) * 0.001 AS score,
+  row_number() OVER (PARTITION BY question_id ORDER BY vec_id) AS place FROM q JOIN embeddings ON label = question_id QUALIFY place <= 5),
+u AS (SELECT question_id, row_id, score, 'distance' AS score_kind, 0 AS part, place FROM near
+  UNION ALL SELECT question_id, row_id, 1.0, 'date', 1, 0 FROM dated
+  UNION ALL SELECT question_id, row_id, score, 'lexical', 2, place FROM named),
+o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY question_id, row_id ORDER BY part) = 1)
+SELECT question_id, row_id, round(CAST(score AS DOUBLE), 6) AS score, score_kind, row_number() OVER (PARTITION BY question_id ORDER BY part, place, row_id) AS rank FROM o""")
+def three_list_search(t):
+    """Nearest rows, rows of the named date and rows of the named song in one list, in that order."""
+    shows = t.orders.select(F.col("o_orderkey").alias("row_id"), F.date_format("o_orderdate", "'gd'yyyy-MM-dd").alias(SHOW))
+    rows = t.embeddings.select(F.col("vec_id").alias("row_id"), "embedding", F.concat(F.lit("tune "), F.col("label").cast("string")).alias("song_name")).join(
+        shows, "row_id", "left").select("row_id", "embedding", "song_name", SHOW, F.lit("lyric").alias("type"), F.lit("").alias("created"))
+    number = F.col("question_id").cast("string")
+    asked = _centres(t).withColumn("question", F.concat((F.col("question_id") + 1).cast("string"), F.lit("/2")))
+    dated, named = asked, asked.withColumn("question", F.concat(F.lit("tune "), number))
+    lists = Q.combine_hits(
+        ("distance", V.knn(rows, asked, 8)), ("date", Q.search_by_date(rows, dated, F.to_date(F.lit(TODAY)))),
+        ("lexical", Q.search_lyrics(rows, named.drop("embedding"), 5)))
+    return _shown(lists)
