@@ -12,7 +12,8 @@ under ``MISS``. Each item is sketched once per resolution that occurs.
 A document that shares a bin minimum with an item is verified on the shingles' words
 themselves: how many of the item's distinct shingles it contains. Everything is DataFrame
 functions. Sketches are made within the row (a sorted array; each bin's first value), so
-documents reach the shuffle only as matches.
+documents reach the shuffle only as matches: the texts to verify are filtered in the scan by
+the ids that matched, as long as these are few enough to be sent.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 MISS = 1e-9
 #: Item sketches up to this many rows (24 bytes each) are sent to every executor.
 BROADCAST_ROWS = 1_000_000
+#: The same for ids of documents that match (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -70,6 +73,13 @@ def extra_bits(least_shingles: int, threshold: float = THRESHOLD, miss: float =
     return bits
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids for a join, sent to every executor where they are proven few, so that the other side
+    stays where it is."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return F.broadcast(ids) if few else ids
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``_rid``, ``_item`` (MD5 of the item's text), ``n_shared``, ``n_item``: pairs in which a
     document (``_rid``, ``text``) has at least ``threshold`` of an item's distinct shingles.
@@ -109,9 +119,10 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     probes = probes.select("_item", "x", "from_bits")
     if probes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         probes = F.broadcast(probes)
-    found = sketches.join(probes, "x").filter("bits >= from_bits").select("_rid", "_item").distinct()
+    found = checkpoint(sketches.join(probes, "x").filter("bits >= from_bits").select("_rid", "_item").distinct())
 
-    texts = found.join(docs.select("_rid", "text"), "_rid").join(item_sets.select("_item", "shingles"), "_item")
+    met = docs.select("_rid", "text").join(_sent(found.select("_rid").distinct()), "_rid", "left_semi")
+    texts = found.join(met, "_rid").join(item_sets.select("_item", "shingles"), "_item")
     have = let(words(F.col("text")), lambda w: exact(w, sizes))
     shared = texts.select("_rid", "_item", F.size(F.array_intersect(have, F.col("shingles"))).alias("n_shared"),
                           F.size("shingles").alias("n_item"))
@@ -124,14 +135,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     unless its ``item_id`` differs. Other columns are ignored. ``docs`` is read twice and
     must give the same rows in the same partitions each time, as files do."""
     rows = docs.select("doc_id", "text").withColumn("_rid", F.monotonically_increasing_id())
-    found = contained(rows, items, threshold)
+    found = checkpoint(contained(rows, items, threshold))
     names = items.select("item_id", F.md5("text").alias("_item")).distinct()
-    return found.join(rows.select("_rid", "doc_id"), "_rid").join(names, "_item").select("doc_id", "item_id", "n_shared", "n_item")
+    ids = rows.select("_rid", "doc_id").join(_sent(found.select("_rid").distinct()), "_rid", "left_semi")
+    return found.join(ids, "_rid").join(names, "_item").select("doc_id", "item_id", "n_shared", "n_item")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that contain no item; all columns pass through."""
     carried = Carried(docs, ("text",))
     rows = carried.df.withColumn("_rid", F.monotonically_increasing_id())
-    found = contained(rows.select("_rid", "text"), items, threshold)
-    return rows.join(found.select("_rid").distinct(), "_rid", "left_anti").select(*carried.columns())
+    found = checkpoint(contained(rows.select("_rid", "text"), items, threshold).select("_rid").distinct())
+    return rows.join(_sent(found), "_rid", "left_anti").select(*carried.columns())
