@@ -320,7 +320,8 @@ SONG_QUESTIONS = [f"src{i}" for i in range(6)] + ["no such song"]
 @query(f"""
 WITH q AS (SELECT qid AS question_id, p FROM (VALUES {_values(SONG_QUESTIONS)}) v(qid, p)),
 d AS (SELECT doc_id, doc_id % 3 = 0 AS is_lyric, source, lang, trim(text, ' ' || chr(10)) AS t FROM documents WHERE trim(text, ' ' || chr(10)) <> ''),
-h AS (SELECT question_id, d.*, row_number() OVER (PARTITION BY question_id ORDER BY doc_id) AS rank FROM q JOIN d ON source = p QUALIFY rank <= 15),
+h AS (SELECT question_id, d.*, row_number() OVER (PARTITION BY question_id ORDER BY source <> p, doc_id) AS rank
+  FROM q JOIN d ON contains(source, p) OR contains(p, source) QUALIFY rank <= 15),
 f AS (SELECT question_id, arg_min(chr(10) || 'Song: ' || source || chr(10) || 'Lyricists: ' || lang || ' | Music: n/a' || chr(10) || 'Sources:' || chr(10) || '  • u' || doc_id || chr(10) || chr(10) || t, rank) AS card,
         arg_min(chr(10) || 'Song: ' || source || chr(10) || 'Sources:' || chr(10) || '  • u' || doc_id || chr(10) || chr(10) || t, rank) AS plain FROM h WHERE is_lyric GROUP BY 1),
 n AS (SELECT question_id, string_agg(chr(10) || k || '. notes — v' || doc_id || chr(10) || t[1:800], chr(10) ORDER BY k) AS notes
