@@ -19,7 +19,7 @@ from liveset.functions.dates import parse_date_phrase, show_date
 from liveset.functions.text import cap, loose_key, match_context, words
 from liveset.operators.merge import top_per_key
 from liveset.operators.vectors import knn, knn_filtered
-from liveset.scale import checkpoint, collect_bounded, row_ordinal
+from liveset.scale import checkpoint, collect_bounded, row_ordinal, salted_join
 
 MAX_LITERAL_TERMS = 16
 #: Terms sent to every task, in bytes, each counted with what its question takes beside it.
@@ -355,12 +355,13 @@ def with_show_date(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("show_date", show_date("show_identifier", "type", "created"))
 
 
-def search_by_date(corpus: DataFrame, questions: DataFrame, today: Column, question: str = "question") -> DataFrame:
-    """Rows of shows on the date a question names; without a year, of every year."""
+def search_by_date(corpus: DataFrame, questions: DataFrame, today: Column, question: str = "question", **kw) -> DataFrame:
+    """Rows of shows on the date a question names; without a year, of every year. There are 366
+    dates at most, so those on many rows are split over tasks."""
     asked = _dates(questions, "question_id", parse_date_phrase(question, today)).withColumnRenamed("year", "asked_year")
     dated = _dates(corpus, "row_id", show_date("show_identifier", "type", "created"))
     return (
-        dated.join(asked, ["month", "day"])
+        salted_join(dated, asked, ["month", "day"], **kw)
         .filter(F.col("asked_year").isNull() | (F.col("asked_year") == F.col("year")))
         .select("question_id", "row_id", F.lit(DATE_SCORE).alias("score"))
     )

@@ -5,6 +5,7 @@
 * ``running_sum``, ``row_ordinal``, ``previous_value``
                       ordered per-key results; a key too big for one task is cut into
                       ranges, solved per range and stitched with per-range offsets
+* ``salted_join``     equi join in which keys on many rows are split over tasks
 * ``first_per_key``   first-wins dedup through a map-side combined minimum
 """
 
@@ -149,6 +150,27 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return plain.unionByName(stitched.select(*df.columns, out))
 
 
+def salted(many: DataFrame, few: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with ``_salt``. Rows of ``many`` are counted in ``HASH_BUCKETS``
+    counters, combined before the shuffle. A bucket with more than ``hot_rows`` is dealt over as
+    many salts as bring it below that, and the rows of ``few`` in it are copied once a salt; all
+    other rows have the salt 0 and are copied nowhere."""
+    spark = many.sparkSession
+    counts = many.groupBy(key_bucket(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
+    marks = F.broadcast(spark.createDataFrame([(r["bucket"], -(-r["n"] // hot_rows)) for r in counts.collect()], "_bucket long, _parts long"))  # HASH_BUCKETS at most
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = many.withColumn("_bucket", key_bucket(keys)).join(marks, "_bucket", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts))
+    copied = few.withColumn("_bucket", key_bucket(keys)).join(marks, "_bucket", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.drop("_bucket", "_parts"), copied.drop("_bucket", "_parts")
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join on ``keys``; a key that holds much of ``many`` is shared by several tasks."""
+    dealt, copied = salted(many, few, keys, hot_rows)
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row of every key, for long keys; ``order`` must identify a row.
 
