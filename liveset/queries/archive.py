@@ -576,6 +576,17 @@ def upsert_comments(t):
     return M.upsert_comments(base, incoming).drop("role")
 
 
+@query("""
+SELECT s_suppkey AS show_identifier, s_name AS venue FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey * 3 FROM customer)
+UNION ALL SELECT c_custkey * 3, c_name FROM customer""")
+def upsert_setlists(t):
+    """Set lists of shows that came in again replace those kept."""
+    kept = t.supplier.select(F.col("s_suppkey").alias(SHOW), F.col("s_name").alias("venue"))
+    came = t.customer.select((F.col("c_custkey") * 3).alias(SHOW), F.col("c_name").alias("venue"))
+    return M.upsert_setlists(kept, came)
+
+
+
 @query("""
 SELECT event_id, user_id FROM events e WHERE date_trunc('day', ts) = (SELECT max(date_trunc('day', ts)) FROM events x WHERE x.user_id = e.user_id)""")
 def replace_by_key(t):

@@ -8,7 +8,7 @@ from liveset.functions.dates import parse_date_phrase, resolve_today
 from liveset.functions.text import show_url
 from liveset.operators import search as Q
 from liveset.operators import vectors as V
-from liveset.operators.format import build_context, song_texts
+from liveset.operators.format import build_context, extractive_answer, song_texts
 from liveset.plans.answers import answer_batch, with_rows
 from liveset.queries import query
 from liveset.queries.texts import CHUNKS_SQL, CORPUS_SQL, corpus
@@ -367,3 +367,15 @@ def three_list_search(t):
         ("distance", V.knn(rows, asked, 8)), ("date", Q.search_by_date(rows, dated, F.to_date(F.lit(TODAY)))),
         ("lexical", Q.search_lyrics(rows, named.drop("embedding"), 5)))
     return _shown(lists)
+
+
+@query(f"""
+WITH {CENTRES}, r AS (SELECT question_id, row_id, row_number() OVER (PARTITION BY question_id ORDER BY score, row_id) AS rank FROM d QUALIFY rank <= 10),
+l AS (SELECT question_id, rank, '**#' || rank || '** — [gd' || source || '](https://archive.org/details/gd' || source || ')' || chr(10) || 'Rating: N/A/5 | Date: N/A' || chr(10)
+  || '_' || CASE WHEN length(text) > 300 THEN text[1:300] || '...' ELSE text END || '_' || chr(10) AS line FROM r JOIN documents ON row_id = doc_id)
+SELECT question_id, 'Based on ' || count(*) || ' sources:' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS text, CAST(count(*) AS INTEGER) AS n_sources FROM l GROUP BY 1""")
+def extractive_answers(t):
+    """Answers made of the nearest rows themselves."""
+    hits = V.knn(_vectors(t), _centres(t), 10)
+    texts = t.documents.select(F.col("doc_id").alias("row_id"), F.concat(F.lit("gd"), "source").alias(SHOW), F.col("text").alias("comment_text"), F.lit("comment").alias("type"))
+    return extractive_answer(hits.join(texts, "row_id"), k=10)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from liveset.operators import metrics
+from liveset.operators import versions as V
 from liveset.operators.chunks import chunk_words
 from liveset.operators.format import (
     answer_line, chat_line, context_line, digest_line, lyric_card, message_line, note_line, result_line, tool_line,
@@ -176,3 +177,51 @@ def lyric_cards(t):
         F.when(F.col("lang") == "en", F.array(F.lit("u"), F.lit("v"))).otherwise(F.array().cast("array<string>")).alias("source_urls"), F.col("text").alias("comment_text"),
         F.lit("notes").alias("interpretation_source"), F.lit("http://n").alias("interpretation_url"))
     return rows.select("rank", lyric_card(rows).alias("card"), note_line(rows).alias("note"))
+
+
+# -- versions -----------------------------------------------------------------
+NAMED = "SELECT p_name AS row_id, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
+def _version(t, flag):
+    return t.lineitem.filter(F.col("l_returnflag") == flag).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("p_name").alias("row_id"), "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query(f"SELECT row_id, row_number() OVER (PARTITION BY row_id) AS occurrence FROM ({NAMED})")
+def numbered_rows(t):
+    """Equal rows told apart by the number of their occurrence."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("row_id"), "l_orderkey", "l_linenumber", "l_suppkey")
+    return V.numbered(rows, ["l_orderkey", "l_linenumber", "l_suppkey"]).select("row_id", "occurrence")
+
+
+VERSIONS = f"""
+n AS ({NAMED}),
+b AS (SELECT row_id, count(*) FILTER (WHERE l_returnflag = 'R') AS o, count(*) FILTER (WHERE l_returnflag = 'A') AS n FROM n GROUP BY 1)"""
+
+
+@query(f"""
+WITH {VERSIONS}
+SELECT row_id, unnest(range(least(o, n) + 1, greatest(o, n) + 1)) AS occurrence, CASE WHEN n > o THEN 'added' ELSE 'removed' END AS change FROM b WHERE o <> n""")
+def version_changes(t):
+    """Rows that one version of a table has more or fewer than another."""
+    return V.changes(_version(t, "R"), _version(t, "A"))
+
+
+@query(f"WITH {VERSIONS} SELECT row_id, n FROM b WHERE n > 0")
+def followed_counts(t):
+    """Counts of the old version brought up to date by the changes alone."""
+    old, new = _version(t, "R"), _version(t, "A")
+    return V.fold_changes(V.reference_counts(old, ["row_id"]), V.changes(old, new), ["row_id"])
+
+
+@query("""
+SELECT doc_id AS row_id, [length(text) / 1024.0::FLOAT, contains(text, 'e')::INT, contains(text, 'z')::INT, contains(text, 'ñ')::INT]::FLOAT[] AS embedding
+FROM documents""")
+def followed_vectors(t):
+    """Vectors that follow a table: those of rows that left go, rows that came in are embedded."""
+    rows = t.documents.select(F.col("doc_id").alias("row_id"), "text")
+    old = t.labels.join(t.documents, "doc_id").select(F.col("doc_id").alias("row_id"), "text").unionByName(
+        t.conversations.select((-F.col("conv_id") - 1).alias("row_id"), "text"))  # rows that the new version does not hold
+    vectors = embed(old.groupBy("row_id").agg(F.any_value("text").alias("text")), presence).select("row_id", "embedding")
+    return V.follow_vectors(vectors, V.reference_counts(old, ["row_id"]), V.changes(old, rows), rows, presence).select("row_id", "embedding")
