@@ -79,7 +79,7 @@ def _literal(value, kind: T.DataType) -> Column:
 
 # -- term batches -------------------------------------------------------------
 def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "term",
-                   max_terms: int = MAX_LITERAL_TERMS, max_bytes: int = MAX_SCANNED_BYTES) -> DataFrame:
+                   max_terms: int = MAX_LITERAL_TERMS, max_bytes: int = MAX_SCANNED_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
     """Every (text row, term) where the lower-cased text holds the lower-cased term; an empty
     term is in every text, a null one in none.
 
@@ -89,24 +89,26 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
     and terms meet on character runs: a term is filed under its first ``GRAM`` characters, a
     text under all runs of the lengths that occur, and hits are verified. Only the text's key
     and the runs are exchanged, the text itself is looked up for hits alone. All three ways
-    return the same rows.
+    return the same rows, with the columns of ``texts`` or those of them to ``keep``: a long
+    text that nobody needs again should not be repeated for every hit.
     """
+    given = list(keep or texts.columns)
     asked = terms.select("question_id", F.lower(term).alias("_term")).filter(F.col("_term").isNotNull())
     rows = collect_bounded(asked, max_terms)
     if rows is not None:
         if not rows:
-            return texts.withColumn("question_id", F.lit(None).cast(terms.schema["question_id"].dataType)).filter(F.lit(False))
+            return texts.select(*given, F.lit(None).cast(terms.schema["question_id"].dataType).alias("question_id")).filter(F.lit(False))
         kind = asked.schema["question_id"].dataType
         wanted = F.array(*[F.struct(_literal(r["question_id"], kind).alias("question_id"), F.lit(r["_term"]).alias("t")) for r in rows])
         low = F.lower(F.coalesce(F.col(text), F.lit("")))
         return (
             texts.withColumn("_low", low)
             .withColumn("_hit", F.explode(F.filter(wanted, lambda w: F.contains(F.col("_low"), w["t"]))))
-            .withColumn("question_id", F.col("_hit.question_id")).drop("_hit", "_low")
+            .select(*given, F.col("_hit.question_id"))
         )
     size = asked.agg(F.coalesce(F.sum(F.octet_length("_term") + ROW_BYTES), F.lit(0))).first()[0]
     if size <= max_bytes:
-        return scan_terms(texts, asked.toArrow(), text)
+        return scan_terms(texts, asked.toArrow(), text, keep=given)
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     keyed = texts.withColumn("_key", F.md5(low))  # equal texts are searched once
     # Every text holds the empty term; its rows are dealt over many keys.
@@ -126,11 +128,11 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
     )
     met = grams.join(filed, ["_n", "_gram"]).select("_key", "question_id", "_term")
     held = keyed.join(met, "_key").filter(F.contains(low, F.col("_term")))
-    columns = [*texts.columns, "question_id"]
+    columns = [*given, "question_id"]
     return held.select(*columns).unionByName(everywhere.select(*columns))
 
 
-def scan_terms(texts: DataFrame, asked: pa.Table, text: str, cells: int = CELLS) -> DataFrame:
+def scan_terms(texts: DataFrame, asked: pa.Table, text: str, cells: int = CELLS, keep: Sequence[str] | None = None) -> DataFrame:
     """The same by automata over the bytes of the lower-cased texts: one look-up a byte,
     however many terms there are. ``asked`` has question_id and ``_term``; terms beyond
     ``cells`` of one automaton go to a further one in the same scan."""
@@ -167,11 +169,10 @@ def scan_terms(texts: DataFrame, asked: pa.Table, text: str, cells: int = CELLS)
                 ids = questions.take(pa.array(asker[lo:lo + HITS_A_BATCH])).combine_chunks()
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*columns, "question_id"])
 
-    columns = texts.columns
-    kind = from_arrow_type(questions.type)
-    schema = T.StructType([*texts.schema.fields, T.StructField("question_id", kind)])
+    columns = list(keep or texts.columns)
+    schema = T.StructType([*[texts.schema[c] for c in columns], T.StructField("question_id", from_arrow_type(questions.type))])
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return texts.withColumn("_low", low).mapInArrow(run, schema)
+    return texts.select(*columns, low.alias("_low")).mapInArrow(run, schema)
 
 
 # -- first k and how many there are -------------------------------------------

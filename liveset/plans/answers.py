@@ -34,9 +34,9 @@ def term_routes(corpus: DataFrame, routed: DataFrame, limits: dict, order: Seque
     types, fields = [t for t, _ in TERM_ROUTES.values()], [f for _, f in TERM_ROUTES.values()]
     asked = routed.filter(F.col("route").isin(*TERM_ROUTES)).select(F.struct("question_id", "route", "arg2").alias("question_id"), F.col("arg1").alias("term"))
     searched = F.coalesce(*[F.when(F.col("type") == t, F.col(f)) for t, f in TERM_ROUTES.values()])
-    rows = corpus.filter(F.col("type").isin(*types)).select(
-        *dict.fromkeys(["row_id", "type", "transition_to", *order]), searched.alias("_searched"))
-    hits = substring_hits(rows, asked, "_searched").withColumnRenamed("question_id", "_q")
+    shown = list(dict.fromkeys(["row_id", "type", "transition_to", *order]))
+    rows = corpus.filter(F.col("type").isin(*types)).select(*shown, searched.alias("_searched"))
+    hits = substring_hits(rows, asked, "_searched", keep=shown).withColumnRenamed("question_id", "_q")
     to = F.col("_q.arg2")
     own = F.coalesce(*[F.when(F.col("_q.route") == r, F.col("type") == t) for r, (t, _) in TERM_ROUTES.items()])
     kept = hits.filter(own & ((F.col("type") != "transition") | to.isNull() | F.contains(F.lower("transition_to"), F.lower(to))))

@@ -99,6 +99,19 @@ def extract_setlist_songs(t):
     return S.show_songs(S.set_entries(_described(t))).drop("notations")
 
 
+@query(rf"""
+WITH {DESCRIBED},
+names AS (SELECT doc_id, 0 AS set_order, line_no, item_no, item FROM items WHERE item <> '' AND NOT regexp_matches(item, '^(Set|Disc|Encore)', 'i')
+  UNION ALL SELECT doc_id, 1, 0, 0, source FROM documents UNION ALL SELECT doc_id, 1, 0, 1, 'Closer*^' FROM documents)
+SELECT doc_id AS show_identifier, set_order, line_no, item_no, array_to_string(m, '|') AS notations
+FROM (SELECT *, regexp_extract_all(item || ' ', '([*^0-9]+)\s', 1) AS m FROM names) WHERE len(m) > 0
+  AND trim(regexp_replace(item, '[*^0-9\s]+$', '')) <> ''""")
+def extract_setlist_notations(t):
+    """Notation marks of the songs of free-text descriptions."""
+    songs = S.show_songs(S.set_entries(_described(t))).filter(F.size("notations") > 0)
+    return songs.select(SHOW, "set_order", "line_no", "item_no", F.array_join("notations", "|").alias("notations"))
+
+
 @query("""
 SELECT doc_id AS show_identifier, 1 AS set_order, 0 AS line_no, 0 AS item_no, source AS transition_from, lang AS transition_to
 FROM documents""")

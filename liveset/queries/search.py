@@ -310,7 +310,7 @@ def term_scan(t):
     of each, and how many there are."""
     words = t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter(F.length("term") > 3).distinct()
     texts = t.documents.select("doc_id", "text")
-    hits = Q.substring_hits(texts, words.withColumn("question_id", F.col("term")), "text").select("doc_id", "question_id")
+    hits = Q.substring_hits(texts, words.withColumn("question_id", F.col("term")), "text", keep=["doc_id"])
     return Q.first_with_total(hits, ["question_id"], [("doc_id", "ascending")], 5).select("question_id", "doc_id", "total", "rank")
 
 
