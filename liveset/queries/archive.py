@@ -16,6 +16,7 @@ from liveset.sources.readers import read_items
 from liveset.sources.sinks import append_transcripts as append_rows
 from liveset.sources.sinks import publish, read_current
 from liveset.streaming import ingest as I
+from liveset.streaming import keyed as K
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
 LINE_SQL = "l_linenumber, l_partkey, l_suppkey"
@@ -619,6 +620,28 @@ def ingest_events(t):
     return I.upsert_by_key(I.read_log(t.spark, log), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
+@query("""
+WITH b AS (SELECT event_id, user_id, value, hour(ts) // 8 AS shift FROM events)
+SELECT event_id, user_id, value FROM b QUALIFY shift = max(shift) OVER (PARTITION BY user_id)""")
+def compact_log(t):
+    """Batches of a log folded in two steps into a table kept by key: the rows of a user's last batch stay."""
+    log, table = scratch_path(t.spark, "log"), scratch_path(t.spark, "table")
+    rows = t.events.select("event_id", "user_id", "value", F.floor(F.hour("ts") / 8).alias("shift"))
+    for steps in ((0, 1), (2,)):
+        for shift in steps:
+            rows.filter(F.col("shift") == shift).drop("shift").write.parquet(f"{log}/{I.BATCH}={shift}")
+        folded = I.compact(t.spark, log, table, ["user_id"], buckets=16)
+    return folded.select("event_id", "user_id", "value")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unseen_keys(t):
+    """Customers without an order, told apart by filters of the stored keys and checked exactly."""
+    table = scratch_path(t.spark, "orders")
+    K.fold(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), table, ["c_custkey"], buckets=16)
+    return K.unseen(t.customer.select("c_custkey", "c_name", "c_nationkey"), table, ["c_custkey"])
+
+
 @query("SELECT doc_id, source, lang, n_chars FROM documents")
 def published_documents(t):
     """A table published as a version and read back as the current one."""

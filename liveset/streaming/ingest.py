@@ -3,7 +3,7 @@
 Each micro-batch writes its rows under ``batch_id=N``. A replayed batch overwrites its own
 folder, so a crash between writing and checkpointing leaves no doubles; nothing already
 stored is rewritten. Readers resolve keys on read, and ``compact`` folds the log into a
-published version.
+table kept by key, of which it rewrites the touched buckets only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from liveset.operators.merge import SHOW, last_wins, normalize_reviews
 from liveset.sources import schemas
-from liveset.sources.sinks import numbered_folders, publish, read_current, versions
+from liveset.sources.sinks import numbered_folders
+from liveset.streaming.keyed import BUCKETS, fold, listing, read_keyed
 
 BATCH = "batch_id"
 
@@ -94,27 +95,20 @@ def upsert_by_key(log: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return last_wins(log, keys, [BATCH, *order])
 
 
-def compact(spark: SparkSession, log_path: str, table_path: str, keys: Sequence[str] = (SHOW,)) -> DataFrame | None:
-    """Fold the batches not folded yet and the current version into the next version.
+def compact(spark: SparkSession, log_path: str, table_path: str, keys: Sequence[str] = (SHOW,), buckets: int = BUCKETS) -> DataFrame | None:
+    """Fold the batches not folded yet into a table kept by key (``streaming/keyed.py``).
 
-    The last batch of a version is noted before the version is committed, so a fold that
-    dies leaves an unused note, and a repeated one reads only what is new.
+    Only the buckets that hold a key of these batches are rewritten. The last batch is noted
+    with the version that holds it, so a fold that dies is repeated with the same result.
     """
-    done = versions(spark, table_path)
-    note = lambda v: f"{table_path.rstrip('/')}/_folded_{v}"
-    folded = int(spark.read.text(note(done[-1])).first()["value"]) if done else -1
-    fresh = [b for b in batches(spark, log_path) if b > folded]
-    if not fresh:
-        return read_current(spark, table_path)
-    log = replace_by_key(read_log(spark, log_path, fresh), keys).drop(BATCH)
-    current = read_current(spark, table_path)
-    merged = log if current is None else current.join(log.select(*keys), list(keys), "left_anti").unionByName(log)
-    version = (done[-1] + 1) if done else 1
-    spark.range(1).select(F.lit(str(fresh[-1])).alias("value")).write.mode("overwrite").text(note(version))
-    publish(merged, table_path, version)
-    return read_current(spark, table_path)
+    state = listing(spark, table_path)
+    fresh = [b for b in batches(spark, log_path) if state is None or b > state.upto]
+    if fresh:
+        fold(replace_by_key(read_log(spark, log_path, fresh), keys).drop(BATCH), table_path, keys, fresh[-1], buckets)
+    return read_keyed(spark, table_path)
 
 
 def new_keys_only(source: DataFrame, processed: DataFrame, key: str = SHOW) -> DataFrame:
-    """Stream rows of keys a table does not hold yet; the table bounds the state."""
+    """Stream rows of keys a table does not hold yet; the table bounds the state. Every batch
+    reads the table's keys; ``keyed.ingest_new`` reads those it cannot tell apart by filters."""
     return source.join(processed.select(key).distinct(), key, "left_anti")
