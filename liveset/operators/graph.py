@@ -6,33 +6,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liveset import fixed
-from liveset.scale import checkpoint, side_by_side
+from liveset.scale import HOT_ROWS, checkpoint, copy_over, deal, salt_marks, side_by_side
 
 
-def bfs(edges: DataFrame, seed: DataFrame, max_depth: int = 10) -> DataFrame:
+PULL_GAIN = 2.0
+
+
+class _Links:
+    """Edges laid out by one of their ends, a hub's edges dealt over salts."""
+
+    def __init__(self, edges: DataFrame, end: str, ends: DataFrame, hot_rows: int):
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        degree = "out_degree" if end == "source" else "in_degree"
+        self.end, self.marks = end, salt_marks(ends, ["node"], hot_rows, degree)
+        self.edges = checkpoint(deal(edges, self.marks, [end], ["target", "source"]).repartition(parts, end, "_salt"))
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """Edges of ``nodes`` at this end. Only the nodes move, a hub once a salt."""
+        return self.edges.join(copy_over(nodes.select(F.col("node").alias(self.end)), self.marks, [self.end]), [self.end, "_salt"]).drop("_salt")
+
+
+def bfs(edges: DataFrame, seed: DataFrame, max_depth: int = 10, hot_rows: int = HOT_ROWS, pull_gain: float = PULL_GAIN) -> DataFrame:
     """``node, depth, parent`` of every node within ``max_depth`` of the seeds.
 
-    ``edges``: source, target; ``seed``: node. One join and one map-side combined minimum
-    a level; a node keeps the smallest discovering parent. Levels are checkpointed on the
+    ``edges``: source, target; ``seed``: node. A null is not a node. A node keeps the
+    smallest discovering parent. A level either pushes (the edges out of its nodes, combined
+    by target) or pulls (the edges into nodes not reached yet, matched with the level),
+    whichever has fewer edges: it pulls where pushing would take ``pull_gain`` times as many.
+    Both give the same rows. Edges are laid out once for each direction used, and a hub with
+    more than ``hot_rows`` of them is shared by several tasks. Levels are checkpointed on the
     shared folder, so the plan stays flat and a lost executor repeats one level at most.
     """
-    # Edges are laid out by source once: a level then moves its frontier, not the edges.
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = checkpoint(edges.select("source", "target").distinct().repartition(parts, "source"))
-    node_type = links.schema["source"].dataType
-    level = checkpoint(seed.select(F.col("node").cast(node_type)).distinct()
+    edges = checkpoint(edges.select("source", "target").filter("source is not null and target is not null").distinct())
+    node_type = edges.schema["source"].dataType
+    # Edges out of and into every node: hubs, and what a push or a pull would take.
+    ends = checkpoint(degrees(edges, node="node"))
+    forward, backward = _Links(edges, "source", ends, hot_rows), None
+    level = checkpoint(seed.select(F.col("node").cast(node_type)).filter("node is not null").distinct()
                        .withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast(node_type)))
-    visited = level
+    visited, into_rest = level, edges.count()
     for depth in range(1, max_depth + 1):
-        reached = (
-            links.join(level.select(F.col("node").alias("source")), "source")
-            .groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
-        )
+        found = level.join(ends, "node", "left").agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("out_degree"), F.lit(0)).alias("out"),
+            F.coalesce(F.sum("in_degree"), F.lit(0)).alias("into")).first()
+        into_rest -= found["into"]
+        if not found["n"] or not found["out"] or not into_rest:
+            break
+        if found["out"] > pull_gain * into_rest:
+            backward = backward or _Links(edges, "target", ends, hot_rows)
+            rest = ends.filter("in_degree > 0").join(visited.select("node"), "node", "left_anti")
+            met = copy_over(level.select(F.col("node").alias("source")), forward.marks, ["source"])
+            reached = deal(backward.of(rest), forward.marks, ["source"], ["target", "source"]).join(met, ["source", "_salt"], "left_semi")
+        else:
+            reached = forward.of(level)
+        reached = reached.groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
         level = checkpoint(
             reached.join(visited.select("node"), "node", "left_anti")
             .select("node", F.lit(depth).alias("depth"), "parent"))
-        if level.isEmpty():
-            break
         visited = visited.unionByName(level)
     return visited
 

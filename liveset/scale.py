@@ -150,19 +150,38 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return plain.unionByName(stitched.select(*df.columns, out))
 
 
+def salt_marks(many: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, rows: str | None = None) -> DataFrame:
+    """Overfull hash buckets and the salts each is dealt over. Rows are counted in
+    ``HASH_BUCKETS`` counters, combined before the shuffle, so as many rows are broadcast at
+    most. ``rows`` names a column of ``many`` that holds counts made before."""
+    number = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    counts = many.groupBy(key_bucket(keys).alias("bucket")).agg(number.alias("n")).filter(F.col("n") > hot_rows)
+    return F.broadcast(many.sparkSession.createDataFrame([(r["bucket"], -(-r["n"] // hot_rows)) for r in counts.collect()], "_bucket long, _parts long"))
+
+
+def deal(many: DataFrame, marks: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``_salt``: those of marked buckets are dealt over their salts, others have 0.
+
+    ``by`` are columns that tell rows apart: the salt follows from them, so a repeated task
+    deals alike in whatever order its rows come. Without them it follows from the row's place.
+    """
+    place = [F.col(c) for c in by] or [F.monotonically_increasing_id()]
+    return many.withColumn("_bucket", key_bucket(keys)).join(marks, "_bucket", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*place), F.coalesce("_parts", F.lit(1)))).drop("_bucket", "_parts")
+
+
+def copy_over(few: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The partners of dealt rows: copied once a salt of their bucket."""
+    return few.withColumn("_bucket", key_bucket(keys)).join(marks, "_bucket", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_bucket", "_parts")
+
+
 def salted(many: DataFrame, few: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join with ``_salt``. Rows of ``many`` are counted in ``HASH_BUCKETS``
-    counters, combined before the shuffle. A bucket with more than ``hot_rows`` is dealt over as
-    many salts as bring it below that, and the rows of ``few`` in it are copied once a salt; all
-    other rows have the salt 0 and are copied nowhere."""
-    spark = many.sparkSession
-    counts = many.groupBy(key_bucket(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-    marks = F.broadcast(spark.createDataFrame([(r["bucket"], -(-r["n"] // hot_rows)) for r in counts.collect()], "_bucket long, _parts long"))  # HASH_BUCKETS at most
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = many.withColumn("_bucket", key_bucket(keys)).join(marks, "_bucket", "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts))
-    copied = few.withColumn("_bucket", key_bucket(keys)).join(marks, "_bucket", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return dealt.drop("_bucket", "_parts"), copied.drop("_bucket", "_parts")
+    """Both sides of a join with ``_salt``. A bucket of ``many`` with more than ``hot_rows`` is
+    dealt over as many salts as bring it below that, and the rows of ``few`` in it are copied
+    once a salt; all other rows have the salt 0 and are copied nowhere."""
+    marks = salt_marks(many, keys, hot_rows)
+    return deal(many, marks, keys), copy_over(few, marks, keys)
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
