@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from liveset.operators.blocks import cell_sizes, pairs_to_meet, pick_pivots, with_cells
 from liveset.operators.merge import top_per_key
+from liveset.scale import checkpoint
 
 # Questions sent to every task: at most this many vector components (64 MB of doubles).
 MAX_BROADCAST_COMPONENTS = 8_000_000
@@ -136,15 +138,36 @@ def _knn_broadcast(c: DataFrame, rows: list, k: int, schema: T.StructType) -> Da
 
 
 def _knn_grid(c: DataFrame, q: DataFrame, k: int, schema: T.StructType, grid_rows: int) -> DataFrame:
-    """Block join: both sides hash into blocks of about ``grid_rows`` and every pair of
-    blocks is one small task. Block sizes follow from counts and rows are dealt by id and
-    vector, so no question, label or shared id makes a block hot; only rows equal in both
-    go together."""
-    c_blocks = max(1, -(-c.count() // grid_rows))
-    q_blocks = max(1, -(-q.count() // grid_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = c.withColumn("_c", F.pmod(F.xxhash64("row_id", "v"), F.lit(c_blocks)).cast("int")).withColumn("_q", every(q_blocks))
-    right = q.withColumn("_q", F.pmod(F.xxhash64("question_id"), F.lit(q_blocks)).cast("int")).withColumn("_c", every(c_blocks))
+    """Block join: both sides fall into the cells of pivots (``operators/blocks.py``), cells
+    are cut into blocks of about ``grid_rows``, and a pair of blocks is one small task.
+
+    Pairs of cells that cannot hold a near row are left out, and no row travels for them.
+    Pivots are no more than blocks on either side, so where nothing can be left out a row is
+    copied at most twice as often as without cells. Blocks of a cell are dealt by id and
+    vector, so no cell, question or shared id makes a block hot; only rows equal in both go
+    together.
+    """
+    spark, rows, asked = c.sparkSession, c.count(), q.count()
+    if not rows or not asked:
+        return spark.createDataFrame([], schema)
+    pivots = pick_pivots(c, rows, -(-rows // grid_rows))
+    q_pivots = pivots[:-(-asked // grid_rows)]
+    c, q = checkpoint(with_cells(c, pivots)), checkpoint(with_cells(q, q_pivots))
+    n, far, close = cell_sizes(c, len(pivots), k)
+    q_n, q_far, _ = cell_sizes(q, len(q_pivots))
+    blocks = lambda count: int(-(-count // grid_rows))
+    met = [(i, j, blocks(q_n[i]), blocks(n[j])) for i, j in pairs_to_meet(q_pivots, q_n, q_far, pivots, n, far, close, k)]
+    pairs = F.broadcast(spark.createDataFrame(met, "_qc int, _cc int, _qn int, _cn int"))  # MAX_PIVOTS squared at most
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    at = ["_cc", "_cb", "_qc", "_qb"]
+    left = (
+        c.withColumnRenamed("_cell", "_cc").join(pairs, "_cc")
+        .withColumn("_cb", F.pmod(F.xxhash64("row_id", "v"), F.col("_cn")).cast("int")).withColumn("_qb", every("_qn"))
+        .select(*at, "row_id", "v"))
+    right = (
+        q.withColumnRenamed("_cell", "_qc").join(pairs, "_qc")
+        .withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.col("_qn")).cast("int")).withColumn("_cb", every("_cn"))
+        .select(*at, "question_id", "v"))
 
     def cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asked.empty:
@@ -153,7 +176,7 @@ def _knn_grid(c: DataFrame, q: DataFrame, k: int, schema: T.StructType, grid_row
         ids, cm = rows["row_id"].to_numpy(), _matrix(rows["v"])
         return _nearest(q_ids, qm, ids, cm, k)
 
-    return left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInPandas(cell, schema)
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(cell, schema)
 
 
 def knn_filtered(corpus: DataFrame, questions: DataFrame, k: int, condition: Column, overfetch: bool = False, **kw) -> DataFrame:
