@@ -2,8 +2,8 @@
 
 The network reads fixed windows of ``WINDOW`` bytes: filters of several widths over one-hot
 bytes, the maximum of each filter over the window, and a softmax over the languages. It is
-trained on a bounded sample (``sample_rows`` labelled texts, evenly over the languages) and
-applied to every window of every whole text; a text's probabilities are the mean over its
+trained on a bounded sample (``SAMPLE_ROWS`` labelled texts, evenly over the languages, and
+``CUTS`` runs of ``WINDOW`` characters of each, at places a hash chooses) and applied to every window of every whole text; a text's probabilities are the mean over its
 windows, weighted by their bytes.
 
 Filters over one-hot bytes are table look-ups. For application the tables of neighbouring
@@ -25,7 +25,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE_ROWS = 4_000
-CUTS = 2  # windows taken from a sampled text
+CUTS = 2  # runs of WINDOW characters taken from a sampled text, with all their bytes
 UNKNOWN = "und"
 ADDED = ("lang_pred", "lang_score")
 
@@ -156,7 +156,8 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
     if not got:
         return None
     languages = sorted({lang for lang, _ in got})
-    pairs = [(cut(c.encode())[0], languages.index(lang)) for lang, cuts in got for c in cuts if c]
+    # Every window of a cut, so that scripts of several bytes a letter count with all of theirs.
+    pairs = [(window, languages.index(lang)) for lang, cuts in got for c in cuts if c for window in cut(c.encode())]
     if not pairs:
         return None
     windows, target = np.stack([p[0] for p in pairs]), np.array([p[1] for p in pairs])

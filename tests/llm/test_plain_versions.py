@@ -77,6 +77,15 @@ def test_scores_of_texts_are_means_over_windows(spark):
         assert got[i]["lang_score"] == pytest.approx(p.max(), abs=1e-4)
 
 
+def test_training_reads_whole_cuts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Network, "fit", lambda self, windows, target: seen.append(windows) or self)
+    langid.train(spark.createDataFrame([("д" * 200 + "ж" * 56, "xx")], "text string, lang string"))
+    # 512 bytes a cut: two windows, the second of which holds the last letters.
+    assert seen[0].shape == (2 * langid.CUTS, langid.WINDOW)
+    assert bytes(seen[0][1]).decode() == "д" * 72 + "ж" * 56
+
+
 # --- 5 quality -------------------------------------------------------------------------------
 def plain_statistics(text):
     """Those of the statistics that a few lines of Python define, on ASCII texts."""
