@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 from liveset import fixed
 from liveset.functions.automaton import ASCII_LOWER, automata, bytes_of
 from liveset.functions.text import break_lines, clean_html_line, collapse, contains_any, let, strip, unescape
-from liveset.scale import collect_bounded, previous_value, running_sum
+from liveset.scale import checkpoint, collect_bounded, previous_value, running_sum, salted, salted_join
 
 SHOW = "show_identifier"
 POSITION = ["set_order", "line_no", "item_no"]
-MOST_TITLES = 200_000  # titles that are sent to every task
+MOST_TITLES = 200_000  # titles that are sent to every task; more are joined
 
 _SET = rf"(?iUd)^(?:{fixed.SET_MARKER})"
 _ENCORE = rf"(?iUd)^(?:{fixed.ENCORE_MARKER})"
@@ -223,14 +223,96 @@ def _segments(text: bytes, found: list[list[int]], names: list[str]) -> list[str
     return [p for p in (*out, text[at:].decode().strip()) if p]
 
 
-def known_titles(titles: Sequence[str] | DataFrame, most: int = MOST_TITLES) -> list[str]:
-    """Titles as a list; of a table with a column ``title`` after their number is checked."""
+# Pieces of a text: separators one by one, and what lies between them. A title that is cut out
+# begins at the start, behind a space or, next to another one, with a separator; it ends at the
+# end, before a separator or, next to another one, with a space. So it is a run of whole pieces.
+_PIECE, _SEPARATORS = "[^ >&]+|[ >&]", (" ", ">", "&")
+
+
+def _pieces(text: Column) -> Column:
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(low, F.lit(_PIECE), F.lit(0))
+
+
+def _shape(pieces: Column) -> Column:
+    """How many pieces there are, and whether the first and the last are separators."""
+    return F.struct(F.size(pieces).alias("n"), F.get(pieces, F.lit(0)).isin(*_SEPARATORS).alias("head"),
+                    F.get(pieces, F.size(pieces) - 1).isin(*_SEPARATORS).alias("tail"))
+
+
+def _runs(text: Column, shapes: Column) -> Column:
+    """Hashes of the runs of pieces that have one of the shapes."""
+    def of(pieces: Column) -> Column:
+        ends = lambda i, s: (F.get(pieces, i - 1).isin(*_SEPARATORS) == s["head"]) & (
+            F.get(pieces, i + s["n"] - 2).isin(*_SEPARATORS) == s["tail"])
+        return F.flatten(F.transform(
+            F.filter(shapes, lambda s: s["n"] <= F.size(pieces)),
+            lambda s: F.transform(F.filter(F.sequence(F.lit(1), F.size(pieces) - s["n"] + 1), lambda i: ends(i, s)),
+                                  lambda i: F.xxhash64(F.array_join(F.slice(pieces, i, s["n"]), "")))))
+
+    return let(_pieces(text), of)
+
+
+def segment_joined(rows: DataFrame, texts: str, titles: DataFrame, out: str, **kw) -> DataFrame:
+    """``segment_each`` of an array column ``texts`` as a new column, for titles of any number.
+
+    Every text is cut into pieces at separators, and its runs of pieces meet the titles in
+    one equi join of 64-bit hashes: as many runs as places and shapes of titles, whatever the
+    number of titles. Equal arrays are joined once. A row then gets the few titles met
+    and looks them up in its texts, so equal hashes of other words change nothing.
+    """
+    given = rows.withColumn(texts, F.transform(texts, strip))
+    pieces = _pieces(F.col("title"))
+    known = titles.select("title").filter("title <> ''").groupBy(F.array_join(pieces, "").alias("_form")).agg(F.min("title").alias("title"))
+    known = checkpoint(known.select("title", F.xxhash64("_form").alias("_run"), _shape(pieces).alias("_shape")))
+    # Distinct shapes: at most four for every number of pieces that a title has.
+    shapes = F.array(*[F.struct(*[F.lit(s[f]).alias(f) for f in ("n", "head", "tail")])
+                       for s in (r["_shape"] for r in known.select("_shape").distinct().collect())])
+    lines = given.select(texts).distinct().withColumn("_line", F.xxhash64(texts))
+    runs = checkpoint(lines.select("_line", F.explode(F.array_distinct(F.flatten(
+        F.transform(texts, lambda x: _runs(F.coalesce(x, F.lit("")), shapes))))).alias("_run")))
+    met = salted_join(runs, known.select("_run", "title"), ["_run"], **kw).groupBy("_line").agg(F.collect_set("title").alias("_titles"))
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def run(column: pa.Array, met: pa.Array) -> pa.Array:
+        return pa.array([_cut_each(some or [], found or []) for some, found in zip(column.to_pylist(), met.to_pylist())],
+                        pa.list_(pa.list_(pa.string())))
+
+    dealt, copied = salted(given.withColumn("_line", F.xxhash64(texts)), met, ["_line"], **kw)
+    joined = dealt.join(copied, ["_line", "_salt"], "left")
+    return joined.select(*rows.columns, run(F.col(texts), F.col("_titles")).alias(out))
+
+
+def _cut_each(texts: list[str | None], titles: list[str]) -> list[list[str] | None]:
+    """Names in some texts. ``titles`` differ in more than case."""
+    ranked = sorted(titles, key=lambda t: (-len(t), t))
+    lower = ASCII_LOWER.tobytes()
+    forms, names, out = [t.encode().translate(lower) for t in ranked], [t.title() for t in ranked], []
+    for text in texts:
+        raw = (text or "").encode()
+        low, found = raw.translate(lower), []
+        for rank, form in enumerate(forms):
+            at = low.find(form)
+            while at >= 0:
+                found.append([at, at + len(form), rank])
+                at = low.find(form, at + 1)
+        out.append(None if text is None else _segments(raw, found, names))
+    return out
+
+
+def _few_titles(titles: Sequence[str] | DataFrame, most: int) -> list[str] | None:
     if not isinstance(titles, DataFrame):
         return list(titles)
     rows = collect_bounded(titles.select("title").filter("title <> ''").distinct(), most)
-    if rows is None:
+    return None if rows is None else sorted(r["title"] for r in rows)
+
+
+def known_titles(titles: Sequence[str] | DataFrame, most: int = MOST_TITLES) -> list[str]:
+    """Titles as a list; of a table with a column ``title`` after their number is checked."""
+    few = _few_titles(titles, most)
+    if few is None:
         raise ValueError(f"more than {most} titles")
-    return sorted(r["title"] for r in rows)
+    return few
 
 
 def _arrow(c: Column) -> Column:
@@ -238,14 +320,14 @@ def _arrow(c: Column) -> Column:
 
 
 def normalize_legacy(setlists: DataFrame, entries: str = "entries",
-                     titles: Sequence[str] | DataFrame = fixed.KNOWN_TITLES) -> dict[str, DataFrame]:
+                     titles: Sequence[str] | DataFrame = fixed.KNOWN_TITLES, most: int = MOST_TITLES) -> dict[str, DataFrame]:
     """Legacy ``array<string>`` set lists as the same tables as the rich form.
 
     Entries before any marker belong to a set made on demand. A marker keeps the songs
     on its own line. Lines of players become an attribute of their set. ``titles``: a list, or
-    a table with a column ``title``.
+    a table with a column ``title``; one of more than ``most`` titles is joined.
     """
-    titles = known_titles(titles)
+    few = _few_titles(titles, most)
     marker = rf"(?iUd)^{fixed.LEGACY_MARKER}\s*(.*)"
     bare = rf"(?iUd)^{fixed.LEGACY_MARKER}"
     lines = F.transform(F.filter(F.col(entries), lambda e: e.isNotNull()), _arrow)
@@ -281,11 +363,13 @@ def normalize_legacy(setlists: DataFrame, entries: str = "entries",
     segments = F.filter(F.transform(F.split("line", ">"), strip), lambda s: s != "")
     per_segment = F.transform(
         "segments", lambda names, i: F.transform(names, lambda n: F.struct(n.alias("song_name"), (i > 0).alias("transition"))))
-    entry = (
-        body.filter(~F.col("is_players"))
-        .select(SHOW, "set_order", "set_name", "line_no", segment_each(segments, titles).alias("segments"))
-        .select(SHOW, "set_order", "set_name", "line_no", F.flatten(per_segment).alias("names"))
-    )
+    at = [SHOW, "set_order", "set_name", "line_no"]
+    played = body.filter(~F.col("is_players"))
+    if few is not None:
+        cut = played.select(*at, segment_each(segments, few).alias("segments"))
+    else:
+        cut = segment_joined(played.select(*at, segments.alias("_texts")), "_texts", titles, "segments")
+    entry = cut.select(*at, F.flatten(per_segment).alias("names"))
     with_previous = F.transform(
         "names",
         lambda n, i: F.struct(

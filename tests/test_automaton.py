@@ -126,3 +126,28 @@ def test_routes_share_a_scan_and_count_all(spark):
     assert sorted(got[1]) == [(1, "r49", 33, "song"), (2, "r47", 33, "song"), (3, "r46", 33, "song")]
     assert got[2] == [(1, "g", 1, "guest")] and got[3] == [(1, "t", 1, "transition")]
     assert [x[1] for x in sorted(got[4])] == ["t", "u"] and 5 not in got
+
+
+def test_joined_titles_equal_the_automaton(spark):
+    rng = random.Random(21)
+    words = ["eyes", "Dark", "star", "in", "st", "a&b", " star", "star ", "& co", "ñu"]
+    for trial in range(3):
+        titles = sorted({" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(14)} | {"dark", "DARK", " eyes", "in "})
+        texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ">", "&", ""]) for _ in range(rng.randint(0, 8))) for _ in range(120)]
+        lists = [(i, [texts[i], None, texts[i - 1].swapcase()]) for i in range(len(texts))] + [(0, [texts[0]]), (None, [texts[1]]), (0, []), (1, None)]
+        df = spark.createDataFrame(lists, "i int, x array<string>").repartition(5)
+        known = spark.createDataFrame([(t,) for t in [*titles, titles[0], "", None]], "title string")
+        want = df.select("i", S.segment_each(F.col("x"), titles).alias("s"))
+        rows = lambda d: sorted(((r["i"], r["s"]) for r in d.collect()), key=str)
+        for hot in (3, 10**6):
+            assert rows(S.segment_joined(df, "x", known, "s", hot_rows=hot).select("i", "s")) == rows(want)
+
+
+def test_titles_beyond_those_sent_to_tasks(spark):
+    titles = spark.range(S.MOST_TITLES + 100).select(F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"))
+    lists = spark.createDataFrame([("s", ["Title 17 title 200099 jam > title 1", None, ""]), ("s", ["title 5x TITLE 5"]), (None, ["Title 3"])],
+                                  "show_identifier string, entries array<string>")
+    songs = [(r["show_identifier"], r["item_no"], r["song_name"], r["transition"]) for r in S.normalize_legacy(lists, titles=titles)["songs"].collect()]
+    assert sorted(songs, key=str) == sorted([
+        ("s", 0, "Title 17", False), ("s", 1, "Title 200099", False), ("s", 2, "jam", False), ("s", 3, "Title 1", True),
+        ("s", 0, "title 5x", False), ("s", 1, "Title 5", False), (None, 0, "Title 3", False)], key=str)
