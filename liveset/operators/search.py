@@ -19,7 +19,7 @@ from liveset.functions.dates import parse_date_phrase, show_date
 from liveset.functions.text import cap, loose_key, match_context, words
 from liveset.operators.merge import top_per_key
 from liveset.operators.vectors import knn, knn_filtered
-from liveset.scale import checkpoint, collect_bounded, row_ordinal, salted_join
+from liveset.scale import HOT_ROWS, checkpoint, collect_bounded, copy_over, deal, row_ordinal, salt_marks, salted_join
 
 MAX_LITERAL_TERMS = 16
 #: Terms sent to every task, in bytes, each counted with what its question takes beside it.
@@ -101,8 +101,10 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
         kind = asked.schema["question_id"].dataType
         wanted = F.array(*[F.struct(_literal(r["question_id"], kind).alias("question_id"), F.lit(r["_term"]).alias("t")) for r in rows])
         low = F.lower(F.coalesce(F.col(text), F.lit("")))
+        # Said as a plain condition, it goes down to where the texts are read: only hits get their other columns.
+        held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in sorted({r["_term"] for r in rows})])
         return (
-            texts.withColumn("_low", low)
+            texts.filter(held).withColumn("_low", low)
             .withColumn("_hit", F.explode(F.filter(wanted, lambda w: F.contains(F.col("_low"), w["t"]))))
             .select(*given, F.col("_hit.question_id"))
         )
@@ -177,7 +179,7 @@ def scan_terms(texts: DataFrame, asked: pa.Table, text: str, cells: int = CELLS,
 
 # -- first k and how many there are -------------------------------------------
 def first_with_total(hits: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]], k: int,
-                     held_rows: int = HELD_ROWS) -> DataFrame:
+                     held_rows: int = HELD_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first ``k`` rows of every key with their ``rank``, and ``total``, how many the key has.
 
     One pass: every task holds a bounded list and a count a key, and hands on at most ``k`` rows
@@ -185,8 +187,13 @@ def first_with_total(hits: DataFrame, keys: Sequence[str], order: Sequence[tuple
     holds more than ``held_rows`` hands on what it has and begins anew. ``order``: (column,
     "ascending" or "descending"), nulls first and last as in Spark; rows with equal order are
     taken in any order, so it should end with a unique column.
+
+    No task can hold a list of more than ``held_rows``: with such a ``k`` the hits are stored once and
+    numbered by ranges (``row_ordinal``), so a key on many rows is shared by several tasks.
     """
     keys = list(keys)
+    if k > held_rows:
+        return _numbered_with_total(hits, keys, order, k, hot_rows)
     sorting = [(c, way, "at_start" if way == "ascending" else "at_end") for c, way in [*[(c, "ascending") for c in keys], *order]]
 
     def shortened(table: pa.Table) -> pa.Table:
@@ -228,6 +235,17 @@ def first_with_total(hits: DataFrame, keys: Sequence[str], order: Sequence[tuple
             .withColumn("total", F.sum("_n").over(by)).filter(F.col("rank") <= k).drop("_n"))
 
 
+def _numbered_with_total(hits: DataFrame, keys: list[str], order: Sequence[tuple[str, str]], k: int, hot_rows: int) -> DataFrame:
+    stored = checkpoint(hits)
+    totals = checkpoint(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")))
+    ranked = row_ordinal(stored, keys, [F.asc(c) if way == "ascending" else F.desc(c) for c, way in order], "rank", hot_rows)
+    marks = salt_marks(totals, keys, hot_rows, rows="total")
+    few = copy_over(totals, marks, keys).select(*[F.col(c).alias(f"_t_{c}") for c in [*keys, "_salt"]], "total")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in [*keys, "_salt"]])
+    return deal(ranked.filter(F.col("rank") <= k), marks, keys).join(few, same).select(
+        *hits.columns, F.col("rank").cast("int").alias("rank"), "total")
+
+
 # -- song names with scores ---------------------------------------------------
 def lyric_scores(names: DataFrame, questions: DataFrame, name: str = "song_name", question: str = "question") -> DataFrame:
     """Score of every distinct name against every question, zero scores left out.

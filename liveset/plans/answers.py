@@ -25,7 +25,7 @@ TERM_ROUTES = {
 CORPUS_ORDER = ("section", "position", "chunk_index", "row_id")
 
 
-def term_routes(corpus: DataFrame, routed: DataFrame, limits: dict, order: Sequence[str]) -> DataFrame:
+def term_routes(corpus: DataFrame, routed: DataFrame, limits: dict, order: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """First rows of every question that names a term, and how many rows hold it.
 
     All four routes share one scan of the corpus: the terms of all questions are looked for in
@@ -34,16 +34,16 @@ def term_routes(corpus: DataFrame, routed: DataFrame, limits: dict, order: Seque
     types, fields = [t for t, _ in TERM_ROUTES.values()], [f for _, f in TERM_ROUTES.values()]
     asked = routed.filter(F.col("route").isin(*TERM_ROUTES)).select(F.struct("question_id", "route", "arg2").alias("question_id"), F.col("arg1").alias("term"))
     searched = F.coalesce(*[F.when(F.col("type") == t, F.col(f)) for t, f in TERM_ROUTES.values()])
-    shown = list(dict.fromkeys(["row_id", "type", "transition_to", *order]))
+    shown = list(dict.fromkeys(["row_id", "type", "transition_to", *order, *keep]))
     rows = corpus.filter(F.col("type").isin(*types)).select(*shown, searched.alias("_searched"))
     hits = substring_hits(rows, asked, "_searched", keep=shown).withColumnRenamed("question_id", "_q")
     to = F.col("_q.arg2")
     own = F.coalesce(*[F.when(F.col("_q.route") == r, F.col("type") == t) for r, (t, _) in TERM_ROUTES.items()])
     kept = hits.filter(own & ((F.col("type") != "transition") | to.isNull() | F.contains(F.lower("transition_to"), F.lower(to))))
-    kept = kept.select("_q.question_id", "_q.route", *dict.fromkeys(["row_id", *order]))
+    kept = kept.select("_q.question_id", "_q.route", *dict.fromkeys(["row_id", *order, *keep]))
     best = first_with_total(kept, ["question_id", "route"], [(c, "ascending") for c in order], max(limits[r] for r in TERM_ROUTES))
     within = F.coalesce(*[F.when(F.col("route") == r, F.col("rank") <= limits[r]) for r in TERM_ROUTES])
-    return best.filter(within).select("question_id", "row_id", F.lit(0.0).alias("score"), "rank", "total", "route")
+    return best.filter(within).select("question_id", "row_id", F.lit(0.0).alias("score"), "rank", "total", "route", *keep)
 
 
 def duration_route(corpus: DataFrame, questions: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
@@ -56,19 +56,20 @@ def duration_route(corpus: DataFrame, questions: DataFrame, k: int, order: Seque
 
 
 def answer_batch(corpus: DataFrame, questions: DataFrame, question: str = "question", limits: dict | None = None,
-                 order: Sequence[str] | None = None) -> DataFrame:
+                 order: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Hits of every question by its own route: question_id, row_id, score, rank, total, route.
 
     Questions without a prefix need an ``embedding``. Rows that only match come in corpus
     order, as far as the corpus has its columns, or in that of ``order``. ``total`` counts all
     rows that match, beside the first few that are given; rankings by length or distance have
-    none.
+    none. ``keep``: columns of the corpus that hits of a term bring along, so that it need not be
+    read again for them.
     """
     limits = {**LIMITS, **(limits or {})}
     order = [c for c in order or CORPUS_ORDER if c in corpus.columns]
     routed = route_questions(questions, question)
     parts = {
-        "terms": term_routes(corpus, routed, limits, order),
+        "terms": term_routes(corpus, routed, limits, order, keep),
         "ep": duration_route(corpus, routed, limits["ep"], order).withColumn("route", F.lit("ep")),
     }
     if "embedding" in questions.columns and "embedding" in corpus.columns:

@@ -248,9 +248,8 @@ def answer_batch_counts(t):
     rows = corpus(t)
     # Row ids are hashes of what rows say, so counting needs every hit, not the first k.
     many = {r: 10 ** 9 for r in ("song", "guest", "transition", "deadcast")}
-    hits = answer_batch(rows, _phrases(t, ROUTED), limits=many).filter("route <> 'ep'")
-    ids = hits.select("question_id", "route", "row_id").distinct()
-    return ids.join(rows.select("row_id", "comment_text"), "row_id").groupBy("question_id", "route").agg(
+    hits = answer_batch(rows, _phrases(t, ROUTED), limits=many, keep=["comment_text"]).filter("route <> 'ep'")
+    return hits.groupBy("question_id", "route").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("comment_text").alias("texts"))
 
 

@@ -78,6 +78,43 @@ def test_first_with_total_equals_brute_force(spark):
     assert Q.first_with_total(df.filter("id < 0"), ["question"], [("id", "ascending")], 3).count() == 0
 
 
+def test_long_lists_are_numbered_by_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.5, 2.5, -1.0]), i) for i in range(300)] + [("hot", 1.0, i) for i in range(300, 900)]
+    df = spark.createDataFrame(rows, "question string, score double, id int").repartition(7)
+    order = [("score", "descending"), ("id", "ascending")]
+    for k in (250, 10**9):
+        # Lists that a task may hold, then lists that it may not, in one range a key and in several.
+        want, *got = [sorted(Q.first_with_total(df, ["question"], order, k, **kw).select("question", "id", "score", "rank", "total").collect(), key=str)
+                      for kw in ({"held_rows": 10**9}, {"held_rows": 100}, {"held_rows": 100, "hot_rows": 50})]
+        assert got == [want, want] and len(want) == (900 - 350 if k == 250 else 900)
+        assert Q.first_with_total(df, ["question"], order, k, held_rows=100).schema["rank"].dataType.typeName() == "integer"
+    assert Q.first_with_total(df.filter("id < 0"), ["question"], order, 250, held_rows=100).count() == 0
+
+
+def test_few_terms_are_asked_where_texts_are_read(spark):
+    df = spark.range(100).select(F.col("id"), F.concat(F.lit("Song "), F.col("id").cast("string")).alias("t"), F.md5(F.col("id").cast("string")).alias("digest"))
+    asked = spark.createDataFrame([(1, "SONG 7"), (2, "9"), (3, None)], "question_id int, term string")
+    hits = Q.substring_hits(df, asked, "t")
+    assert {(r["id"], r["question_id"]) for r in hits.collect()} == {(i, 1) for i in [7, *range(70, 80)]} | {(i, 2) for i in range(100) if "9" in str(i)}
+    lines = hits._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda what: [i for i, x in enumerate(lines) if what in x][-1]
+    assert at("Filter") > at("md5(")  # deeper in the plan: digests of hits only
+
+
+def test_hits_bring_columns_along(spark):
+    corpus = spark.createDataFrame(
+        [(f"r{i // 2}", "setlist_song", "Dark Star", None, None, None, f"said {i // 2}") for i in range(6)] + [("e", "ep_duration", "Dark Star", None, None, None, "x")],
+        "row_id string, type string, song_name string, guest_artist string, transition_from string, transition_to string, comment_text string"
+    ).withColumn("text", F.lit(None).cast("string")).withColumn("duration_seconds", F.lit(1.0))
+    asked = spark.createDataFrame([(1, 'song:"dark"'), (2, "ep:")], "question_id int, question string")
+    for most in (4, 10**9):
+        hits = answer_batch(corpus, asked, limits={"song": most}, keep=["comment_text"]).collect()
+        assert sorted((r["row_id"], r["comment_text"], r["total"]) for r in hits if r["route"] == "song") == [
+            (f"r{i // 2}", f"said {i // 2}", 6) for i in range(min(most, 6))]
+        assert [r["row_id"] for r in hits if r["route"] == "ep"] == ["e"]
+
+
 def by_hand(text, titles):
     """Longest titles first, one pattern after the other, cut titles turned into marks."""
     ranked = sorted(dict.fromkeys(titles), key=len, reverse=True)
