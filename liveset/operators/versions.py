@@ -56,10 +56,18 @@ def follow_vectors(vectors: DataFrame, counts: DataFrame, changed: DataFrame, ne
                    text: str = "text", key: str = "row_id") -> DataFrame:
     """``key`` and ``embedding`` for every id of the new version: vectors of ids that no row holds
     any more go, ids that came in are embedded, all others stay as they are. ``counts`` are
-    those of the old version."""
+    those of the old version.
+
+    Texts pass by a hashed set of the ids that came in and are embedded on the way: none is
+    sorted or kept. Only vectors are gathered by id, as equal rows of an id have one each."""
     touched = changed.select(key).distinct()
     still = fold_changes(counts.join(touched, key, "left_semi"), changed, [key]).select(key)
     gone = touched.join(still, key, "left_anti")
     came = still.join(vectors.select(key), key, "left_anti")
-    texts = new.join(came, key, "left_semi").groupBy(key).agg(F.any_value(text).alias(text))
-    return vectors.select(key, "embedding").join(gone, key, "left_anti").unionByName(embed(texts, encoder, text).select(key, "embedding"))
+    texts = new.select(key, text).join(came.hint("shuffle_hash"), key, "left_semi")
+    return vectors.select(key, "embedding").join(gone, key, "left_anti").unionByName(one_vector(embed(texts, encoder, text), key))
+
+
+def one_vector(embedded: DataFrame, key: str = "row_id") -> DataFrame:
+    """``key`` and ``embedding`` of one row an id; what else the rows hold does not travel."""
+    return embedded.select(key, "embedding").groupBy(key).agg(F.any_value("embedding").alias("embedding"))

@@ -221,7 +221,7 @@ FROM documents""")
 def followed_vectors(t):
     """Vectors that follow a table: those of rows that left go, rows that came in are embedded."""
     rows = t.documents.select(F.col("doc_id").alias("row_id"), "text")
-    old = t.labels.join(t.documents, "doc_id").select(F.col("doc_id").alias("row_id"), "text").unionByName(
+    old = t.documents.join(t.labels.select("doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("row_id"), "text").unionByName(
         t.conversations.select((-F.col("conv_id") - 1).alias("row_id"), "text"))  # rows that the new version does not hold
-    vectors = embed(old.groupBy("row_id").agg(F.any_value("text").alias("text")), presence).select("row_id", "embedding")
+    vectors = V.one_vector(embed(old, presence))
     return V.follow_vectors(vectors, V.reference_counts(old, ["row_id"]), V.changes(old, rows), rows, presence).select("row_id", "embedding")

@@ -64,3 +64,19 @@ def test_vectors_follow_their_rows(spark):
     got = V.follow_vectors(vectors, V.reference_counts(old, ["row_id"]), V.changes(old, new), new, encoder)
     # One of two rows of ``a`` left: its vector stays. ``d`` came twice and is embedded once.
     assert sorted((r["row_id"], r["embedding"]) for r in got.collect()) == [("a", [-1.0]), ("c", [-3.0]), ("d", [7.0])]
+
+
+def test_texts_that_vectors_follow_are_not_sorted(spark):
+    def encoder(texts):
+        return np.array([[float(len(t))] for t in texts])
+
+    old = spark.createDataFrame([("a", "one"), ("b", "two"), (None, "none")], "row_id string, text string")
+    new = spark.createDataFrame([("a", "one"), ("d", "seven!!"), ("d", "seven!!"), ("e", None), (None, "none")], "row_id string, text string")
+    vectors = V.one_vector(spark.createDataFrame([("a", [-1.0]), ("a", [-1.0]), ("b", [-2.0])], "row_id string, embedding array<float>"))
+    got = V.follow_vectors(vectors, V.reference_counts(old, ["row_id"]), V.changes(old, new), new, encoder)
+    assert sorted((r["row_id"], r["embedding"]) for r in got.collect()) == [("a", [-1.0]), ("d", [7.0]), ("e", [0.0])]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    # Below the encoder there are texts: they stream past the hashed ids and are in no aggregate or sorted join.
+    below = plan[plan.index("ArrowEvalPython"):].splitlines()[1:]
+    assert "ShuffledHashJoin" in next(x for x in below if "Join" in x)
+    assert not any("Aggregate" in x and "text#" in x for x in plan.splitlines())
