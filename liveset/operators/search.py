@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -79,7 +79,8 @@ def _literal(value, kind: T.DataType) -> Column:
 
 # -- term batches -------------------------------------------------------------
 def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "term",
-                   max_terms: int = MAX_LITERAL_TERMS, max_bytes: int = MAX_SCANNED_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
+                   max_terms: int = MAX_LITERAL_TERMS, max_bytes: int = MAX_SCANNED_BYTES, keep: Sequence[str] | None = None,
+                   where: Callable[[Column], Column] | None = None) -> DataFrame:
     """Every (text row, term) where the lower-cased text holds the lower-cased term; an empty
     term is in every text, a null one in none.
 
@@ -91,8 +92,12 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
     and the runs are exchanged, the text itself is looked up for hits alone. All three ways
     return the same rows, with the columns of ``texts`` or those of them to ``keep``: a long
     text that nobody needs again should not be repeated for every hit.
+
+    ``where`` makes of the question_id a condition on the kept columns that hits meet besides.
+    With few terms it goes down to where the texts are read, as the terms do.
     """
     given = list(keep or texts.columns)
+    meets = where or (lambda _: F.lit(True))
     asked = terms.select("question_id", F.lower(term).alias("_term")).filter(F.col("_term").isNotNull())
     rows = collect_bounded(asked, max_terms)
     if rows is not None:
@@ -102,15 +107,15 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
         wanted = F.array(*[F.struct(_literal(r["question_id"], kind).alias("question_id"), F.lit(r["_term"]).alias("t")) for r in rows])
         low = F.lower(F.coalesce(F.col(text), F.lit("")))
         # Said as a plain condition, it goes down to where the texts are read: only hits get their other columns.
-        held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in sorted({r["_term"] for r in rows})])
+        held = reduce(lambda a, b: a | b, [meets(_literal(r["question_id"], kind)) & F.contains(low, F.lit(r["_term"])) for r in rows])
         return (
             texts.filter(held).withColumn("_low", low)
             .withColumn("_hit", F.explode(F.filter(wanted, lambda w: F.contains(F.col("_low"), w["t"]))))
-            .select(*given, F.col("_hit.question_id"))
+            .select(*given, F.col("_hit.question_id")).filter(meets(F.col("question_id")))
         )
     size = asked.agg(F.coalesce(F.sum(F.octet_length("_term") + ROW_BYTES), F.lit(0))).first()[0]
     if size <= max_bytes:
-        return scan_terms(texts, asked.toArrow(), text, keep=given)
+        return scan_terms(texts, asked.toArrow(), text, keep=given).filter(meets(F.col("question_id")))
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     keyed = texts.withColumn("_key", F.md5(low))  # equal texts are searched once
     # Every text holds the empty term; its rows are dealt over many keys.
@@ -131,7 +136,7 @@ def substring_hits(texts: DataFrame, terms: DataFrame, text: str, term: str = "t
     met = grams.join(filed, ["_n", "_gram"]).select("_key", "question_id", "_term")
     held = keyed.join(met, "_key").filter(F.contains(low, F.col("_term")))
     columns = [*given, "question_id"]
-    return held.select(*columns).unionByName(everywhere.select(*columns))
+    return held.select(*columns).unionByName(everywhere.select(*columns)).filter(meets(F.col("question_id")))
 
 
 def scan_terms(texts: DataFrame, asked: pa.Table, text: str, cells: int = CELLS, keep: Sequence[str] | None = None) -> DataFrame:

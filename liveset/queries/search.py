@@ -9,10 +9,9 @@ from liveset.functions.text import show_url
 from liveset.operators import search as Q
 from liveset.operators import vectors as V
 from liveset.operators.format import build_context, extractive_answer, song_texts
-from liveset.plans.answers import answer_batch, with_rows
+from liveset.plans.answers import answer_batch
 from liveset.queries import query
 from liveset.queries.texts import CHUNKS_SQL, CORPUS_SQL, corpus
-from liveset.scale import checkpoint
 
 SHOW = "show_identifier"
 TODAY = "2024-09-25"
@@ -292,11 +291,11 @@ def answer_batch_ranked(t):
     """All six routes of a question batch: the first rows in corpus order, and how many there are."""
     vectors = t.embeddings.select(F.lit("book_chunk").alias("type"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("row_id"),
                                   F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("comment_text"), "embedding")
-    rows = checkpoint(corpus(t).unionByName(vectors, allowMissingColumns=True))  # a stored corpus is read, not made, by every route
+    rows = corpus(t).unionByName(vectors, allowMissingColumns=True)  # never stored: every route makes rows of its own types only
     asked = ['song:"Red Widget"', 'guest:"customer#00000001"', "transition:blue -> brand#1", 'deadcast:"the"', "ep:", "plain question"]
     fourth = _centres(t).filter("question_id = 3").select(F.lit(5).alias("question_id"), "embedding")
     questions = _phrases(t, asked).join(fourth, "question_id", "left")
-    return with_rows(answer_batch(rows, questions, order=ORDER), rows).select("question_id", "route", "comment_text", F.col("rank").cast("int").alias("rank"), "total")
+    return answer_batch(rows, questions, order=ORDER, keep=["comment_text"]).select("question_id", "route", "comment_text", F.col("rank").cast("int").alias("rank"), "total")
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from liveset.functions import automaton as A
 from liveset.operators import search as Q
 from liveset.operators import setlists as S
-from liveset.plans.answers import answer_batch
+from liveset.plans.answers import answer_batch, with_rows
+from liveset.queries import load
 
 
 def random_text(rng, letters, most):
@@ -115,6 +117,79 @@ def test_hits_bring_columns_along(spark):
         assert [r["row_id"] for r in hits if r["route"] == "ep"] == ["e"]
 
 
+def test_hits_of_every_route_bring_columns_along(spark):
+    corpus = spark.createDataFrame(
+        [("s", "setlist_song", "Dark Star", None, None, "said s", None), ("e", "ep_duration", "Dark Star", 9.0, None, "said e", None), ("f", "ep_duration", "Jam", 7.0, None, "said f", None)]
+        + [(f"v{i // 2}", "book_chunk", None, None, [float(i // 2), 0.0], f"said v{i // 2}", i) for i in range(8)] + [(None, "book_chunk", None, None, [0.0, 9.0], "no id", 9)],
+        "row_id string, type string, song_name string, duration_seconds double, embedding array<double>, comment_text string, position int"
+    ).select("*", *[F.lit(None).cast("string").alias(c) for c in ("guest_artist", "transition_from", "transition_to", "text")])
+    asked = spark.createDataFrame([(1, "song:dark", None), (2, "ep:", None), (3, "plain", [0.0, 0.0]), (4, "guest:dark", None)], "question_id int, question string, embedding array<double>")
+    hits = answer_batch(corpus, asked, limits={"vector": 4}, keep=["comment_text"]).collect()
+    assert sorted((r["question_id"], r["route"], r["rank"], r["row_id"], r["comment_text"]) for r in hits) == [
+        (1, "song", 1, "s", "said s"), (2, "ep", 1, "e", "said e"), (2, "ep", 2, "f", "said f"),
+        (3, "vector", 1, "v0", "said v0"), (3, "vector", 2, "v0", "said v0"), (3, "vector", 3, "v1", "said v1"), (3, "vector", 4, "v1", "said v1")]
+
+
+def test_rows_of_few_hits_are_found_without_exchanging_the_corpus(spark):
+    corpus = spark.range(3000).select(F.concat(F.lit("r"), (F.col("id") % 1000).cast("string")).alias("row_id"), (F.col("id") % 1000).alias("n"))
+    hits = spark.createDataFrame([(1, "r7"), (1, "r7"), (2, "r9"), (2, "gone"), (3, None)], "question_id int, row_id string")
+    set_to = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the hits were not known to be few
+    try:
+        shown = with_rows(hits, corpus)
+        assert sorted(tuple(r) for r in shown.collect()) == [("r7", 1, 7), ("r7", 1, 7), ("r9", 2, 9)]
+        semi = [x for x in shown._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in x]
+        assert len(semi) == 1 and "BroadcastHashJoin" in semi[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", set_to)
+
+
+def test_conditions_on_hits_hold_by_all_three_ways(spark):
+    df = spark.range(200).select(F.col("id"), F.concat(F.lit("Song "), F.col("id").cast("string")).alias("t"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("kind"))
+    asked = spark.createDataFrame([((1, 0), "SONG 7"), ((2, 1), "9"), ((3, 2), ""), ((4, None), "9"), ((5, 1), "9")], "question_id struct<n: int, kind: int>, term string")
+    want = sorted((i, q) for i in range(200) if i % 5 for q, kind, term in ((1, 0, "song 7"), (2, 1, "9"), (3, 2, ""), (5, 1, "9")) if term in f"song {i}" and i % 3 == kind)
+    for ways in ({}, {"max_terms": 1}, {"max_terms": 1, "max_bytes": 0}):
+        hits = Q.substring_hits(df, asked, "t", keep=["id", "kind"], where=lambda q: q["kind"] == F.col("kind"), **ways)
+        assert sorted((r["id"], r["question_id"]["n"]) for r in hits.collect()) == want
+
+
+def test_a_ranked_batch_stores_no_corpus(spark, tmp_path):
+    """The corpus is many times as large as the tables it is made of: neither it nor its rows of the
+    route types are written down or exchanged, only hits."""
+    lines, parts = 3000, 30
+    tables = {
+        "lineitem": spark.range(lines).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 + 1 AS int) AS l_linenumber", f"id % {parts} AS l_partkey", "id % 7 AS l_suppkey",
+                                                  "cast(id % 50 + 1 AS double) AS l_quantity", "cast(id AS double) AS l_extendedprice",
+                                                  "CASE id % 3 WHEN 0 THEN 'R' ELSE 'N' END AS l_returnflag", "CASE id % 2 WHEN 0 THEN 'F' ELSE 'O' END AS l_linestatus"),
+        "part": spark.range(parts).selectExpr("id AS p_partkey", "CASE id WHEN 0 THEN 'red widget' WHEN 3 THEN 'blue ring' ELSE concat('name ', id) END AS p_name", "concat('Brand#', id % 2) AS p_brand"),
+        "orders": spark.range(lines // 4).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey"),
+        "customer": spark.range(40).selectExpr("id AS c_custkey", "concat('Customer#', lpad(id, 9, '0')) AS c_name"),
+        "documents": spark.range(20).selectExpr("id AS doc_id", "concat('the text ', id) AS text", "CASE id % 2 WHEN 0 THEN 'en' ELSE 'de' END AS lang", "concat('src', id) AS source"),
+        "conversations": spark.range(20).selectExpr("id AS conv_id", "id AS turn", "'user' AS role", "concat('said ', id) AS text"),
+        "embeddings": spark.range(40).selectExpr("id AS vec_id", "array(cast(id AS float), cast(1 AS float)) AS embedding", "cast(id % 5 AS int) AS label"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    stored = lambda: sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*"))
+    before = stored()
+    hits = load()[0]["answer_batch_ranked"](spark, str(tmp_path))
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r["route"], []).append((r["rank"], r["comment_text"], r["total"]))
+    assert stored() - before < 20_000
+    red = [i // 4 for i in range(0, lines, parts)]
+    assert sorted(got["song"]) == [(n, f"[Setlist] red widget performed at gd{o}", len(red)) for n, o in enumerate(red[:20], 1)]
+    assert sorted(got["guest"]) == [(n + 1, f"[Guest] Customer#{o % 40:09d} performed with Grateful Dead", 190) for n, o in enumerate([o for o in range(750) if 10 <= o % 40 <= 19][:10])]
+    assert sorted(got["transition"]) == [(n, "[Transition] blue ring -> Brand#1", 100) for n in range(1, 11)]
+    assert sorted(got["deadcast"]) == [(n + 1, f"[Deadcast] src{2 * n} (chunk 0)", 10) for n in range(10)]
+    longest = [i for i in range(lines) if i % 2 == 0 and i % 50 == 48][:20]
+    named = lambda p: {0: "red widget", 3: "blue ring"}.get(p, f"name {p}")
+    assert sorted(got["ep"]) == [(n, f"[EP Duration] {named(i % parts)}: 49:00 (2940.0s) at gd{i // 4}", None) for n, i in enumerate(longest, 1)]
+    mean = sum(range(3, 40, 5)) / 8
+    near = sorted(range(40), key=lambda v: ((v - mean) ** 2, f"v{v}"))[:20]
+    assert sorted(got["vector"]) == [(n, f"vector {v}", None) for n, v in enumerate(near, 1)]
+
+
 def by_hand(text, titles):
     """Longest titles first, one pattern after the other, cut titles turned into marks."""
     ranked = sorted(dict.fromkeys(titles), key=len, reverse=True)
